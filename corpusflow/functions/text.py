@@ -61,21 +61,17 @@ def term_counts(tokens: Column) -> Column:
     """
 
     def count_runs(ordered: Column) -> Column:
-        previous = F.concat(F.array(F.lit(None).cast("string")), ordered)
-        marks = F.zip_with(
-            ordered, F.slice(previous, F.lit(1), F.size(ordered)), lambda t, p: ~t.eqNullSafe(p)
-        )
+        n = F.size(ordered)
         starts = F.filter(
-            F.transform(marks, lambda new, i: F.when(new, i + 1)), lambda i: i.isNotNull()
+            F.sequence(F.lit(0), n - 1),
+            lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)),
         )
         return bind(
             starts,
             lambda s: F.zip_with(
                 s,
-                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(ordered) + 1)),
-                lambda at, end: F.struct(
-                    F.element_at(ordered, at).alias("term"), (end - at).alias("tf")
-                ),
+                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n)),
+                lambda at, end: F.struct(F.get(ordered, at).alias("term"), (end - at).alias("tf")),
             ),
         )
 

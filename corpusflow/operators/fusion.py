@@ -6,13 +6,11 @@ All groups here hold at most the summed length of the lists per query.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.options import DEFAULTS
-from corpusflow.session import stable
+from corpusflow.session import stable, union_on
 
 
 def union_lists(lists: list[DataFrame]) -> DataFrame:
@@ -21,7 +19,7 @@ def union_lists(lists: list[DataFrame]) -> DataFrame:
         df.select("query_id", "chunk_key", "rank", F.col("score").cast("double").alias("score"), F.lit(i).alias("list_id"))
         for i, df in enumerate(lists)
     ]
-    return reduce(DataFrame.unionByName, tagged)
+    return union_on(tagged, "chunk_key")
 
 
 def _weight(weights: list[float]) -> Column:

@@ -15,13 +15,13 @@ from corpusflow.operators import context, dense, fusion, rerank, sparse
 from corpusflow.operators.sparse import top_ranked
 from corpusflow.plans import retrieval
 from corpusflow.plans.registry import query
+from corpusflow.session import spread
 from corpusflow.sources.tables import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("chunk_key"), "source", F.col("lang").alias("section"), "text"
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return spread(docs).withColumnsRenamed({"doc_id": "chunk_key", "lang": "section"})
 
 
 def text_queries(spark: SparkSession, folder: str) -> DataFrame:

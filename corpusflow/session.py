@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 def stable(score: Column) -> Column:
     """Score used for ordering: summation noise removed so equal documents tie exactly."""
     return F.round(score, 9)
+
+
+def union_on(frames: list[DataFrame], *keys: str) -> DataFrame:
+    """Union of shuffled inputs that a following keyed step may rely on.
+
+    Spark 4.1 takes a union of equally partitioned inputs to be partitioned like
+    them and skips the next shuffle, but adaptive execution may coalesce the
+    inputs differently, which splits groups. A shuffle on ``keys`` rules that
+    out; it is only kept when the inputs are not partitioned by the same keys.
+    """
+    return reduce(DataFrame.unionByName, frames).repartition(*keys)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores enough partitions; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
