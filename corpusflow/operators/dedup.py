@@ -192,41 +192,58 @@ def join_hot(rows: DataFrame, unique: DataFrame, key: str, n: str = "n", hot_row
 def near_duplicates(
     rows: DataFrame, d: int, seen: DataFrame | None = None, limit: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """ord, signature, duplicate_of: NULL for rows that stay, else the ord of the earliest kept row in reach.
+    """ord, signature, duplicate_of, known. A row stays when duplicate_of is NULL and known is false.
 
-    ``rows``: ord (unique), signature. ``seen``: signatures that stayed before;
-    a row close to one of them is dropped and duplicate_of is -1.
+    ``rows``: ord (unique), signature. duplicate_of is the earliest row that
+    stays and is within d. ``seen`` holds signatures that stayed in earlier
+    runs; known marks rows close to one of them.
     """
     merged = cut_lineage(
         rows.groupBy("signature").agg(F.min("ord").alias("ord"), F.count("*").alias("n")), "signatures"
     )
     fresh = merged.select("ord", "signature")
-    known = None
+    known = fresh.limit(0).select("ord")
     if seen is not None:
-        known = cut_lineage(_close_to_seen(fresh, seen.select("signature").distinct(), d, limit), "known")
+        known = cut_lineage(close_to_seen(fresh, seen.select("signature").distinct(), d, limit), "known")
         fresh = fresh.join(known, "ord", "left_anti")
     edges = cut_lineage(close_pairs(fresh, d, limit), "close-pairs")
     dropped = greedy_dropped(edges)
     kept_edges = edges.join(dropped.withColumnRenamed("ord", "first"), "first", "left_anti")
     keeper = kept_edges.groupBy(F.col("second").alias("ord")).agg(F.min("first").alias("keeper"))
-    verdict = merged.join(keeper, "ord", "left")
-    if known is not None:
-        verdict = verdict.join(known.withColumn("known", F.lit(True)), "ord", "left").withColumn(
-            "keeper", F.when(F.col("known"), F.lit(-1).cast(merged.schema["ord"].dataType)).otherwise(F.col("keeper"))
-        ).drop("known")
-    verdict = cut_lineage(verdict.select("signature", "n", F.col("ord").alias("rep"), "keeper"), "verdicts")
-    joined = join_hot(rows.select("ord", "signature"), verdict, "signature", "n", hot_rows)
-    copy = F.when(F.col("ord") != F.col("rep"), F.col("rep"))
-    return joined.select("ord", "signature", F.coalesce("keeper", copy).alias("duplicate_of"))
-
-
-def _close_to_seen(fresh: DataFrame, seen: DataFrame, d: int, limit: int) -> DataFrame:
-    """ord of rows within d of a seen signature; both sides meet in the same buckets."""
-    both = fresh.select(F.col("ord"), "signature", F.lit(False).alias("old")).unionByName(
-        seen.select(F.lit(None).cast(fresh.schema["ord"].dataType).alias("ord"), "signature", F.lit(True).alias("old"))
+    verdict = (
+        merged.join(keeper, "ord", "left")
+        .join(known.withColumn("known", F.lit(True)), "ord", "left")
+        .select("signature", "n", F.col("ord").alias("rep"), "keeper", F.coalesce("known", F.lit(False)).alias("known"))
+    )
+    joined = join_hot(rows.select("ord", "signature"), cut_lineage(verdict, "verdicts"), "signature", "n", hot_rows)
+    copy = F.when((F.col("ord") != F.col("rep")) & ~F.col("known"), F.col("rep"))
+    return joined.select("ord", "signature", F.coalesce("keeper", copy).alias("duplicate_of"), "known")
+
+
+def close_to_seen(fresh: DataFrame, seen: DataFrame, d: int, limit: int = BUCKET_ROWS) -> DataFrame:
+    """ord of the rows within d of a signature in ``seen``.
+
+    A small batch is broadcast in its buckets and the stored signatures are
+    only scanned; otherwise both sides meet in buckets of limited size.
+    """
+    masks = start_masks(seen.count(), d)
+    as_array = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+    new = _masked(fresh, as_array)
+    if is_small(new):
+        new, old = F.broadcast(new), _masked(seen.select("signature"), as_array)
+    else:
+        nobody = F.lit(None).cast(fresh.schema["ord"].dataType).alias("ord")
+        both = fresh.select("ord", "signature").unionByName(seen.select(nobody, "signature"))
+        buckets = cut_lineage(candidate_buckets(cut_lineage(both, "both-sides"), d, limit), "buckets")
+        new, old = buckets.filter(F.col("ord").isNotNull()), buckets.filter(F.col("ord").isNull())
+    new = new.select("mask", "part", "ord", F.col("signature").alias("sig_a"))
+    close = old.select("mask", "part", F.col("signature").alias("sig_b")).join(new, ["mask", "part"])
+    return close.filter(hamming(F.col("sig_a"), F.col("sig_b")) <= d).select("ord").distinct()
+
+
+def chunk_ordinal(doc_id: Column, chunk_idx: Column) -> Column:
+    """One ordered number per chunk: 41 bits of document, 22 bits of chunk; larger numbers raise."""
+    fits = (doc_id >= 0) & (doc_id < F.lit(2**41)) & (chunk_idx < F.lit(2**22))
+    return F.when(fits, doc_id * F.lit(2**22) + chunk_idx).otherwise(
+        F.raise_error(F.lit("chunk number out of range")).cast("long")
     )
-    buckets = candidate_buckets(cut_lineage(both, "both-sides"), d, limit)
-    new = buckets.filter(~F.col("old")).select("mask", "part", "ord", F.col("signature").alias("sig_a"))
-    old = buckets.filter("old").select("mask", "part", F.col("signature").alias("sig_b"))
-    close = new.join(old, ["mask", "part"]).filter(hamming(F.col("sig_a"), F.col("sig_b")) <= d)
-    return close.select("ord").distinct()

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from corpusflow.plans import catalog_corpus, catalog_dialog, catalog_retrieval, catalog_tables  # noqa: F401
+from corpusflow.plans import (  # noqa: F401
+    catalog_corpus,
+    catalog_dialog,
+    catalog_retrieval,
+    catalog_streams,
+    catalog_tables,
+)
 from corpusflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

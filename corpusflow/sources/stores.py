@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,14 @@ from corpusflow.options import DEFAULTS, Options
 REGISTRY_SCHEMA = "file_hash string, chunk_ids array<string>, registered_at timestamp, removed boolean"
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table under ``path``, or an empty one before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def registry_rows(chunks: DataFrame) -> DataFrame:
     """file_hash, chunk_ids (in chunk order) from chunk rows of one document per hash."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id"))), lambda x: x["chunk_id"])
@@ -30,8 +39,7 @@ class Registry:
         self.spark, self.path = spark, os.path.join(root, "registry")
 
     def _log(self) -> DataFrame:
-        reader = self.spark.read.schema(REGISTRY_SCHEMA)
-        return reader.parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], REGISTRY_SCHEMA)
+        return read_or_empty(self.spark, self.path, REGISTRY_SCHEMA)
 
     def register(self, rows: DataFrame) -> None:
         """Add file_hash, chunk_ids rows."""
@@ -54,13 +62,7 @@ class Registry:
         return self.table().filter(F.col("file_hash") == file_hash).select("chunk_ids")
 
     def clear(self) -> None:
-        self._log().limit(0).write.mode("overwrite").parquet(self.path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds a table."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        self.spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite").parquet(self.path)
 
 
 class IndexStore:
