@@ -20,7 +20,7 @@ def _suffix(name):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, source, page, text: one cleaned row per .txt or .md file (UTF-8), tagged with its name."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"))
         .filter(_suffix(F.col("source")).isin(TEXT_SUFFIXES))
     )
