@@ -75,7 +75,7 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(tokens) > 0, bind(F.array_sort(tokens), count_runs))
+    return F.when(F.size(tokens) > 0, bind(F.sort_array(tokens), count_runs))
 
 
 def clean_subqueries(text: Column) -> Column:
@@ -127,7 +127,10 @@ def two_decimals(value: Column) -> Column:
 
 def token_overlap(a: Column, b: Column) -> Column:
     """Cosine of two distinct-token sets; the default pair scorer for reranking."""
-    left, right = F.array_distinct(words(a)), F.array_distinct(words(b))
-    norm = F.sqrt(F.size(left).cast("double") * F.size(right))
-    shared = F.size(F.array_intersect(left, right))
-    return F.when(norm > 0, shared / norm).otherwise(F.lit(0.0))
+    sets = F.struct(F.array_distinct(words(a)).alias("a"), F.array_distinct(words(b)).alias("b"))
+
+    def cosine(s: Column) -> Column:
+        norm = F.sqrt(F.size(s["a"]).cast("double") * F.size(s["b"]))
+        return F.when(norm > 0, F.size(F.array_intersect(s["a"], s["b"])) / norm).otherwise(F.lit(0.0))
+
+    return bind(sets, cosine)

@@ -33,19 +33,19 @@ def label_summary(df: DataFrame, column: str, good: list, bad: list) -> DataFram
 
 def numeric_by_class(labelled: DataFrame, columns: list[str]) -> DataFrame:
     """column, valid_rate, and mean and standard deviation per class."""
-    values = labelled.select("target", *[F.col(c).cast("double").alias(c) for c in columns])
-    long = values.unpivot(["target"], columns, "column", "value")
-
-    def of(target, value="value"):
-        return F.when(F.col("target") == target, F.col(value))
-
-    return long.groupBy("column").agg(
-        F.round(F.count("value") / F.count("*") * 100, 2).alias("valid_rate"),
-        F.round(F.avg(of(0)), 2).alias("good_mean"),
-        F.round(F.avg(of(1)), 2).alias("bad_mean"),
-        F.round(F.stddev_samp(of(0)), 2).alias("good_std"),
-        F.round(F.stddev_samp(of(1)), 2).alias("bad_std"),
-    )
+
+    def figures(c: str):
+        value = F.col(c).cast("double")
+        good, bad = F.when(F.col("target") == 0, value), F.when(F.col("target") == 1, value)
+        return F.struct(
+            F.round(F.count(value) / F.count("*") * 100, 2).alias("valid_rate"),
+            F.round(F.avg(good), 2).alias("good_mean"),
+            F.round(F.avg(bad), 2).alias("bad_mean"),
+            F.round(F.stddev_samp(good), 2).alias("good_std"),
+            F.round(F.stddev_samp(bad), 2).alias("bad_std"),
+        ).alias(c)
+
+    return labelled.agg(*[figures(c) for c in columns]).unpivot([], columns, "column", "s").select("column", "s.*")
 
 
 def histogram_by_class(labelled: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from corpusflow.options import DEFAULTS
 
 # Columns with at most this many distinct values may use the built-in exact percentile,
 # which holds one counter per distinct value in memory.
-PERCENTILE_MAX_DISTINCT = 1_000_000
-# The distributed percentile cuts each column into STEP * STEP value ranges.
-STEP = 32
-RANGES = STEP * STEP
+PERCENTILE_MAX_DISTINCT = 10_000
+# The distributed percentile narrows each wanted rank down to a value range of at most
+# this many rows before it sorts anything.
+RANGE_ROWS = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def long_numbers(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -44,14 +47,21 @@ def approx_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: row[c] for c in columns}
 
 
-def column_types(df: DataFrame, threshold: int = DEFAULTS.cat_threshold) -> tuple[list[str], list[str]]:
+def numeric_sketch(df: DataFrame) -> dict[str, int]:
+    """Approximate number of distinct values per numeric column: one pass."""
+    return approx_distinct(df, [c for c in df.columns if is_numeric(df, c)])
+
+
+def column_types(
+    df: DataFrame, threshold: int = DEFAULTS.cat_threshold, rough: dict[str, int] | None = None
+) -> tuple[list[str], list[str]]:
     """Continuous and categorical columns, in table order.
 
     A sketch settles numeric columns with far more values than the threshold;
     the values of the remaining ones are counted exactly.
     """
     numeric = [c for c in df.columns if is_numeric(df, c)]
-    rough = approx_distinct(df, numeric)
+    rough = numeric_sketch(df) if rough is None else rough
     unsure = [c for c in numeric if rough[c] <= 4 * threshold]
     exact = {}
     if unsure:
@@ -93,73 +103,101 @@ def completeness(df: DataFrame) -> DataFrame:
     return long.select("column", "n_present", share.alias("present_share"), (1 - share).alias("null_rate"))
 
 
-def ranked_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """column, prob, value: exact linear quantiles without a per-column buffer.
+def _narrowed(df: DataFrame, ranks: dict[tuple, tuple[int, int, int]], limit: int) -> dict[tuple, tuple]:
+    """Per (column, prob): low and high value and the number of rows below, around the wanted ranks.
 
-    Equal values are merged first. Approximate quantiles of the distinct values
-    cut every column into ranges; counting per range tells which range holds a
-    wanted rank, and only those ranges are sorted.
+    Each round takes two passes over the table, both with one wide aggregate: a
+    sketch proposes a range around the ranks, a count proves that it holds them
+    (a side that does not is left as it was).
     """
-    counts = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-    cuts = counts.groupBy("column").agg(
-        F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("cuts")
-    )
-    coarse = cuts.withColumn("steps", F.filter("cuts", lambda c, i: (i + 1) % STEP == 0))
-    # Cuts ascend, so the number of cuts below a value is its range: whole steps first, then the rest.
-    def below(held, value):
-        return F.size(F.filter(held, lambda c: c < value))
-
-    placed = (
-        counts.join(F.broadcast(coarse), "column")
-        .withColumn("step", below(F.col("steps"), F.col("value")))
-        .select(
-            "column", "value", "n",
-            (F.col("step") * STEP + below(F.slice("cuts", F.col("step") * STEP + 1, F.lit(STEP)), F.col("value"))).alias("range"),
+    inf = float("inf")
+    found = {key: (-inf, inf, 0, total) for key, (_, _, total) in ranks.items()}
+    open_keys = [key for key, (_, _, total) in ranks.items() if total > limit]
+    while open_keys:
+        sketches, slack = [], 2 / SKETCH_ACCURACY
+        for i, key in enumerate(open_keys):
+            (low, high, before, n), (r0, r1, _) = found[key], ranks[key]
+            value = F.col(key[0]).cast("double")
+            wanted = [max((r0 - before) / n - slack, 0.0), min((r1 + 1 - before) / n + slack, 1.0)]
+            sketches.append(F.percentile_approx(F.when(value.between(low, high), value), wanted, SKETCH_ACCURACY).alias(str(i)))
+        proposed = df.agg(*sketches).first()
+        counts = []
+        for i, key in enumerate(open_keys):
+            value, (low, high) = F.col(key[0]).cast("double"), proposed[str(i)]
+            counts += [F.count_if(value < low).alias(f"{i}<"), F.count_if(value <= high).alias(f"{i}<=")]
+        proven, still = df.agg(*counts).first(), []
+        for i, key in enumerate(open_keys):
+            (low, high, before, n), (r0, r1, _), (new_low, new_high) = found[key], ranks[key], proposed[str(i)]
+            through = before + n
+            if proven[f"{i}<"] <= r0:
+                low, before = new_low, proven[f"{i}<"]
+            if proven[f"{i}<="] > r1:
+                high, through = new_high, proven[f"{i}<="]
+            found[key] = (low, high, before, through - before)
+            if limit < through - before < n and low < high:
+                still.append(key)
+        open_keys = still
+    return found
+
+
+def selected_quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int = RANGE_ROWS) -> DataFrame:
+    """column, prob, value: exact linear quantiles by selection, without a full sort or large buffers.
+
+    Once the ranges are narrow, only their rows are taken, equal values are
+    merged, and a running count finds the values at the wanted ranks. The driver
+    holds a few numbers per column.
+    """
+    totals = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    ranks = {}
+    for c in columns:
+        for p in probs:
+            place = (totals[c] - 1) * p
+            if totals[c]:
+                ranks[(c, p)] = (math.floor(place), math.ceil(place), totals[c])
+    found = _narrowed(df, ranks, limit)
+    kinds = "column string, prob double, r0 long, r1 long, share double, before long"
+    rows = [(c, p, r0, r1, (n - 1) * p - r0, found[(c, p)][2]) for (c, p), (r0, r1, n) in ranks.items()]
+    targets = df.sparkSession.createDataFrame(rows, kinds)
+    inside = [
+        F.when(
+            F.col(c).cast("double").between(found[(c, p)][0], found[(c, p)][1]),
+            F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(c).cast("double").alias("value")),
         )
-    )
-    totals = placed.groupBy("column", "range").agg(F.sum("n").alias("in_range"))
-    by_range = Window.partitionBy("column").orderBy("range")
-    spans = totals.select(
-        "column", "range",
-        (F.sum("in_range").over(by_range) - F.col("in_range")).alias("before"),
-        F.sum("in_range").over(by_range).alias("through"),
-        F.sum("in_range").over(Window.partitionBy("column")).alias("total"),
-    )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    place = (F.col("total") - 1) * F.col("prob")
-    targets = (
-        spans.select("column", "range", "before", "through", "total", wanted)
-        .withColumns({"place": place, "low": F.floor(place), "high": F.ceil(place)})
-        .filter((F.col("low") < F.col("through")) & (F.col("high") >= F.col("before")))
-    )
-    in_order = Window.partitionBy("column", "range", "prob").orderBy("value")
-    through = F.col("before") + F.sum("n").over(in_order)
-    picked = placed.join(F.broadcast(targets), ["column", "range"]).withColumn("upto", through)
-    first = F.col("upto") - F.col("n")
-
-    def holds(rank: str):
-        return (F.col(rank) >= first) & (F.col(rank) < F.col("upto"))
-
-    ends = picked.filter(holds("low") | holds("high")).groupBy("column", "prob").agg(
-        F.max("place").alias("place"),
-        F.max("low").alias("low"),
-        F.max(F.when(holds("low"), F.col("value"))).alias("a"),
-        F.max(F.when(holds("high"), F.col("value"))).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("low"))
-    return ends.select("column", "prob", value.alias("value"))
+        for c, p in ranks
+    ]
+    none = F.array().cast("array<struct<column:string,prob:double,value:double>>")
+    hits = F.filter(F.array(*inside), lambda x: x.isNotNull()) if inside else none
+    counts = df.select(F.inline(hits)).groupBy("column", "prob", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("column", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(targets), ["column", "prob"]).withColumn("upto", F.col("before") + F.sum("n").over(order))
+
+    def at(rank: str):
+        return F.max(F.when((F.col(rank) >= F.col("upto") - F.col("n")) & (F.col(rank) < F.col("upto")), F.col("value")))
+
+    ends = placed.groupBy("column", "prob", "share").agg(at("r0").alias("a"), at("r1").alias("b"))
+    return ends.select("column", "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], max_distinct: int = PERCENTILE_MAX_DISTINCT
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    max_distinct: int = PERCENTILE_MAX_DISTINCT,
+    rough: dict[str, int] | None = None,
 ) -> DataFrame:
-    """column, prob, value: exact, by the built-in function while its buffer stays bounded."""
-    rough = approx_distinct(df, columns)
-    if all(n <= max_distinct for n in rough.values()):
-        held = long_numbers(df, columns).groupBy("column").agg(F.percentile("value", probs).alias("q"))
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("q").alias("value"))
-        return held.select("column", F.inline(pairs)).toDF("column", "prob", "value")
-    return ranked_quantiles(df, columns, probs)
+    """column, prob, value: exact, by the built-in function while its buffer stays bounded.
+
+    ``rough`` is a sketch of the distinct values, when the caller has one.
+    """
+    rough = approx_distinct(df, columns) if rough is None else rough
+    small = [c for c in columns if rough[c] <= max_distinct]
+    large = [c for c in columns if rough[c] > max_distinct]
+    if not small:
+        return selected_quantiles(df, large, probs)
+    held = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in small])
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("q").alias("value"))
+    rows = held.unpivot([], small, "column", "q").select("column", F.inline(pairs)).toDF("column", "prob", "value")
+    return rows.unionByName(selected_quantiles(df, large, probs)) if large else rows
 
 
 def _wide(quantile_rows: DataFrame, names: dict[float, str]) -> DataFrame:
@@ -170,20 +208,26 @@ def _wide(quantile_rows: DataFrame, names: dict[float, str]) -> DataFrame:
 
 def profile_continuous(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, dtype, count, null_rate, mean, std, min, q25, q50, q75, max."""
-    columns = column_types(df)[0] if columns is None else columns
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    stats = values.unpivot([], columns, "column", "value").groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.round(1 - F.count("value") / F.count("*"), 4).alias("null_rate"),
+    rough = numeric_sketch(df)
+    columns = column_types(df, rough=rough)[0] if columns is None else columns
+
+    def figures(c: str):
+        value = F.col(c).cast("double")
         # The inner rounding removes summation noise, which differs with the partitioning.
-        F.round(F.round(F.avg("value"), 11), 6).alias("mean"),
-        F.round(F.round(F.stddev_samp("value"), 11), 6).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quarters = _wide(quantiles(df, columns, [0.25, 0.5, 0.75]), {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+        return F.struct(
+            F.count(value).alias("count"),
+            F.round(1 - F.count(value) / F.count("*"), 4).alias("null_rate"),
+            F.round(F.round(F.avg(value), 11), 6).alias("mean"),
+            F.round(F.round(F.stddev_samp(value), 11), 6).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        ).alias(c)
+
+    # One wide aggregate in one pass, then one row per column.
+    stats = df.agg(*[figures(c) for c in columns]).unpivot([], columns, "column", "s").select("column", "s.*")
+    quarters = _wide(quantiles(df, columns, [0.25, 0.5, 0.75], rough=rough), {0.25: "q25", 0.5: "q50", 0.75: "q75"})
     return (
-        stats.join(quarters, "column", "left")
+        stats.join(F.broadcast(quarters), "column", "left")
         .join(F.broadcast(column_schema(df)), "column")
         .select("column", "dtype", "count", "null_rate", "mean", "std", "min", "q25", "q50", "q75", "max")
     )

@@ -89,12 +89,14 @@ def build_index(
     tokenizer: Callable[[Column], Column] = index_tokens,
     options: Options = DEFAULTS,
 ) -> SparseIndex:
-    return index_from_postings(build_postings(chunks, key, text, tokenizer), tokenizer, options)
+    """Tokenise once and write the postings; statistics and searches read those."""
+    postings = cut_lineage(build_postings(chunks, key, text, tokenizer), "postings")
+    return index_from_postings(postings, tokenizer, options)
 
 
 def append(index: SparseIndex, chunks: DataFrame, key: str, text: str, options: Options = DEFAULTS) -> SparseIndex:
     """Index over old and new chunks: postings are appended, statistics derived again."""
-    added = build_postings(chunks, key, text, index.tokenizer)
+    added = cut_lineage(build_postings(chunks, key, text, index.tokenizer), "postings")
     return index_from_postings(index.postings.unionByName(added), index.tokenizer, options)
 
 

@@ -56,9 +56,11 @@ def numbers(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
-@pytest.mark.parametrize("max_distinct", [10**6, 1])
-def test_quantiles_are_exact(numbers, max_distinct):
-    """With a limit of 1 the distributed way is taken."""
+@pytest.mark.parametrize("max_distinct, rows", [(10**6, 10**5), (1, 10**5), (1, 40)])
+def test_quantiles_are_exact(numbers, max_distinct, rows, monkeypatch):
+    """With a limit of 1 value the distributed way is taken; few rows per range force it to narrow."""
+    monkeypatch.setattr(profile.selected_quantiles, "__defaults__", (rows,))
+    monkeypatch.setattr(profile, "SKETCH_ACCURACY", 100 if rows < 100 else 10_000)
     pdf, df = numbers
     probs = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
     got = {(r.column, r.prob): r.value for r in profile.quantiles(df, list(pdf.columns), probs, max_distinct).collect()}
@@ -70,7 +72,7 @@ def test_quantiles_are_exact(numbers, max_distinct):
 def test_quantiles_of_tiny_columns(spark):
     for values in ([5.0], [1.0, 2.0], [1.0, 1.0, 9.0]):
         df = spark.createDataFrame([(v,) for v in values], "x double")
-        got = {r.prob: r.value for r in profile.ranked_quantiles(df, ["x"], [0.25, 0.5]).collect()}
+        got = {r.prob: r.value for r in profile.selected_quantiles(df, ["x"], [0.25, 0.5]).collect()}
         assert got == {p: pytest.approx(pd.Series(values).quantile(p)) for p in (0.25, 0.5)}
 
 
