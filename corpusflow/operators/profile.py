@@ -114,20 +114,29 @@ def _narrowed(df: DataFrame, ranks: dict[tuple, tuple[int, int, int]], limit: in
     found = {key: (-inf, inf, 0, total) for key, (_, _, total) in ranks.items()}
     open_keys = [key for key, (_, _, total) in ranks.items() if total > limit]
     while open_keys:
-        sketches, slack = [], 2 / SKETCH_ACCURACY
-        for i, key in enumerate(open_keys):
+        # Ranks within one range of a column share a sketch.
+        wanted: dict[tuple, list] = {}
+        for key in open_keys:
             (low, high, before, n), (r0, r1, _) = found[key], ranks[key]
-            value = F.col(key[0]).cast("double")
-            wanted = [max((r0 - before) / n - slack, 0.0), min((r1 + 1 - before) / n + slack, 1.0)]
-            sketches.append(F.percentile_approx(F.when(value.between(low, high), value), wanted, SKETCH_ACCURACY).alias(str(i)))
-        proposed = df.agg(*sketches).first()
+            slack = 2 / SKETCH_ACCURACY
+            shares = [max((r0 - before) / n - slack, 0.0), min((r1 + 1 - before) / n + slack, 1.0)]
+            wanted.setdefault((key[0], low, high), []).append((key, shares))
+        sketches = []
+        for i, ((c, low, high), held) in enumerate(wanted.items()):
+            value = F.col(c).cast("double")
+            shares = [s for _, pair in held for s in pair]
+            sketches.append(F.percentile_approx(F.when(value.between(low, high), value), shares, SKETCH_ACCURACY).alias(str(i)))
+        row = df.agg(*sketches).first()
+        proposed = {
+            key: row[i][2 * j : 2 * j + 2] for i, held in enumerate(wanted.values()) for j, (key, _) in enumerate(held)
+        }
         counts = []
         for i, key in enumerate(open_keys):
-            value, (low, high) = F.col(key[0]).cast("double"), proposed[str(i)]
+            value, (low, high) = F.col(key[0]).cast("double"), proposed[key]
             counts += [F.count_if(value < low).alias(f"{i}<"), F.count_if(value <= high).alias(f"{i}<=")]
         proven, still = df.agg(*counts).first(), []
         for i, key in enumerate(open_keys):
-            (low, high, before, n), (r0, r1, _), (new_low, new_high) = found[key], ranks[key], proposed[str(i)]
+            (low, high, before, n), (r0, r1, _), (new_low, new_high) = found[key], ranks[key], proposed[key]
             through = before + n
             if proven[f"{i}<"] <= r0:
                 low, before = new_low, proven[f"{i}<"]

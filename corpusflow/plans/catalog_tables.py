@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import cleaning, labels, profile
 from corpusflow.plans.registry import query
-from corpusflow.sources.tables import table, wide_table
+from corpusflow.sources.tables import table, table_columns
 
 EMPLOYMENT = {
     1: "< 1 year", 2: "1 year", 3: "2 years", 4: "5 years", 5: "10+ years", 6: "n/a", 7: "9 years",
@@ -19,7 +19,7 @@ EMPLOYMENT = {
 
 
 def loans(spark, folder) -> DataFrame:
-    item = wide_table(
+    item = table_columns(
         spark, folder, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax",
         "l_quantity", "l_linenumber",
     )
@@ -202,7 +202,7 @@ def _duck_type(column: str) -> str:
     + ")"
 )
 def profile_continuous(spark, folder):
-    report = profile.profile_continuous(wide_table(spark, folder, "lineitem"))
+    report = profile.profile_continuous(table_columns(spark, folder, "lineitem"))
     return report.withColumns({q: F.round(q, 6) for q in ("q25", "q50", "q75")})
 
 
@@ -218,7 +218,7 @@ def profile_continuous(spark, folder):
     + ")"
 )
 def profile_categorical(spark, folder):
-    items = wide_table(spark, folder, "lineitem")
+    items = table_columns(spark, folder, "lineitem")
     return profile.profile_categorical(items.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")))
 
 
@@ -316,7 +316,7 @@ def bad_rate_by_category(spark, folder):
 )
 def boxplot_stats(spark, folder):
     boxes = profile.boxplot_stats(
-        wide_table(spark, folder, "lineitem", "l_quantity", "l_extendedprice", "l_discount"),
+        table_columns(spark, folder, "lineitem", "l_quantity", "l_extendedprice", "l_discount"),
         ["l_quantity", "l_extendedprice", "l_discount"],
     )
     return boxes.withColumns({q: F.round(q, 6) for q in ("q1", "median", "q3")})

@@ -6,14 +6,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.session import spread
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The table (or some columns) with at least one partition per core."""
+def table_columns(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     rows = table(spark, folder, name)
-    return spread(rows.select(*columns) if columns else rows)
+    return rows.select(*columns) if columns else rows
