@@ -16,6 +16,11 @@ MAX_BROADCAST_QUERIES = 4096
 CELLS = 64
 BLOCK_ROWS = 50_000
 BLOCK_QUERIES = 2_000
+# Queries compared with a block of vectors at a time, which bounds the distance matrix.
+STRIPE = 256
+# Above this many tasks their results are merged in two steps.
+MANY_PARTS = 1_000
+MERGE_SALTS = 64
 DIGITS = 9
 
 
@@ -38,13 +43,14 @@ def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _merge_block(best, qids, queries, ids, vectors, k):
     """Fold a block of vectors into the running best lists, one per query."""
-    dist = _distances(queries, vectors)
-    for i, qid in enumerate(qids):
-        d, x = dist[i], ids
-        if qid in best:
-            d, x = np.concatenate([best[qid][0], d]), np.concatenate([best[qid][1], x])
-        at = _smallest(d, x, k)
-        best[qid] = (d[at], x[at])
+    for start in range(0, len(qids), STRIPE):
+        dist = _distances(queries[start : start + STRIPE], vectors)
+        for qid, row in zip(qids[start : start + STRIPE], dist):
+            d, x = row, ids
+            if qid in best:
+                d, x = np.concatenate([best[qid][0], d]), np.concatenate([best[qid][1], x])
+            at = _smallest(d, x, k)
+            best[qid] = (d[at], x[at])
 
 
 def _best_frame(best) -> pd.DataFrame:
@@ -166,6 +172,20 @@ def _cell_join(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _merged(near: DataFrame, k: int) -> DataFrame:
+    """Best k rows per query out of the k that each task found.
+
+    With very many tasks the rows of a query are first cut down in groups of
+    tasks, so that no single task sorts the results of all of them.
+    """
+    if near.rdd.getNumPartitions() > MANY_PARTS:
+        salted = near.withColumn("salt", F.spark_partition_id() % MERGE_SALTS)
+        by_group = Window.partitionBy("query_id", "salt").orderBy("distance", "chunk_key")
+        near = salted.withColumn("rank", F.row_number().over(by_group)).filter(F.col("rank") <= k).drop("salt", "rank")
+    window = Window.partitionBy("query_id").orderBy("distance", "chunk_key")
+    return near.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+
 def nearest(
     corpus: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_BROADCAST_QUERIES
 ) -> DataFrame:
@@ -175,8 +195,7 @@ def nearest(
     """
     held = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
     near = _scan(corpus, queries, held, k) if len(held) <= max_queries else _cell_join(corpus, queries, k)
-    window = Window.partitionBy("query_id").orderBy("distance", "chunk_key")
-    return near.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return _merged(near, k)
 
 
 def within(ranked: DataFrame, max_distance: float) -> DataFrame:

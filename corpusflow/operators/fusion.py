@@ -6,11 +6,14 @@ All groups here hold at most the summed length of the lists per query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.hashing import hamming
 from corpusflow.options import DEFAULTS
-from corpusflow.session import stable, union_on
+from corpusflow.session import cut_lineage, stable, union_on
 
 
 def union_lists(lists: list[DataFrame]) -> DataFrame:
@@ -112,3 +115,41 @@ def fuse(method: str, lists: list[DataFrame], top_k: int = 5, weights: list[floa
     if method in ("average", "weighted", "max", "min"):
         return score_level(lists, top_k, weights, method)
     return reciprocal_rank(lists, top_k, weights)
+
+
+def without_near_copies(candidates: DataFrame, top_k: int, max_distance: int) -> DataFrame:
+    """query_id, chunk_key, rank: candidates in rank order, without those close to a better one that stays.
+
+    ``candidates``: query_id, chunk_key, rank, signature; at most a few times
+    top_k per query, so one query's candidates fit in one row.
+    """
+    kind = F.array().cast("array<struct<rank:int,chunk_key:{},signature:bigint>>".format(
+        candidates.schema["chunk_key"].dataType.simpleString()
+    ))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_key", "signature")))
+
+    def keep(kept, x):
+        close = F.exists(kept, lambda y: hamming(x["signature"], y["signature"]) <= max_distance)
+        return F.when(close, kept).otherwise(F.array_append(kept, x))
+
+    rows = candidates.groupBy("query_id").agg(in_order.alias("in_order"))
+    kept = rows.select("query_id", F.posexplode(F.aggregate("in_order", kind, keep)).alias("pos", "c"))
+    return kept.filter(F.col("pos") < top_k).select("query_id", F.col("c.chunk_key").alias("chunk_key"), (F.col("pos") + 1).alias("rank"))
+
+
+def fuse_distinct(
+    lists: list[DataFrame], top_k: int, signatures: Callable[[DataFrame], DataFrame] | None = None,
+    max_distance: int = 3, weights: list[float] | None = None,
+) -> DataFrame:
+    """Reciprocal rank over twice top_k candidates, cut to top_k.
+
+    ``signatures`` maps the distinct candidate keys (chunk_key) to chunk_key,
+    signature; with it, near copies are removed before the cut.
+    """
+    fused = reciprocal_rank(lists, 2 * top_k, weights)
+    if signatures is None:
+        return fused.filter(F.col("rank") <= top_k)
+    fused = cut_lineage(fused, "fused")
+    found = signatures(fused.select("chunk_key").distinct())
+    kept = without_near_copies(fused.join(found, "chunk_key"), top_k, max_distance)
+    return fused.drop("rank").join(kept, ["query_id", "chunk_key"])

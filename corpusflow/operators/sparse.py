@@ -37,7 +37,7 @@ def build_postings(
 ) -> DataFrame:
     """chunk_key, len, term, tf for every chunk that is not blank."""
     tokens = (
-        chunks.filter(F.trim(F.col(text)) != "")
+        chunks.filter(F.col(text).rlike(r"[^\s\p{Z}]"))
         .select(F.col(key).alias("chunk_key"), tokenizer(F.col(text)).alias("tokens"))
     )
     document_row = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import hashing, text
-from corpusflow.operators import chunking, dedup
+from corpusflow.operators import chunking, dedup, fusion
+from corpusflow.plans.catalog_retrieval import RRF_SQL, ranked_lists
 from corpusflow.plans.registry import query
-from corpusflow.session import spread
+from corpusflow.session import cut_lineage, spread
 from corpusflow.sources import stores
 from corpusflow.sources.tables import table
 
@@ -103,8 +104,6 @@ SIGNATURE_SQL = (
 
 def signatures(spark, folder) -> DataFrame:
     """ord, signature of every document, written once: the steps below read it several times."""
-    from corpusflow.session import cut_lineage
-
     rows = dedup.projected_signature(docs(spark, folder), "doc_id")
     return cut_lineage(rows.select(F.col("doc_id").alias("ord"), "signature"), "signatures")
 
@@ -142,6 +141,29 @@ def chunk_dedup(spark, folder):
     return verdicts.select(F.col("ord").alias("doc_id"), "duplicate_of")
 
 
+@query(
+    f"""WITH RECURSIVE {RRF_SQL}, {SIGNATURE_SQL},
+    cd AS (SELECT query_id, doc_id, rank, signature, rrf_score FROM fused JOIN sig USING (doc_id) WHERE rank <= 20),
+    step AS (SELECT query_id, 0::BIGINT AS rank, []::BIGINT[] AS kept, NULL::BIGINT AS doc_id, 0::BIGINT AS place FROM vq UNION ALL
+      SELECT cd.query_id, cd.rank,
+        CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, signature)) <= 3)) > 0 THEN kept ELSE list_append(kept, signature) END,
+        CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, signature)) <= 3)) > 0 THEN NULL ELSE cd.doc_id END, len(kept) + 1
+      FROM step JOIN cd ON cd.query_id = step.query_id AND cd.rank = step.rank + 1)
+    SELECT step.query_id, step.doc_id, place AS rank, round(rrf_score, 9) AS rrf_score
+    FROM step JOIN cd USING (query_id, rank) WHERE step.doc_id IS NOT NULL AND place <= 10"""
+)
+def fusion_distinct(spark, folder):
+    """The ten best fused documents out of twenty, without near copies of a better one."""
+    texts = docs(spark, folder)
+
+    def signed(keys: DataFrame) -> DataFrame:
+        wanted = texts.join(keys.withColumnRenamed("chunk_key", "doc_id"), "doc_id", "left_semi")
+        return dedup.projected_signature(wanted, "doc_id").withColumnRenamed("doc_id", "chunk_key")
+
+    fused = fusion.fuse_distinct(ranked_lists(spark, folder), 10, signed)
+    return fused.select("query_id", F.col("chunk_key").alias("doc_id"), "rank", F.round("rrf_score", 9).alias("rrf_score"))
+
+
 @query()
 def chunk_documents(spark, folder):
     return chunking.chunk_documents(cleaned(spark, folder))

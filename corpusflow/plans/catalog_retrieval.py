@@ -184,7 +184,7 @@ def vector_within_distance(spark, folder):
     )
 
 
-def _lists(spark, folder):
+def ranked_lists(spark, folder):
     queries = vector_queries(spark, folder)
     return [
         retrieval.vector_list(document_vectors(spark, folder), queries, 30),
@@ -197,7 +197,7 @@ def _lists(spark, folder):
     FROM fused WHERE rank <= 20"""
 )
 def rrf_fusion(spark, folder):
-    fused = fusion.reciprocal_rank(_lists(spark, folder), 20, [0.5, 0.5], 60)
+    fused = fusion.reciprocal_rank(ranked_lists(spark, folder), 20, [0.5, 0.5], 60)
     return fused.select(
         "query_id", F.col("chunk_key").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"),
         F.col("ranks")[0].alias("vector_rank"), F.col("ranks")[1].alias("bm25_rank"), "rank",
@@ -214,7 +214,7 @@ def _score_sql(fold: str) -> str:
 
 
 def _score_fusion(spark, folder, method):
-    fused = fusion.fuse(method, _lists(spark, folder), 20)
+    fused = fusion.fuse(method, ranked_lists(spark, folder), 20)
     return fused.select("query_id", F.col("chunk_key").alias("doc_id"), F.round("fused_score", 6).alias("fused_score"), "rank")
 
 
@@ -277,8 +277,10 @@ def _bm25_candidates(spark, folder, k):
     """Top BM25 documents with their texts; the pair scorer sees nothing else."""
     queries = text_queries(spark, folder)
     found = sparse.search(build(spark, folder), queries, k)
+    few = retrieval.few_results(queries, k)
     texts = queries.select("query_id", F.col("text").alias("query_text"))
-    return retrieval.attach_text(found, documents(spark, folder), True).join(F.broadcast(texts), "query_id")
+    rows = retrieval.attach_text(found, documents(spark, folder), few)
+    return rows.join(F.broadcast(texts) if few else texts, "query_id")
 
 
 RERANK_BM25_SQL = rf"""
@@ -353,6 +355,39 @@ def web_results(spark, folder, k: int = 5) -> DataFrame:
     return top_ranked(pages, k, "chunk_key", descending=False)
 
 
+@query(
+    rf"""WITH {BM25_SQL},
+    pk AS (SELECT page_id, unnest(regexp_extract_all(html, {TOKENS})) AS term FROM pages),
+    ptf AS (SELECT page_id, term, count(*) AS tf FROM pk GROUP BY ALL),
+    pl AS (SELECT page_id, len(regexp_extract_all(html, {TOKENS})) AS len FROM pages),
+    pc AS (SELECT count(*) AS n, avg(len) AS avglen FROM pl),
+    pr AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM ptf, pc GROUP BY term, n),
+    pt AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM pr) ELSE raw END AS idf FROM pr),
+    pw AS (SELECT query_id, term, count(*) * any_value(idf) AS w FROM qt JOIN pt USING (term) GROUP BY ALL),
+    ps AS (SELECT query_id, page_id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avglen))) AS score
+      FROM ptf JOIN pw USING (term) JOIN pl USING (page_id), pc GROUP BY ALL),
+    pn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM ps),
+    web AS (SELECT query_id, string_agg('[网页 ' || rank || ': ' || regexp_extract(html, '<title>(.*?)</title>', 1) || ']' || chr(10) ||
+      '链接: ' || url || chr(10) || regexp_extract(html, '(?s)<p>(.*?)</p>', 1), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS w
+      FROM pn JOIN pages USING (page_id) WHERE rank <= 3 AND score > 0 GROUP BY query_id),
+    kb AS (SELECT query_id, string_agg('[来源 ' || rank || ': ' || source || ' | ' || lang || '] (相关度: ' ||
+      printf('%.2f', greatest(0, least(1, score))) || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS k
+      FROM bm25_all JOIN docs USING (doc_id) WHERE rank <= 3 AND score > 0 GROUP BY query_id)
+    SELECT query_id, concat_ws(chr(10) || chr(10), '【知识库检索结果】' || chr(10) || k, '【网络检索结果】' || chr(10) || w) AS context
+    FROM kb FULL JOIN web USING (query_id)"""
+)
+def combined_context(spark, folder):
+    """Documents and pages found for every benchmark text, documents first."""
+    queries = text_queries(spark, folder)
+    pages = spread(table(spark, folder, "pages").select(F.col("page_id").alias("chunk_key"), "url", F.col("html").alias("text")))
+    hits = sparse.search(sparse.build_index(pages), queries, 3)
+    title = F.regexp_extract("text", "<title>(.*?)</title>", 1).alias("title")
+    snippet = F.regexp_extract("text", "(?s)<p>(.*?)</p>", 1).alias("snippet")
+    side = F.broadcast(hits) if retrieval.few_results(queries, 3) else hits
+    web = pages.select("chunk_key", "url", title, snippet).join(side, "chunk_key")
+    return context.combined_context(context.knowledge_context(_bm25_candidates(spark, folder, 3)), context.web_context(web))
+
+
 @query(
     """SELECT doc_id, source || '::' || lang AS fusion_key FROM documents"""
 )

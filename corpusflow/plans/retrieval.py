@@ -11,7 +11,7 @@ from corpusflow.functions.text import token_overlap
 from corpusflow.operators import dense, fusion, rerank, sparse
 from corpusflow.operators.context import hybrid_part, packed_context
 from corpusflow.options import DEFAULTS, Options
-from corpusflow.session import is_small
+from corpusflow.session import BROADCAST_MAX_ROWS, is_small
 
 
 def vector_list(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -24,13 +24,18 @@ def bm25_list(index: sparse.SparseIndex, queries: DataFrame, k: int, options: Op
     return sparse.search(index, queries, k, options=options).select("query_id", "chunk_key", "rank", "score")
 
 
-def attach_text(ranked: DataFrame, chunks: DataFrame, n_queries_small: bool) -> DataFrame:
+def few_results(queries: DataFrame, k: int) -> bool:
+    """Whether k results per query stay within the broadcast limit."""
+    return is_small(queries.select("query_id", "text"), max_rows=BROADCAST_MAX_ROWS // k)
+
+
+def attach_text(ranked: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
     """Add source, section and text to ranked rows by key.
 
-    Ranked rows number at most queries times k, so they are broadcast when the
-    query batch was found small; the text table is never shuffled then.
+    ``few`` tells that the ranked rows were found to be within the broadcast
+    limit; the text table is not shuffled then.
     """
-    side = F.broadcast(ranked) if n_queries_small else ranked
+    side = F.broadcast(ranked) if few else ranked
     return chunks.select("chunk_key", "source", "section", "text").join(side, "chunk_key")
 
 
@@ -61,7 +66,7 @@ def hybrid_search(
 
     ``queries``: query_id, text, embedding. ``chunks``: chunk_key, source, section, text.
     """
-    small = is_small(queries.select("query_id", "text"))
+    small = few_results(queries, options.fusion_k)
     candidates = fused_candidates(index, vectors, queries, options)
     texts = queries.select("query_id", F.col("text").alias("query_text"))
     if small:

@@ -31,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new sub-folder name inside the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new folder name inside the shared folder; all of an application's folders have one parent."""
+    return os.path.join(shared_dir(spark), f"corpusflow-{spark.sparkContext.applicationId}", f"{label}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
