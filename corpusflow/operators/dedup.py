@@ -42,18 +42,11 @@ def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFr
     tokens = docs.select(key, F.explode_outer(words(F.col(text))).alias("t")).select(key, token_md5(F.col("t")).alias("h"))
     # One sum counts bits i and i + 32 in its two halves; a row holds fewer than 2^31 words.
     half = BITS // 2
-    sums = tokens.groupBy(key).agg(
-        *[F.sum(F.expr(f"shiftrightunsigned(h, {i}) & 4294967297")).alias(f"s{i}") for i in range(half)]
-    )
-    bits = [F.col(f"s{i}").bitwiseAND(F.lit(2**32 - 1)) for i in range(half)]
-    bits += [F.expr(f"shiftrightunsigned(s{i}, 32)") for i in range(half)]
-    signature = F.lit(0).cast("long")
-    for i, count in enumerate(bits):
-        value = (1 << i) if i < 63 else -(1 << 63)
-        bit = F.when(count * BITS > F.col("total"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long"))
-        signature = signature.bitwiseOR(bit)
-    counted = sums.withColumn("total", sum(bits[1:], bits[0]))
-    return counted.select(key, F.coalesce(signature, F.lit(0).cast("long")).alias("signature"))
+    sums = tokens.groupBy(key).agg(*[F.expr(f"sum(shiftrightunsigned(h, {i}) & 4294967297) AS s{i}") for i in range(half)])
+    counts = [f"(s{i} & 4294967295)" for i in range(half)] + [f"shiftrightunsigned(s{i}, 32)" for i in range(half)]
+    bits = [f"if({count} * {BITS} > total, shiftleft(1L, {i}), 0L)" for i, count in enumerate(counts)]
+    counted = sums.withColumn("total", F.expr(" + ".join(counts)))
+    return counted.select(key, F.coalesce(F.expr(" | ".join(bits)), F.lit(0).cast("long")).alias("signature"))
 
 
 def _signed(mask: int) -> int:
