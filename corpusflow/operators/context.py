@@ -39,24 +39,21 @@ def hybrid_part(source: Column, section: Column, ranks: Column, text: Column) ->
     )
 
 
-def pack(parts: DataFrame, budget: int, part: str = "part") -> DataFrame:
-    """Parts taken in rank order until the next one would exceed the budget.
+def packed_context(parts: DataFrame, budget: int, part: str = "part") -> DataFrame:
+    """query_id, n_parts, context: parts in rank order until the next one would exceed the budget.
 
     Lengths are positive, so a running sum within the budget is the same as
-    stopping at the first part that does not fit. Separators are not counted.
+    stopping at the first part that does not fit. Separators are not counted. A
+    query whose first part is too long gets an empty context.
     """
     window = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn("used", F.sum(F.length(part)).over(window)).filter(F.col("used") <= budget)
-
-
-def packed_context(parts: DataFrame, budget: int, part: str = "part") -> DataFrame:
-    """query_id, n_parts, context; a query whose first part is too long gets an empty context."""
-    joined = pack(parts, budget, part).groupBy("query_id").agg(
-        F.count("*").alias("n_parts"), ordered_join(F.col("rank"), F.col(part), SEPARATOR).alias("context")
+    fits = F.sum(F.length(part)).over(window) <= budget
+    kept = F.filter(
+        F.array_sort(F.collect_list(F.struct("rank", F.when(F.col("fits"), F.col(part)).alias("p")))),
+        lambda x: x["p"].isNotNull(),
     )
-    return (
-        parts.select("query_id").distinct().join(joined, "query_id", "left")
-        .select("query_id", F.coalesce("n_parts", F.lit(0)).alias("n_parts"), F.coalesce("context", F.lit("")).alias("context"))
+    return parts.withColumn("fits", fits).groupBy("query_id").agg(
+        F.count_if("fits").alias("n_parts"), F.array_join(F.transform(kept, lambda x: x["p"]), SEPARATOR).alias("context")
     )
 
 

@@ -96,13 +96,13 @@ def bad_rate_by_category(
 
 def run_summary(cleaning: DataFrame, labels: DataFrame, n_numeric: int, n_categorical: int) -> DataFrame:
     """One sentence over the cleaning summary and the label summary (one row each)."""
-    both = cleaning.withColumn("one", F.lit(1)).join(F.broadcast(labels.withColumn("one", F.lit(1))), "one")
+    both = cleaning.withColumn("l", labels.select(F.struct(*labels.columns)).scalar())
     text = F.format_string(
         "数据清洗完成：原始 %,d 行 %,d 列 → 清洗后 %,d 行 %,d 列（删除 %d 列）。"
         "好坏样本分析：%,d 个有效样本中，好样本(M0) %,d（%s%%），坏样本(M1+) %,d（%s%%）。"
         "已生成 %d 张连续特征分布图 + %d 张类别特征分布图。",
         "n_raw_rows", "n_raw_cols", "n_clean_rows", "n_clean_cols", "n_dropped_cols",
-        "n_total", "n_good", F.col("good_ratio").cast("string"), "n_bad", F.col("bad_ratio").cast("string"),
+        "l.n_total", "l.n_good", F.col("l.good_ratio").cast("string"), "l.n_bad", F.col("l.bad_ratio").cast("string"),
         F.lit(n_numeric), F.lit(n_categorical),
     )
     return both.select(text.alias("summary"))

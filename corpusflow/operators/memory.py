@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import ordered_join
 from corpusflow.operators import dense
-from corpusflow.operators.windows import running_sum
+from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS
 
 # Words that are no keywords. Only single characters can match.
@@ -70,8 +70,8 @@ def summary_triggers(
     conversation is long enough to be summarised.
     """
     is_user = (F.col("role") == "user").cast("long")
-    rows = running_sum(turns.select("conv_id", "turn", "role"), ["conv_id"], "turn", is_user, "user_turns")
-    rows = running_sum(rows, ["conv_id"], "turn", F.lit(1).cast("long"), "n_messages")
+    counts = {"user_turns": is_user, "n_messages": F.lit(1).cast("long")}
+    rows = running_sums(turns.select("conv_id", "turn", "role"), ["conv_id"], "turn", counts)
     fires = (F.col("role") == "user") & (F.col("user_turns") % every == 0) & (F.col("n_messages") >= min_messages)
     return rows.filter(fires).select("conv_id", "turn", "user_turns", "n_messages")
 

@@ -20,10 +20,9 @@ def query_metrics(log: DataFrame, window: int = DEFAULTS.metrics_window) -> Data
         F.count_if("is_error").alias("errors"),
         F.count_if("cache_hit").alias("hits"),
         F.count("cache_hit").alias("looked_up"),
-        F.lit(1).alias("one"),
     )
     recent = log.select("seq", "duration").orderBy(F.desc("seq")).limit(window).agg(
-        F.array_sort(F.collect_list("duration")).alias("times"), F.lit(1).alias("one")
+        F.array_sort(F.collect_list("duration"))
     )
     n = F.size("times")
 
@@ -34,7 +33,7 @@ def query_metrics(log: DataFrame, window: int = DEFAULTS.metrics_window) -> Data
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole) * 100).otherwise(0.0)
 
     mean = F.when(n > 0, F.aggregate("times", F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-    return totals.join(F.broadcast(recent), "one").select(
+    return totals.withColumn("times", recent.scalar()).select(
         "total_queries",
         mean.alias("avg_response_time"),
         at(0.95).alias("p95_response_time"),

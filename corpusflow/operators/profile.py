@@ -299,14 +299,12 @@ def cleaning_summary(raw: DataFrame, cleaned: DataFrame, threshold: int = DEFAUL
         *[F.count(c).alias(c) for c in cleaned.columns],
     )
     gaps = sum(((F.col(c) < F.col("n_clean_rows")).cast("int") for c in cleaned.columns), F.lit(0))
-    one = after.select("n_clean_rows", gaps.alias("n_missing_cols"), F.lit(1).alias("one"))
-    before = raw.agg(F.count("*").alias("n_raw_rows")).withColumn("one", F.lit(1))
-    return before.join(F.broadcast(one), "one").select(
-        "n_raw_rows", "n_clean_rows",
+    return after.select(
+        raw.agg(F.count("*")).scalar().alias("n_raw_rows"), "n_clean_rows",
         F.lit(len(raw.columns)).alias("n_raw_cols"),
         F.lit(len(cleaned.columns)).alias("n_clean_cols"),
         F.lit(len(raw.columns) - len(cleaned.columns)).alias("n_dropped_cols"),
         F.lit(len(continuous)).alias("n_continuous"),
         F.lit(len(categorical)).alias("n_categorical"),
-        "n_missing_cols",
+        gaps.alias("n_missing_cols"),
     )

@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 BLOCK = 10_000
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], position: str, value: Column, name: str, block: int = BLOCK
+def running_sums(
+    df: DataFrame, keys: list[str], position: str, values: dict[str, Column], block: int = BLOCK
 ) -> DataFrame:
-    """Add the sum of ``value`` over all rows of a key up to this position.
+    """Add columns with the sum of each value over all rows of a key up to this position.
 
     Positions are ordinals. Blocks of positions are summed first; the running
     total over blocks is small and is joined back, so that the ordered window
     spans one block of a key, however long the key is.
     """
-    rows = df.withColumns({"__block": F.floor(F.col(position) / block), "__value": value})
-    sums = rows.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
+    names = list(values)
+    rows = df.withColumns({"__block": F.floor(F.col(position) / block), **{f"__{n}": v for n, v in values.items()}})
+    sums = rows.groupBy(*keys, "__block").agg(*[F.sum(f"__{n}").alias(n) for n in names])
     over_blocks = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "__block", F.coalesce(F.sum("__sum").over(over_blocks), F.lit(0)).alias("__before"))
+    offsets = sums.select(
+        *keys, "__block", *[F.coalesce(F.sum(n).over(over_blocks), F.lit(0)).alias(f"__before_{n}") for n in names]
+    )
     within = Window.partitionBy(*keys, "__block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(offsets, [*keys, "__block"])
-        .withColumn(name, F.col("__before") + F.sum("__value").over(within))
-        .drop("__block", "__value", "__before")
+        .withColumns({n: F.col(f"__before_{n}") + F.sum(f"__{n}").over(within) for n in names})
+        .drop("__block", *[f"__{n}" for n in names], *[f"__before_{n}" for n in names])
     )

@@ -113,8 +113,6 @@ def corpus_stats(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     text = chunks.agg(
         F.count("*").alias("n_chunks"),
         F.count_distinct("source").alias("n_sources"),
-        F.count_if(F.trim("text") != "").alias("n_indexed"),
-        F.lit(1).alias("one"),
+        F.count_if(F.col("text").rlike(r"[^\s\p{Z}]")).alias("n_indexed"),
     )
-    held = vectors.agg(F.count("*").alias("n_vectors"), F.lit(1).alias("one"))
-    return text.join(F.broadcast(held), "one").select("n_chunks", "n_sources", "n_indexed", "n_vectors")
+    return text.select("*", vectors.agg(F.count("*")).scalar().alias("n_vectors"))

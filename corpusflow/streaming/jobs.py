@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.functions.classify import route
-from corpusflow.operators.windows import running_sum
+from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.plans.ingest import Corpus, ingest
 from corpusflow.sources.stores import read_or_empty
@@ -111,8 +111,8 @@ class TriggerCounter:
         if batch and batch == base:
             self._write(self._counts(base - self.snapshot_every, batch), "snapshots", batch)
         is_user = (F.col("role") == "user").cast("long")
-        numbered = running_sum(rows.select("conv_id", "turn", "role"), ["conv_id"], "turn", is_user, "u")
-        numbered = running_sum(numbered, ["conv_id"], "turn", F.lit(1).cast("long"), "m")
+        counts = {"u": is_user, "m": F.lit(1).cast("long")}
+        numbered = running_sums(rows.select("conv_id", "turn", "role"), ["conv_id"], "turn", counts)
         counted = numbered.join(self._counts(base, batch), "conv_id", "left").withColumns({
             "user_turns": F.col("u") + F.coalesce("users", F.lit(0)),
             "n_messages": F.col("m") + F.coalesce("messages", F.lit(0)),

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import memory, metrics
-from corpusflow.operators.windows import running_sum
+from corpusflow.operators.windows import running_sums
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def test_triggers(turns, every, minimum):
 
 def test_running_sum_over_blocks(spark):
     pdf = pd.DataFrame({"k": [1] * 95 + [2] * 5, "p": list(range(95)) + list(range(5)), "v": range(100)})
-    got = running_sum(spark.createDataFrame(pdf), ["k"], "p", F.col("v"), "s", block=7).orderBy("k", "p").toPandas()
+    got = running_sums(spark.createDataFrame(pdf), ["k"], "p", {"s": F.col("v")}, block=7).orderBy("k", "p").toPandas()
     assert list(got["s"]) == list(pdf.groupby("k")["v"].cumsum())
 
 
