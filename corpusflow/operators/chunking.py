@@ -72,25 +72,27 @@ def text_spans(text: str, size: int, overlap: int, separators: list[str] = SEPAR
     return spans
 
 
-def chunk_spans(options: Options = DEFAULTS) -> Callable[[Column], Column]:
-    """Arrow-batched function text -> array<struct<start, end>>; texts stay in the JVM on the way back."""
+def chunk_parts(options: Options = DEFAULTS) -> Callable[[Column], Column]:
+    """Arrow-batched function text -> array<struct<idx, start, text>>, linear in the length of the text."""
     size, overlap = options.chunk_size, options.chunk_overlap
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [{"start": a, "end": b} for a, b in text_spans(t, size, overlap)] if t is not None else []
-        )
+    def cut(text: str | None) -> list[dict]:
+        spans = text_spans(text, size, overlap) if text is not None else []
+        return [{"idx": i, "start": a, "text": text[a:b]} for i, (a, b) in enumerate(spans)]
 
-    return spans
+    @F.pandas_udf("array<struct<idx:int,start:int,text:string>>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(cut)
+
+    return parts
 
 
 def split_rows(df: DataFrame, keep: list[str], index: str, options: Options = DEFAULTS) -> DataFrame:
     """Rows of ``df`` cut into chunks: keep columns, ``index`` (from 0), start_index, text."""
-    spans = chunk_spans(options)(F.col("text")).alias("spans")
-    cut = df.select(*keep, "text", spans).select(*keep, "text", F.posexplode("spans").alias(index, "span"))
-    body = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    return cut.select(*keep, index, F.col("span.start").alias("start_index"), body.alias("text"))
+    cut = df.select(*keep, chunk_parts(options)(F.col("text")).alias("parts"))
+    # The plain generator would make the optimizer run the chunker once more, as a filter on its result.
+    rows = cut.select(*keep, F.inline_outer("parts")).filter(F.col("idx").isNotNull())
+    return rows.withColumnsRenamed({"idx": index, "start": "start_index"})
 
 
 def chunk_documents(docs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -106,7 +108,7 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     Headings of levels 1 to 3 outside fenced code end a section and are not
     part of its text. Numbering counts every section, short ones included.
     """
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = docs.select("doc_id", "source", F.posexplode_outer(F.split("text", "\n")).alias("pos", "raw"))
     line = F.regexp_replace(strip(F.col("raw")), r"[\p{C}\p{Z}&&[^ ]]", "")
     lines = lines.select("doc_id", "source", "pos", line.alias("line")).filter(F.col("line") != "")
     fence = F.col("line").rlike(r"^(```(?!.*```)|~~~)").cast("int")

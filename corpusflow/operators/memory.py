@@ -79,7 +79,7 @@ def summary_triggers(
 def top_characters(texts: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
     """key, rank, ch, n: most frequent characters without stop words; the first seen wins a tie."""
     single = [w for w in STOP_WORDS if len(w) == 1]
-    chars = texts.select(key, F.posexplode(F.split(text, "")).alias("pos", "ch"))
+    chars = texts.select(key, F.posexplode_outer(F.split(text, "")).alias("pos", "ch"))
     kept = chars.filter(~F.col("ch").rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*$") & ~F.col("ch").isin(single))
     counts = kept.groupBy(key, "ch").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     window = Window.partitionBy(key).orderBy(F.desc("n"), "first")

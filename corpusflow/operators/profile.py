@@ -176,7 +176,7 @@ def selected_quantiles(df: DataFrame, columns: list[str], probs: list[float], li
     ]
     none = F.array().cast("array<struct<column:string,prob:double,value:double>>")
     hits = F.filter(F.array(*inside), lambda x: x.isNotNull()) if inside else none
-    counts = df.select(F.inline(hits)).groupBy("column", "prob", "value").agg(F.count("*").alias("n"))
+    counts = df.select(F.inline_outer(hits)).filter(F.col("column").isNotNull()).groupBy("column", "prob", "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("column", "prob").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.join(F.broadcast(targets), ["column", "prob"]).withColumn("upto", F.col("before") + F.sum("n").over(order))
 

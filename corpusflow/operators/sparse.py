@@ -45,7 +45,8 @@ def build_postings(
     return tokens.select(
         "chunk_key",
         F.size("tokens").alias("len"),
-        F.inline(F.concat(runs, F.array(document_row))),
+        # Never empty; the outer form keeps the optimizer from computing the array again as a filter.
+        F.inline_outer(F.concat(runs, F.array(document_row))),
     )
 
 
@@ -103,8 +104,8 @@ def append(index: SparseIndex, chunks: DataFrame, key: str, text: str, options:
 def query_weights(index: SparseIndex, queries: DataFrame) -> DataFrame:
     """query_id, term, weight = idf times the term's count in the query."""
     terms = queries.select(
-        "query_id", F.inline(term_counts(index.tokenizer(F.col("text"))))
-    ).withColumnRenamed("tf", "qtf")
+        "query_id", F.inline_outer(term_counts(index.tokenizer(F.col("text"))))
+    ).filter(F.col("term").isNotNull()).withColumnRenamed("tf", "qtf")
     side = F.broadcast(terms) if is_small(terms) else terms
     return index.terms.join(side, "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
 
