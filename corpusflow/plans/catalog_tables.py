@@ -206,14 +206,17 @@ def profile_continuous(spark, folder):
     return report.withColumns({q: F.round(q, 6) for q in ("q25", "q50", "q75")})
 
 
+CATEGORICAL_TYPES = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"}
+
+
 @query(
     "SELECT * FROM ("
     + " UNION ALL ".join(
         f"""SELECT "column", dtype, count, null_rate, n_unique, top_value, round(n / count, 4) AS top_freq FROM (
-        SELECT '{c}' AS "column", '{t}' AS dtype, sum(n)::BIGINT AS count, 0.0::DOUBLE AS null_rate, count(*) AS n_unique,
-          arg_min(v, (-n, v)) AS top_value, max(n) AS n
-        FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM lineitem GROUP BY 1))"""
-        for c, t in [("l_linenumber", "int"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp")]
+        SELECT '{c}' AS "column", '{CATEGORICAL_TYPES.get(c) or _duck_type(c)}' AS dtype, sum(n)::BIGINT AS count,
+          0.0::DOUBLE AS null_rate, count(*) AS n_unique, arg_min(v, (-n, v)) AS top_value, max(n) AS n
+        FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM lineitem GROUP BY 1)) WHERE {'n_unique <= 10' if c in LINEITEM_NUMBERS else 'true'}"""
+        for c in LINEITEM_COLUMNS
     )
     + ")"
 )
