@@ -38,3 +38,53 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from corpusflow.llm import counting
 
     return counting.token_counts(table(spark, folder, "documents"))
+
+
+# Distinct 2-word shingles are compared as strings; links by brute force over pairs that share one.
+OP5_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
+"""
+
+
+@query(OP5_SQL)
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import minhash
+
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import quality
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import decontaminate
+
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
