@@ -119,3 +119,10 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from corpusflow.llm import binary
 
     return binary.token_files(table(spark, folder, "documents"))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import substrings
+
+    return substrings.without_repeats(table(spark, folder, "documents")).drop("kept")
