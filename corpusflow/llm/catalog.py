@@ -126,3 +126,18 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from corpusflow.llm import substrings
 
     return substrings.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import pages
+
+    return pages.extracted(table(spark, folder, "pages"))
+
+
+@query()
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import secrets
+
+    forest = secrets.fit_forest(secrets.public_findings(spark))
+    return secrets.findings(table(spark, folder, "documents"), forest)
