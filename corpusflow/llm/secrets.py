@@ -277,7 +277,8 @@ def findings(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), source.alias("path"))
     rows = _scanned(rows, forest, "text", "path").filter(F.size("__parts") > 1)
     # Characters up to each candidate: small rows of one document meet, never texts.
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode("__parts").alias("number", "part"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "row", F.posexplode("__parts").alias("number", "part"))
     rows = rows.select(
         "doc_id", "row", F.col("number") + 1, F.length("part.gap").alias("gap"), F.length("part.hit").alias("length"),
         F.col("part.score").alias("score"), F.sha2("part.hit", 256).alias("sha256"), F.left("part.hit", F.lit(4)).alias("preview"),

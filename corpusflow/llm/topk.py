@@ -159,10 +159,10 @@ def query_batches(queries: DataFrame, batch: int) -> Iterator[dict[int, tuple[np
 
 def _by_length(group: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     sizes = {len(v) for _, v in group}
+    by_size = {s: [(i, v) for i, v in group if len(v) == s] for s in sizes}
     return {
-        s: (np.array([i for i, v in group if len(v) == s], np.int64),
-            np.array([v for _, v in group if len(v) == s], np.float64).reshape(-1, s))
-        for s in sizes
+        s: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64).reshape(len(rows), s))
+        for s, rows in by_size.items()
     }
 
 
