@@ -16,7 +16,7 @@ END_ID = 2
 BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces that one task packs; partitions that meet in an exchange never bring more than this together.
 ITEMS = 20_000
-FAN_IN = 16
+FAN_IN = 4
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -132,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS) -> Dat
     Full pieces are sequences of their own. The others are dealt over partitions
     of about ``items`` pieces and packed best-fit decreasing. A dual-feasible
     lower bound certifies a partition's bin count. Bins with gaps are opened
-    again: partitions exchange their pieces (16 meet in one) and pack them anew,
+    again: partitions exchange their pieces (FAN_IN meet in one) and pack them anew,
     until one partition is left. Each exchange brings at most ``items`` pieces
     together.
 
