@@ -95,11 +95,15 @@ def split_rows(df: DataFrame, keep: list[str], index: str, options: Options = DE
     return rows.withColumnsRenamed({"idx": index, "start": "start_index"})
 
 
-def chunk_documents(docs: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """doc_id, source, chunk_idx, chunk_id, start_index, text. ``docs``: doc_id, source, text (cleaned)."""
-    chunks = split_rows(docs, ["doc_id", "source"], "chunk_idx", options)
+def chunk_documents(docs: DataFrame, options: Options = DEFAULTS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, chunk_idx, chunk_id, start_index, text and the columns in ``keep``.
+
+    ``docs``: doc_id, source, text (cleaned), and those columns.
+    """
+    more = keep or []
+    chunks = split_rows(docs, ["doc_id", "source", *more], "chunk_idx", options)
     name = F.concat_ws("_", "source", F.col("chunk_idx").cast("string"))
-    return chunks.select("doc_id", "source", "chunk_idx", name.alias("chunk_id"), "start_index", "text")
+    return chunks.select("doc_id", "source", "chunk_idx", name.alias("chunk_id"), "start_index", "text", *more)
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:

@@ -238,8 +238,10 @@ def close_to_seen(fresh: DataFrame, seen: DataFrame, d: int, limit: int = BUCKET
 
 
 def chunk_ordinal(doc_id: Column, chunk_idx: Column) -> Column:
-    """One ordered number per chunk: 41 bits of document, 22 bits of chunk; larger numbers raise."""
-    fits = (doc_id >= 0) & (doc_id < F.lit(2**41)) & (chunk_idx < F.lit(2**22))
-    return F.when(fits, doc_id * F.lit(2**22) + chunk_idx).otherwise(
-        F.raise_error(F.lit("chunk number out of range")).cast("long")
-    )
+    """Order of a chunk among all chunks: by document, then by place in it. Any numbers fit."""
+    return F.struct(doc_id.alias("doc_id"), chunk_idx.alias("chunk_idx"))
+
+
+def chunk_key(doc_id: Column, chunk_idx: Column) -> Column:
+    """64-bit key of a chunk."""
+    return F.xxhash64(doc_id, chunk_idx)

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.session import cut_lineage
-
-# Query vectors held by every task: at most this many, else the cell join is used.
+# Query vectors held by every task; a larger batch takes more passes over the vectors.
 MAX_BROADCAST_QUERIES = 4096
-CELLS = 64
-BLOCK_ROWS = 50_000
-BLOCK_QUERIES = 2_000
 # Queries compared with a block of vectors at a time, which bounds the distance matrix.
 STRIPE = 256
-# Above this many tasks their results are merged in two steps.
-MANY_PARTS = 1_000
+# Results of the tasks are merged in two steps, by groups of tasks first.
 MERGE_SALTS = 64
 DIGITS = 9
 
@@ -84,118 +79,44 @@ def _scan(corpus: DataFrame, queries: DataFrame, batch: list, k: int) -> DataFra
     return corpus.select("chunk_key", "embedding").mapInPandas(partial, _schema(corpus, queries))
 
 
-def _pivots(corpus: DataFrame) -> np.ndarray:
-    """A fixed number of vectors that divide the space into cells."""
-    rows = corpus.select("embedding").orderBy(F.xxhash64("embedding"), "chunk_key").limit(CELLS).collect()
-    return np.array([row["embedding"] for row in rows], dtype=np.float64)
-
-
-def _cell_join(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Nearest neighbours for a query batch of any size.
-
-    Each vector belongs to the cell of its nearest pivot. For a query, the
-    radius and the count of every cell bound the distance of its k-th
-    neighbour, and a cell whose nearest possible member lies beyond that bound
-    is left out. Queries meet only the cells that remain, in blocks of bounded
-    size on both sides, so a cell that holds a large share of all rows is
-    worked on by many tasks.
-    """
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(_pivots(corpus))
-    key = corpus.schema["chunk_key"].dataType.simpleString()
-    qtype = queries.schema["query_id"].dataType.simpleString()
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                dist = np.sqrt(_distances(_matrix(frame["embedding"]), shared.value))
-                cell = dist.argmin(1)
-                yield frame.assign(cell=cell.astype("int32"), to_pivot=dist[np.arange(len(cell)), cell])
-
-    celled = cut_lineage(
-        corpus.select("chunk_key", "embedding").mapInPandas(
-            assign, f"chunk_key {key}, embedding array<float>, cell int, to_pivot double"
-        ),
-        "vector-cells",
-    )
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("radius")).collect()
-    cells = np.array([row["cell"] for row in sizes])
-    count = np.array([row["n"] for row in sizes])
-    radius = np.array([row["radius"] for row in sizes])
-    blocks = {int(row["cell"]): -(-row["n"] // BLOCK_ROWS) for row in sizes}
-    names = ["query_id", "embedding", "cell", "block"]
-    slack = 1e-4  # covers the rounding of distances; it only ever adds cells
-
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            out = []
-            dist = np.sqrt(_distances(_matrix(frame["embedding"]), shared.value[cells]))
-            farthest = dist + radius
-            for i, (qid, vector) in enumerate(zip(frame["query_id"], frame["embedding"])):
-                order = np.argsort(farthest[i])
-                enough = np.searchsorted(np.cumsum(count[order]), k)
-                bound = farthest[i][order[min(enough, len(order) - 1)]]
-                for c in cells[dist[i] - radius <= bound + slack]:
-                    out.extend((qid, vector, int(c), b) for b in range(blocks[int(c)]))
-                    if len(out) >= BLOCK_QUERIES:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-            yield pd.DataFrame(out, columns=names)
-
-    visits = queries.select("query_id", "embedding").mapInPandas(
-        visit, f"query_id {qtype}, embedding array<float>, cell int, block int"
-    )
-    # Query rows of a block are spread over parts, each part meeting a copy of the block.
-    parts = max(1, -(-queries.count() // BLOCK_QUERIES))
-    visits = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    n_blocks = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
-    rows = celled.withColumn(
-        "block", F.pmod(F.xxhash64("chunk_key"), n_blocks[F.col("cell")].cast("long")).cast("int")
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        best: dict = {}
-        if len(left) and len(right):
-            _merge_block(
-                best, list(left["query_id"]), _matrix(left["embedding"]),
-                right["chunk_key"].to_numpy(), _matrix(right["embedding"]), k,
-            )
-        return _best_frame(best)
-
-    group = ["cell", "block", "part"]
-    return (
-        visits.groupBy(*group)
-        .cogroup(rows.drop("to_pivot").groupBy(*group))
-        .applyInPandas(meet, _schema(corpus, queries))
-    )
-
-
 def _merged(near: DataFrame, k: int) -> DataFrame:
     """Best k rows per query out of the k that each task found.
 
-    With very many tasks the rows of a query are first cut down in groups of
-    tasks, so that no single task sorts the results of all of them.
+    The rows of a query are first cut down in groups of tasks, so that no
+    single task sorts the results of all of them.
     """
-    if near.rdd.getNumPartitions() > MANY_PARTS:
-        salted = near.withColumn("salt", F.spark_partition_id() % MERGE_SALTS)
-        by_group = Window.partitionBy("query_id", "salt").orderBy("distance", "chunk_key")
-        near = salted.withColumn("rank", F.row_number().over(by_group)).filter(F.col("rank") <= k).drop("salt", "rank")
+    salted = near.withColumn("salt", F.spark_partition_id() % MERGE_SALTS)
+    by_group = Window.partitionBy("query_id", "salt").orderBy("distance", "chunk_key")
+    near = salted.withColumn("rank", F.row_number().over(by_group)).filter(F.col("rank") <= k).drop("salt", "rank")
     window = Window.partitionBy("query_id").orderBy("distance", "chunk_key")
     return near.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows with a vector that has no missing component."""
+    return rows.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def nearest(
     corpus: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_BROADCAST_QUERIES
 ) -> DataFrame:
     """query_id, chunk_key, distance, rank: the k nearest vectors of each query, exactly.
 
-    ``corpus``: chunk_key, embedding. ``queries``: query_id, embedding.
+    ``corpus``: chunk_key, embedding. ``queries``: query_id, embedding. Rows
+    without a vector take no part. Queries are sent to the tasks in batches of
+    ``max_queries``, read one partition at a time; each batch is one scan of the
+    corpus, which is never shuffled. All distances are computed in doubles.
     """
-    held = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
-    near = _scan(corpus, queries, held, k) if len(held) <= max_queries else _cell_join(corpus, queries, k)
-    return _merged(near, k)
+    corpus = _usable(corpus.select("chunk_key", "embedding"))
+    scans, batch = [], []
+    for row in _usable(queries.select("query_id", "embedding")).toLocalIterator():
+        batch.append(row)
+        if len(batch) == max_queries:
+            scans.append(_merged(_scan(corpus, queries, batch, k), k))
+            batch = []
+    if batch or not scans:
+        scans.append(_merged(_scan(corpus, queries, batch, k), k))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def within(ranked: DataFrame, max_distance: float) -> DataFrame:

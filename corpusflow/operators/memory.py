@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import ordered_join
+from corpusflow.functions.text import ordered_join, term_counts
 from corpusflow.operators import dense
 from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS
@@ -77,14 +77,21 @@ def summary_triggers(
 
 
 def top_characters(texts: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
-    """key, rank, ch, n: most frequent characters without stop words; the first seen wins a tie."""
+    """key, rank, ch, n: most frequent characters without stop words; the first seen wins a tie.
+
+    Counted inside the row: equal characters are neighbours after sorting, so
+    nothing is shuffled.
+    """
     single = [w for w in STOP_WORDS if len(w) == 1]
-    chars = texts.select(key, F.posexplode_outer(F.split(text, "")).alias("pos", "ch"))
-    kept = chars.filter(~F.col("ch").rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*$") & ~F.col("ch").isin(single))
-    counts = kept.groupBy(key, "ch").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    window = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    return (
-        counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n).select(key, "rank", "ch", "n")
+    kept = F.filter(F.split(text, ""), lambda c: ~c.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*$") & ~c.isin(single))
+    rows = texts.select(key, kept.alias("__chars")).withColumn("__counts", term_counts(F.col("__chars")))
+    ranked = F.transform(
+        "__counts",
+        lambda x: F.struct((-x["tf"]).alias("less"), F.array_position("__chars", x["term"]).alias("first"), x["term"].alias("ch")),
+    )
+    best = rows.select(key, F.posexplode_outer(F.slice(F.array_sort(ranked), 1, n)).alias("pos", "best"))
+    return best.filter(F.col("best").isNotNull()).select(
+        key, (F.col("pos") + 1).alias("rank"), F.col("best.ch").alias("ch"), (-F.col("best.less")).cast("long").alias("n")
     )
 
 

@@ -1,16 +1,23 @@
-"""BM25: postings, term statistics and batched search.
+"""BM25: term counts, term statistics and batched search.
 
-Postings keep one row per (document, term) and one row with a NULL term per
+An index keeps one row per document with its counted terms. Postings are the
+same rows taken apart: one per (document, term) and one with a NULL term per
 document, so a single pass gives document frequencies, the number of documents
-and the total length. Term frequencies are counted inside the row, which means
-that building postings needs no shuffle at all.
+and the total length. Terms are counted inside the row, which means that
+building an index needs no shuffle of texts or postings.
+
+Searches send the term weights of a batch of queries to the tasks. Each task
+scores whole documents and lets only rows out that can be among the best k of
+a query, so (query, document) pairs are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,36 +25,38 @@ from corpusflow.functions.text import index_tokens, term_counts
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.session import cut_lineage, is_small, stable
 
-# Query terms beyond the broadcast limit are joined on (term, salt); each term is
-# spread over this many salts, whatever its document frequency.
-TERM_SALTS = 32
+# Queries whose weights are sent to the tasks at once; more queries take more passes.
+BATCH_QUERIES = 512
+# Documents scored at once in a task.
+BLOCK_DOCS = 512
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    postings: DataFrame  # chunk_key, len, term (NULL once per document), tf
+    documents: DataFrame  # chunk_key, len, runs (terms with their counts)
     terms: DataFrame  # term, df, idf
     n_docs: int
     avg_len: float
     tokenizer: Callable[[Column], Column] = index_tokens
 
 
-def build_postings(
+def build_documents(
     chunks: DataFrame, key: str, text: str, tokenizer: Callable[[Column], Column] = index_tokens
 ) -> DataFrame:
-    """chunk_key, len, term, tf for every chunk that is not blank."""
+    """chunk_key, len, runs (array of term and tf) for every chunk that is not blank."""
     tokens = (
         chunks.filter(F.col(text).rlike(r"[^\s\p{Z}]"))
         .select(F.col(key).alias("chunk_key"), tokenizer(F.col(text)).alias("tokens"))
     )
-    document_row = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
     runs = F.coalesce(term_counts(F.col("tokens")), F.array().cast("array<struct<term:string,tf:int>>"))
-    return tokens.select(
-        "chunk_key",
-        F.size("tokens").alias("len"),
-        # Never empty; the outer form keeps the optimizer from computing the array again as a filter.
-        F.inline_outer(F.concat(runs, F.array(document_row))),
-    )
+    return tokens.select("chunk_key", F.size("tokens").alias("len"), runs.alias("runs"))
+
+
+def as_postings(documents: DataFrame) -> DataFrame:
+    """chunk_key, len, term, tf: the documents' counted terms as rows."""
+    document_row = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
+    # Never empty; the outer form keeps the optimizer from computing the array again as a filter.
+    return documents.select("chunk_key", "len", F.inline_outer(F.concat("runs", F.array(document_row))))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -57,14 +66,14 @@ def term_stats(postings: DataFrame) -> DataFrame:
     )
 
 
-def index_from_postings(
-    postings: DataFrame,
+def index_from_documents(
+    documents: DataFrame,
     tokenizer: Callable[[Column], Column] = index_tokens,
     options: Options = DEFAULTS,
     stats: DataFrame | None = None,
 ) -> SparseIndex:
-    """Term statistics over ``postings``; three numbers reach the driver, the rest stays a table."""
-    stats = cut_lineage(term_stats(postings), "term-stats") if stats is None else stats
+    """Index over rows of ``build_documents``; three numbers reach the driver, the rest stays a table."""
+    stats = cut_lineage(term_stats(as_postings(documents)), "term-stats") if stats is None else stats
     n_docs, total_len = stats.filter(F.col("term").isNull()).select("df", "total_len").first() or (0, 0)
     terms = stats.filter(F.col("term").isNotNull()).select(
         "term",
@@ -75,7 +84,7 @@ def index_from_postings(
     # Terms found in more than half of the documents get a small share of the mean instead.
     idf = F.when(F.col("raw") < 0, F.lit(options.bm25_epsilon * mean_idf)).otherwise(F.col("raw"))
     return SparseIndex(
-        postings=postings,
+        documents=documents,
         terms=terms.select("term", "df", idf.alias("idf")),
         n_docs=n_docs,
         avg_len=(total_len / n_docs) if n_docs else 0.0,
@@ -90,15 +99,14 @@ def build_index(
     tokenizer: Callable[[Column], Column] = index_tokens,
     options: Options = DEFAULTS,
 ) -> SparseIndex:
-    """Tokenise once and write the postings; statistics and searches read those."""
-    postings = cut_lineage(build_postings(chunks, key, text, tokenizer), "postings")
-    return index_from_postings(postings, tokenizer, options)
+    """Tokenise once and write the counted terms; statistics and searches read those."""
+    return index_from_documents(cut_lineage(build_documents(chunks, key, text, tokenizer), "counted"), tokenizer, options)
 
 
 def append(index: SparseIndex, chunks: DataFrame, key: str, text: str, options: Options = DEFAULTS) -> SparseIndex:
-    """Index over old and new chunks: postings are appended, statistics derived again."""
-    added = cut_lineage(build_postings(chunks, key, text, index.tokenizer), "postings")
-    return index_from_postings(index.postings.unionByName(added), index.tokenizer, options)
+    """Index over old and new chunks: counted terms are appended, statistics derived again."""
+    added = cut_lineage(build_documents(chunks, key, text, index.tokenizer), "counted")
+    return index_from_documents(index.documents.unionByName(added), index.tokenizer, options)
 
 
 def query_weights(index: SparseIndex, queries: DataFrame) -> DataFrame:
@@ -110,20 +118,76 @@ def query_weights(index: SparseIndex, queries: DataFrame) -> DataFrame:
     return index.terms.join(side, "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
 
 
-def score_pairs(index: SparseIndex, queries: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """query_id, chunk_key, score for every pair that shares a term."""
+def _weight_batches(weights: DataFrame, size: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Query ids, terms and the matrix of weights (terms by queries) of ``size`` queries at a time."""
+
+    def matrix(rows: list) -> tuple[list, list[str], np.ndarray]:
+        queries, terms = list(dict.fromkeys(r.query_id for r in rows)), sorted({r.term for r in rows})
+        at, column = {q: i for i, q in enumerate(queries)}, {t: i for i, t in enumerate(terms)}
+        held = np.zeros((len(terms), len(queries)))
+        for r in rows:
+            held[column[r.term], at[r.query_id]] = r.weight
+        return queries, terms, held
+
+    rows, seen = [], set()
+    for row in weights.orderBy("query_id").toLocalIterator():
+        if row.query_id not in seen and len(seen) == size:
+            yield matrix(rows)
+            rows, seen = [], set()
+        rows.append(row)
+        seen.add(row.query_id)
+    if rows:
+        yield matrix(rows)
+
+
+def _scores_of(queries: list, terms: list[str], weights: np.ndarray, k: int, avg_len: float, options: Options):
+    """Task function: documents in, (query_id, chunk_key, score) of possible top-k rows out."""
     k1, b = options.bm25_k1, options.bm25_b
-    weights = query_weights(index, queries)
-    postings = index.postings.filter(F.col("term").isNotNull())
-    if is_small(weights):
-        matched = postings.join(F.broadcast(weights), "term")
-    else:
-        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        salt = F.pmod(F.xxhash64("chunk_key"), F.lit(TERM_SALTS)).cast("int")
-        matched = postings.withColumn("salt", salt).join(salted, ["term", "salt"])
-    length = 1 - b + b * F.col("len") / F.lit(index.avg_len)
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    return matched.groupBy("query_id", "chunk_key").agg(F.sum(part).alias("score"))
+
+    def score(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, known = pa.array(queries), pa.array(terms, pa.string())
+        best = np.zeros((k, len(queries)))  # the task's best scores so far; zero is no hit
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(start, BLOCK_DOCS)
+                runs = part.column(2)
+                length = 1 - b + b * part.column(1).to_numpy(zero_copy_only=False) / avg_len
+                flat = runs.flatten()
+                place = pc.fill_null(pc.index_in(flat.field(0), known), -1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(place >= 0)
+                owner = np.repeat(np.arange(part.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))[hit]
+                tf = flat.field(1).to_numpy(zero_copy_only=False)[hit]
+                found = np.zeros((part.num_rows, len(terms)))
+                found[owner, place[hit]] = tf * (k1 + 1) / (tf + k1 * length[owner])
+                scores = found @ weights
+                best = -np.partition(-np.concatenate([best, scores]), k - 1, axis=0)[:k]
+                # Equal scores stay in; the margin covers the rounding of the final order.
+                doc, query = np.nonzero((scores > 0) & (scores >= best.min(axis=0) - 1e-8))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query)), part.column(0).take(pa.array(doc)), pa.array(scores[doc, query])],
+                    ["query_id", "chunk_key", "score"],
+                )
+
+    return score
+
+
+def scored_documents(index: SparseIndex, queries: DataFrame, k: int, options: Options = DEFAULTS) -> DataFrame:
+    """query_id, chunk_key, score of every pair that can be among the best ``k`` of its query, scores above 0.
+
+    One scan of the documents per BATCH_QUERIES queries, without a shuffle.
+    """
+    weights = cut_lineage(query_weights(index, queries), "weights")
+    types = index.documents.schema["chunk_key"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    shape = f"query_id {types[1]}, chunk_key {types[0]}, score double"
+    rows = index.documents.select("chunk_key", "len", "runs")
+    scans = [
+        rows.mapInArrow(_scores_of(*batch, k, index.avg_len, options), shape)
+        for batch in _weight_batches(weights, BATCH_QUERIES)
+    ]
+    return reduce(DataFrame.unionByName, scans) if scans else queries.sparkSession.createDataFrame([], shape)
 
 
 def top_ranked(scored: DataFrame, k: int, score: str = "score", descending: bool = True) -> DataFrame:
@@ -145,5 +209,5 @@ def search(
     options: Options = DEFAULTS,
 ) -> DataFrame:
     """query_id, chunk_key, score, rank. Only positive scores stay, judged after the top-k."""
-    ranked = top_ranked(score_pairs(index, queries, options), k).filter(F.col("score") > 0)
+    ranked = top_ranked(scored_documents(index, queries, k, options), k).filter(F.col("score") > 0)
     return ranked if min_score is None else ranked.filter(F.col("score") >= min_score)

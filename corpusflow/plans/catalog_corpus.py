@@ -9,8 +9,8 @@ from corpusflow.functions import hashing, text
 from corpusflow.operators import chunking, dedup, fusion
 from corpusflow.plans.catalog_retrieval import RRF_SQL, ranked_lists
 from corpusflow.plans.registry import query
-from corpusflow.session import cut_lineage, spread
-from corpusflow.sources import stores
+from corpusflow.session import cut_lineage, scratch_path, spread
+from corpusflow.sources import files, stores
 from corpusflow.sources.tables import table
 
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -224,7 +224,7 @@ def registry_table(spark, folder):
     files = cleaned(spark, folder).withColumn("file_hash", hashing.file_hash(F.col("text")))
     first = dedup.first_per_hash(files, "doc_id")
     kept = files.join(first.select("doc_id"), "doc_id", "left_semi")
-    chunks = chunking.chunk_documents(kept).join(first, "doc_id")
+    chunks = chunking.chunk_documents(kept, keep=["file_hash"])
     return stores.registry_rows(chunks).select("file_hash", F.size("chunk_ids").alias("n_chunks"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
@@ -235,3 +235,11 @@ def registry_table(spark, folder):
 def corpus_stats(spark, folder):
     held = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "chunk_key")
     return stores.corpus_stats(docs(spark, folder), held)
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, source, nullif(text, '') AS text FROM documents")
+def csv_roundtrip(spark, folder):
+    """The documents written as CSV and read again; texts hold line breaks, commas and quotes."""
+    path = scratch_path(spark, "csv")
+    files.write_csv(table(spark, folder, "documents").select("doc_id", "source", "text"), path)
+    return files.read_csv(spark, path).select("doc_id", "source", "text")

@@ -50,8 +50,8 @@ def build(spark: SparkSession, folder: str) -> sparse.SparseIndex:
 
 TOKENS = r"'[\p{L}\p{N}_]+'"
 
-# Shared SQL: postings, term statistics and BM25 scores of the benchmark texts.
-BM25_SQL = rf"""
+# Shared SQL: postings and term statistics.
+TERMS_SQL = rf"""
 docs AS (SELECT doc_id, source, lang, text FROM documents WHERE trim(text) <> ''),
 toks AS (SELECT doc_id, unnest(regexp_extract_all(text, {TOKENS})) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
@@ -59,7 +59,12 @@ dl AS (SELECT doc_id, len(regexp_extract_all(text, {TOKENS})) AS len FROM docs),
 corpus AS (SELECT count(*) AS n, avg(len) AS avglen FROM dl),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)
+"""
+
+# Shared SQL: BM25 scores of the benchmark texts.
+BM25_SQL = rf"""
+{TERMS_SQL},
 qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, {TOKENS})) AS term FROM benchmark),
 qw AS (SELECT query_id, term, count(*) * any_value(idf) AS w FROM qt JOIN terms USING (term) GROUP BY ALL),
 pairs AS (
@@ -123,7 +128,7 @@ final AS (
 """
 
 
-@query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"WITH {TERMS_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, folder):
     return build(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 

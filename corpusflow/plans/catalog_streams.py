@@ -10,19 +10,26 @@ from corpusflow.plans.catalog_dialog import ROUTE_SQL
 from corpusflow.plans.ingest import Corpus
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
-from corpusflow.sources.tables import table
 from corpusflow.streaming import jobs
 
 
 def stream_of(spark, folder: str, name: str) -> DataFrame:
-    return jobs.read_stream(spark, folder, f"{name}.parquet", table(spark, folder, name).schema)
+    return jobs.table_stream(spark, folder, name)
 
 
-def collected(spark, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run the stream to its end into a folder and read that."""
+def collected(spark, stream: DataFrame, label: str, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Run the stream to its end into a folder and read that.
+
+    In update mode a key comes again whenever a batch changes it; its last row counts.
+    """
     path = scratch_path(spark, label)
     jobs.run_available(stream, f"{path}/checkpoint", jobs.write_batch(f"{path}/rows"), mode)
-    return spark.read.parquet(f"{path}/rows").drop("batch")
+    rows = spark.read.parquet(f"{path}/rows")
+    if key is not None:
+        names = [c for c in rows.columns if c not in (key, "batch")]
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("last")).select(key, "last.*")
+        return rows
+    return rows.drop("batch")
 
 
 @query(
@@ -55,7 +62,7 @@ def stream_metrics(spark, folder):
     log = stream_of(spark, folder, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("is_error")
     )
-    rows = collected(spark, jobs.service_metrics(log), "stream-metrics", "update")
+    rows = collected(spark, jobs.service_metrics(log), "stream-metrics", "update", "window_start")
     rows = rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
     return rows.withColumns({c: F.round(c, 6) for c in ("qps", "avg_duration", "error_rate")})
 

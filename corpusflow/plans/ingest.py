@@ -24,7 +24,7 @@ SCHEMAS = {
     "registry": "file_hash string, chunk_ids array<string>, batch long",
     "chunks": "chunk_key long, doc_id long, source string, chunk_idx int, chunk_id string, start_index int, text string, file_hash string, batch long",
     "signatures": "signature long, batch long",
-    "postings": "chunk_key long, len int, term string, tf int, batch long",
+    "postings": "chunk_key long, len int, runs array<struct<term:string,tf:int>>, batch long",
 }
 
 
@@ -43,7 +43,7 @@ class Corpus:
         rows.write.mode("overwrite").parquet(os.path.join(self.root, name, f"batch={batch}"))
 
     def index(self, options: Options = DEFAULTS) -> sparse.SparseIndex:
-        return sparse.index_from_postings(self.read("postings").drop("batch"), options=options)
+        return sparse.index_from_documents(self.read("postings").drop("batch"), options=options)
 
     def clear(self) -> None:
         """Empty every table; nothing of the old corpus stays searchable or registered."""
@@ -60,20 +60,21 @@ def ingest(corpus: Corpus, docs: DataFrame, batch: int, options: Options = DEFAU
     )
     # Cheap test first: only files that are new reach the chunker.
     fresh = cut_lineage(dedup.new_files(files, corpus.before("registry", batch), "doc_id"), "fresh")
-    kept = files.drop("file_hash").join(fresh, "doc_id")
-    chunks = chunking.chunk_documents(kept, options).join(fresh, "doc_id")
+    kept = files.join(fresh.select("doc_id"), "doc_id", "left_semi")
+    chunks = chunking.chunk_documents(kept, options, keep=["file_hash"])
+    number = F.col("doc_id"), F.col("chunk_idx")
     chunks = cut_lineage(
-        chunks.withColumn("chunk_key", dedup.chunk_ordinal(F.col("doc_id"), F.col("chunk_idx"))), "chunks"
+        chunks.withColumns({"chunk_key": dedup.chunk_key(*number), "ord": dedup.chunk_ordinal(*number)}), "chunks"
     )
-    signatures = cut_lineage(dedup.projected_signature(chunks, "chunk_key").withColumnRenamed("chunk_key", "ord"), "signatures")
+    signatures = cut_lineage(dedup.projected_signature(chunks, "ord"), "signatures")
     verdicts = dedup.near_duplicates(
         signatures, max_hamming(options.similarity_threshold), seen=corpus.before("signatures", batch)
     )
-    stay = cut_lineage(verdicts.filter(F.col("duplicate_of").isNull() & ~F.col("known")).select(F.col("ord").alias("chunk_key"), "signature"), "stay")
-    unique = chunks.join(stay.select("chunk_key"), "chunk_key", "left_semi")
+    stay = cut_lineage(verdicts.filter(F.col("duplicate_of").isNull() & ~F.col("known")).select("ord", "signature"), "stay")
+    unique = chunks.join(stay.select("ord"), "ord", "left_semi")
     corpus.write("chunks", unique.select(*[c.split()[0] for c in SCHEMAS["chunks"].split(", ")][:-1]), batch)
     corpus.write("signatures", stay.select("signature"), batch)
-    corpus.write("postings", sparse.build_postings(unique, "chunk_key", "text"), batch)
+    corpus.write("postings", sparse.build_documents(unique, "chunk_key", "text"), batch)
     ids = registry_rows(unique)
     corpus.write("registry", fresh.select("file_hash").join(ids, "file_hash", "left").select(
         "file_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")

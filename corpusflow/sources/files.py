@@ -18,14 +18,16 @@ def _suffix(name):
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, source, page, text: one cleaned row per .txt or .md file (UTF-8), tagged with its name."""
+    """doc_id, source, page, text: one cleaned row per .txt or .md file (UTF-8), tagged with its name.
+
+    doc_id is the 64-bit hash of the path, so it may be negative.
+    """
     files = (
         spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"))
         .filter(_suffix(F.col("source")).isin(TEXT_SUFFIXES))
     )
-    key = F.xxhash64("path").bitwiseAND(F.lit(2**41 - 1))
-    return files.select(key.alias("doc_id"), "source", F.lit(0).alias("page"), clean_text(F.col("value")).alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "source", F.lit(0).alias("page"), clean_text(F.col("value")).alias("text"))
 
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:
@@ -41,9 +43,9 @@ def read_csv(spark: SparkSession, path: str, nrows: int | None = None, encoding:
     """All columns as text, missing-value texts as NULL, at most ``nrows`` rows.
 
     A first row without any value is dropped, as exports may write one under
-    the header.
+    the header. Quoted fields may hold line breaks and doubled quotes.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
+    raw = spark.read.options(header=True, encoding=encoding, multiLine=True, escape='"').csv(path)
     names = raw.columns
     rows = raw.select(
         *[missing_to_null(F.col(f"`{c}`")).alias(c) for c in names],
@@ -58,7 +60,9 @@ def read_csv(spark: SparkSession, path: str, nrows: int | None = None, encoding:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """White space and quotes are written as they are; NULL is an empty field."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, **options).csv(path)
 
 
 def write_cleaned(cleaned: DataFrame, continuous: DataFrame, categorical: DataFrame, path: str) -> None:

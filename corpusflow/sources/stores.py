@@ -7,6 +7,7 @@ nothing is kept on the driver. ``collection`` names an index and is its folder.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -66,42 +67,66 @@ class Registry:
 
 
 class IndexStore:
-    """Named sparse indexes: postings and term statistics per collection.
+    """Named sparse indexes: counted documents and term statistics per collection.
 
-    Postings are bucketed by document, so that scoring needs no shuffle of
-    (query, document) pairs: all terms of a document are in one bucket.
+    A collection is saved to a new version folder and then entered in the log,
+    so a failed write leaves the version before it. Folders carry the name in
+    hexadecimal, so any name may be used.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    LOG = "name string, version string, saved_at timestamp"
 
-    def _table(self, collection: str) -> str:
-        return f"postings_{collection}"
-
-    def _stats(self, collection: str) -> str:
-        return os.path.join(self.root, "index", collection, "terms")
-
-    def save(self, collection: str, postings: DataFrame) -> None:
-        """Replace the collection."""
-        self.remove(collection)
-        path = os.path.join(self.root, "index", collection, "postings")
-        (
-            postings.repartition(self.buckets, "chunk_key")
-            .write.mode("overwrite").option("path", path).bucketBy(self.buckets, "chunk_key").saveAsTable(self._table(collection))
-        )
-        stored = self.spark.table(self._table(collection))
-        sparse.term_stats(stored).write.mode("overwrite").parquet(self._stats(collection))
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, os.path.join(root, "index")
+
+    def _enter(self, name: str, version: str | None) -> None:
+        row = self.spark.createDataFrame([(name, version)], "name string, version string")
+        row.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(os.path.join(self.root, "log"))
+
+    def _versions(self) -> DataFrame:
+        log = read_or_empty(self.spark, os.path.join(self.root, "log"), self.LOG)
+        last = log.groupBy("name").agg(F.max_by(F.struct("version"), "saved_at").alias("last"))
+        return last.select("name", "last.version").filter("version is not null")
+
+    def _version(self, collection: str) -> str | None:
+        row = self._versions().filter(F.col("name") == collection).first()
+        return row.version if row else None
+
+    def _path(self, collection: str, version: str, table: str) -> str:
+        return os.path.join(self.root, collection.encode().hex(), version, table)
+
+    def _empty(self, collection: str, version: str) -> None:
+        """Replace a version's files by empty tables."""
+        for table in ("documents", "terms"):
+            path = self._path(collection, version, table)
+            self.spark.createDataFrame([], self.spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+    def save(self, collection: str, documents: DataFrame) -> None:
+        """Replace the collection by rows of ``sparse.build_documents``."""
+        old, version = self._version(collection), uuid.uuid4().hex
+        path = self._path(collection, version, "documents")
+        documents.write.parquet(path)
+        stored = self.spark.read.parquet(path)
+        sparse.term_stats(sparse.as_postings(stored)).write.parquet(self._path(collection, version, "terms"))
+        self._enter(collection, version)
+        if old:
+            self._empty(collection, old)
 
     def load(self, collection: str, options: Options = DEFAULTS) -> sparse.SparseIndex:
-        stats = self.spark.read.parquet(self._stats(collection))
-        return sparse.index_from_postings(self.spark.table(self._table(collection)), options=options, stats=stats)
+        version = self._version(collection)
+        if version is None:
+            raise KeyError(f"no collection {collection!r}")
+        stored, stats = (self.spark.read.parquet(self._path(collection, version, t)) for t in ("documents", "terms"))
+        return sparse.index_from_documents(stored, options=options, stats=stats)
 
     def remove(self, collection: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(collection)}")
+        version = self._version(collection)
+        if version is not None:
+            self._enter(collection, None)
+            self._empty(collection, version)
 
     def collections(self) -> list[str]:
-        names = [t.name for t in self.spark.catalog.listTables() if t.name.startswith("postings_")]
-        return sorted(n.removeprefix("postings_") for n in names)
+        return sorted(r.name for r in self._versions().select("name").collect())
 
     def clear(self) -> None:
         for name in self.collections():

@@ -27,6 +27,16 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Stream over a Parquet table that is one file or a folder of part files."""
+    path = os.path.join(folder, f"{name}.parquet")
+    stored = spark.read.parquet(path)
+    files = stored.inputFiles()
+    if files and all(os.path.basename(f) == f"{name}.parquet" for f in files[:1]):
+        return read_stream(spark, folder, f"{name}.parquet", stored.schema)
+    return read_stream(spark, path, "*", stored.schema)
+
+
 def run_available(
     stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> StreamingQuery:

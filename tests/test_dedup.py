@@ -97,7 +97,18 @@ def test_new_files(spark):
 
 
 def test_chunk_ordinal(spark):
-    df = spark.createDataFrame([(5, 7)], "d long, c int")
-    assert df.select(dedup.chunk_ordinal(F.col("d"), F.col("c"))).first()[0] == 5 * 2**22 + 7
-    with pytest.raises(Exception, match="out of range"):
-        spark.createDataFrame([(2**42, 0)], "d long, c int").select(dedup.chunk_ordinal(F.col("d"), F.col("c"))).collect()
+    """Any document number fits, negative ones and those that agree in their low 41 bits included."""
+    rows = [(-5, 1), (-5, 0), (7, 2**30), (7, 3), (7 + 2**41, 0), (2**62, 9)]
+    df = spark.createDataFrame(rows, "d long, c int")
+    number = F.col("d"), F.col("c")
+    got = df.select(dedup.chunk_ordinal(*number).alias("o"), dedup.chunk_key(*number).alias("k")).orderBy("o").collect()
+    assert [tuple(r.o) for r in got] == sorted(rows)
+    assert len({r.k for r in got}) == len(rows)
+
+
+def test_near_duplicates_in_order_of_chunks(spark):
+    rows = [(-1, 0, 65_535), (3, 0, 65_535), (3, 1, 1 << 40), (2, 9, (1 << 40) + 1)]
+    df = spark.createDataFrame(rows, "d long, c int, signature long")
+    df = df.select(dedup.chunk_ordinal(F.col("d"), F.col("c")).alias("ord"), "signature")
+    got = {tuple(r.ord): r.duplicate_of and tuple(r.duplicate_of) for r in dedup.near_duplicates(df, 3).collect()}
+    assert got == {(-1, 0): None, (3, 0): (-1, 0), (2, 9): None, (3, 1): (2, 9)}

@@ -53,27 +53,43 @@ def test_bm25_equals_brute_force(chunks, queries):
     assert found(sparse.search(sparse.build_index(chunks), queries, 4)) == expected()
 
 
-def test_salted_join_gives_the_same(chunks, queries, monkeypatch):
+def test_query_batches_and_document_blocks_give_the_same(chunks, queries, monkeypatch):
     monkeypatch.setattr(sparse, "is_small", lambda *a, **k: False)
+    monkeypatch.setattr(sparse, "BATCH_QUERIES", 1)
+    monkeypatch.setattr(sparse, "BLOCK_DOCS", 2)
     assert found(sparse.search(sparse.build_index(chunks), queries, 4)) == expected()
 
 
+def test_no_shuffle_of_query_document_pairs(chunks, queries):
+    plan = sparse.scored_documents(sparse.build_index(chunks), queries, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_search_of_nothing(chunks, queries):
+    assert sparse.search(sparse.build_index(chunks.limit(0)), queries, 4).collect() == []
+    assert sparse.search(sparse.build_index(chunks), queries.limit(0), 4).collect() == []
+
+
 def test_append_equals_rebuild(chunks, queries):
     first = sparse.build_index(chunks.filter("chunk_key < 4"))
     grown = sparse.append(first, chunks.filter("chunk_key >= 4"), "chunk_key", "text")
     assert found(sparse.search(grown, queries, 4)) == expected()
 
 
-def test_stored_index_scores_without_pair_shuffle(spark, chunks, queries, tmp_path):
-    store = IndexStore(spark, str(tmp_path), buckets=4)
-    store.save("demo", sparse.build_postings(chunks, "chunk_key", "text"))
-    index = store.load("demo")
-    assert found(sparse.search(index, queries, 4)) == expected()
-    plan = sparse.score_pairs(index, queries)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning(query_id" not in plan
-    assert store.collections() == ["demo"]
+def test_stored_index(spark, chunks, queries, tmp_path):
+    store = IndexStore(spark, str(tmp_path))
+    name = "demo `1`; --"
+    store.save(name, sparse.build_documents(chunks.limit(3), "chunk_key", "text"))
+    store.save(name, sparse.build_documents(chunks, "chunk_key", "text"))
+    assert found(sparse.search(store.load(name), queries, 4)) == expected()
+    assert store.collections() == [name]
+    files = [f for f in (tmp_path / "index" / name.encode().hex()).rglob("*.parquet")]
+    assert sum(spark.read.parquet(str(f)).count() for f in files if f.parent.name == "documents") == 8
     store.clear()
     assert store.collections() == []
+    with pytest.raises(KeyError):
+        store.load(name)
+    assert all(spark.read.parquet(str(f)).count() == 0 for f in (tmp_path / "index" / name.encode().hex()).rglob("*.parquet"))
 
 
 def test_top_k_is_limited_before_the_shuffle(chunks, queries):
@@ -99,10 +115,8 @@ def brute_nearest(data, queries, k):
 
 
 @pytest.mark.parametrize("limit", [4096, 5])
-def test_nearest_equals_brute_force(spark, vectors, limit, monkeypatch):
-    """With a limit of 5 the query batch is too large to broadcast and the cell join is used."""
-    monkeypatch.setattr(dense, "BLOCK_ROWS", 40)
-    monkeypatch.setattr(dense, "BLOCK_QUERIES", 4)
+def test_nearest_equals_brute_force(spark, vectors, limit):
+    """With a limit of 5 the queries take two passes."""
     data, corpus = vectors
     ids = [0, 7, 99, 120, 300, 301, 399]
     queries = corpus.filter(F.col("chunk_key").isin(ids)).withColumnRenamed("chunk_key", "query_id")
@@ -110,6 +124,18 @@ def test_nearest_equals_brute_force(spark, vectors, limit, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.chunk_key) for r in near.collect()) == brute_nearest(data, ids, 6)
 
 
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_nearest_in_doubles_without_nulls(spark, limit):
+    """Distances far below the precision of a float, and rows that have no vector."""
+    rows = [(i, [1.0 + i * 1e-9, 2.0]) for i in range(8)]
+    frame = spark.createDataFrame([*rows, (90, None), (91, [1.0, None])], "chunk_key long, embedding array<double>")
+    near = dense.nearest(frame, frame.withColumnRenamed("chunk_key", "query_id"), 2, max_queries=limit).collect()
+    assert {r.query_id for r in near} == set(range(8)) and {r.chunk_key for r in near} <= set(range(8))
+    far = dense.nearest(frame.limit(0), frame.withColumnRenamed("chunk_key", "query_id"), 2, max_queries=limit)
+    assert far.collect() == []
+    assert dense.nearest(frame, frame.limit(0).withColumnRenamed("chunk_key", "query_id"), 2).collect() == []
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id long, chunk_key string, rank int, score double")
 

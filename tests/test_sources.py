@@ -12,6 +12,22 @@ def test_documents(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.reason) for r in rejected] == [("c.xyz", "unsupported file type: xyz")]
 
 
+def test_document_keys_are_full_hashes(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}", encoding="utf-8")
+    keys = [r.doc_id for r in files.read_documents(spark, str(tmp_path)).collect()]
+    assert len(set(keys)) == 40 and min(keys) < 0 and max(abs(k) for k in keys) >= 2**60
+
+
+def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"two\nlines, and ""quotes"""\n2, spaced \n', encoding="utf-8")
+    rows = [tuple(r) for r in files.read_csv(spark, str(path)).collect()]
+    assert rows == [("1", 'two\nlines, and "quotes"'), ("2", " spaced ")]
+    files.write_csv(files.read_csv(spark, str(path)), str(tmp_path / "out"))
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "out")).collect()] == rows
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("a,b\n,\n1,NA\n2,x\n,\n", encoding="utf-8")

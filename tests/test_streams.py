@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusflow.functions.hashing import file_hash, max_hamming
 from corpusflow.functions.text import clean_text
 from corpusflow.operators import chunking, dedup, memory, sparse
@@ -41,8 +42,8 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     chunks = chunking.chunk_documents(cleaned.join(first.select("doc_id"), "doc_id", "left_semi"))
     chunks = chunks.withColumn("ord", dedup.chunk_ordinal(F.col("doc_id"), F.col("chunk_idx"))).cache()
     verdicts = dedup.near_duplicates(dedup.projected_signature(chunks, "ord"), max_hamming(0.95))
-    want = {r.ord for r in verdicts.filter("duplicate_of is null").collect()}
-    got = {r.chunk_key for r in corpus.read("chunks").collect()}
+    want = {tuple(r.ord) for r in verdicts.filter("duplicate_of is null").collect()}
+    got = {(r.doc_id, r.chunk_idx) for r in corpus.read("chunks").collect()}
     assert got == want and 0 < len(want) < chunks.count()
     assert corpus.read("registry").count() == first.count()
 
@@ -90,3 +91,26 @@ def test_first_submissions_in_batches(spark, tmp_path):
     stream = jobs.first_submissions(one_by_one(spark, path, spark.read.parquet(path).schema))
     jobs.run_available(stream, str(tmp_path / "cp"), jobs.write_batch(str(tmp_path / "out")))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+@pytest.mark.parametrize("name", ["stream_metrics", "stream_route", "stream_triggers", "stream_first_submissions"])
+def test_streams_over_tables_of_many_files(spark, tmp_path, name):
+    """Folders of part files, some taken in several batches, give the same rows as one file."""
+    for t in ("events", "conversations", "documents"):
+        table(spark, FOLDER, t).repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    query = entry.queries()[name]
+    want, got = (sorted(map(str, query(spark, f).collect())) for f in (FOLDER, str(tmp_path)))
+    assert got == want and len(got) > 0
+
+
+def test_a_window_of_several_batches_is_one_row(spark, tmp_path):
+    from corpusflow.plans import catalog_streams
+
+    events = table(spark, FOLDER, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("is_error")
+    )
+    events.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), "*.parquet", events.schema, max_files=1)
+    rows = catalog_streams.collected(spark, jobs.service_metrics(stream, delay="100 days"), "metrics", "update", "window_start").collect()
+    want = {r.w: r.n for r in events.groupBy(F.window("ts", "1 minute").start.alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert len(rows) == len(want) and {r.window_start: r.n for r in rows} == want
