@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import ordered_join, strip
+from corpusflow.functions.text import strip
 from corpusflow.options import DEFAULTS, Options
 
 # Separators tried in turn; the empty one means single characters.
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
+# White space at the ends of a line, characters dropped from it, code fences and headings.
+EDGES = regex.compile(r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+\Z")
+UNPRINTED = regex.compile(r"(?! )[\p{C}\p{Z}]")
+FENCE = regex.compile(r"```(?!.*```)|~~~")
+HEADING = regex.compile(r"(#{1,3})(?: |\Z)")
+HEADERS = ("header1", "header2", "header3")
+
 
 def _pieces(text: str, lo: int, hi: int, separator: str) -> list[tuple[int, int]]:
     """Spans that each begin at a separator (the first one may not)."""
@@ -106,38 +114,44 @@ def chunk_documents(docs: DataFrame, options: Options = DEFAULTS, keep: list[str
     return chunks.select("doc_id", "source", "chunk_idx", name.alias("chunk_id"), "start_index", "text", *more)
 
 
+def section_list(text: str | None) -> list[dict]:
+    """Sections of one text: runs of lines under the same headings, headings left out."""
+    out: list[dict] = []
+    heads: list[str | None] = [None, None, None]
+    fenced, last = False, -1
+    for at, raw in enumerate((text or "").split("\n")):
+        line = UNPRINTED.sub("", EDGES.sub("", raw))
+        if not line:
+            continue
+        fenced ^= FENCE.match(line) is not None
+        heading = None if fenced else HEADING.match(line)
+        if heading:
+            level = len(heading.group(1))
+            heads = [*heads[: level - 1], EDGES.sub("", line[level:]), *[None] * (3 - level)]
+            continue
+        if out and heads == [out[-1][h] for h in HEADERS]:
+            out[-1]["text"] += ("  \n" if at - last > 1 else "\n") + line
+        else:
+            out.append({"section_idx": len(out), **dict(zip(HEADERS, heads)), "text": line})
+        last = at
+    return out
+
+
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """doc_id, source, section_idx, header1..3, text: one row per run of lines under the same headings.
 
     Headings of levels 1 to 3 outside fenced code end a section and are not
-    part of its text. Numbering counts every section, short ones included.
+    part of its text. Numbering counts every section, short ones included. Each
+    text is read once in its own row; no line is shuffled.
     """
-    lines = docs.select("doc_id", "source", F.posexplode_outer(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.regexp_replace(strip(F.col("raw")), r"[\p{C}\p{Z}&&[^ ]]", "")
-    lines = lines.select("doc_id", "source", "pos", line.alias("line")).filter(F.col("line") != "")
-    fence = F.col("line").rlike(r"^(```(?!.*```)|~~~)").cast("int")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    marks = F.length(F.regexp_extract("line", r"^(#{1,3})( |$)", 1))
-    level = F.when((F.sum(fence).over(order) % 2 == 0) & (marks > 0), marks)
-    title = strip(F.expr("substr(line, level + 1)"))
-    lines = lines.withColumn("level", level).withColumn("title", title)
-    unset = F.lit("\u0000")
-
-    def header(n: int) -> Column:
-        """Title in force at level n; a heading above it clears it."""
-        seen = F.when(F.col("level") == n, F.col("title")).when(F.col("level") < n, unset)
-        return F.nullif(F.last(seen, ignorenulls=True).over(order), unset)
-
-    bodies = lines.withColumns({f"header{n}": header(n) for n in (1, 2, 3)}).filter(F.col("level").isNull())
-    heads = F.struct("header1", "header2", "header3")
-    bodies = bodies.withColumns({"heads": heads, "before": F.lag(heads).over(order), "gap": F.col("pos") - F.lag("pos").over(order)})
-    starts = F.col("before").isNull() | ~F.col("heads").eqNullSafe(F.col("before"))
-    bodies = bodies.withColumn("starts", starts)
-    numbered = bodies.withColumn("section_idx", F.sum(F.col("starts").cast("int")).over(order) - 1)
-    joint = F.when(F.col("starts"), "").when(F.col("gap") > 1, "  \n").otherwise("\n")
-    return numbered.groupBy("doc_id", "source", "section_idx", "header1", "header2", "header3").agg(
-        ordered_join(F.col("pos"), F.concat(joint, F.col("line")), "").alias("text")
-    )
+
+    @F.pandas_udf("array<struct<section_idx:long,header1:string,header2:string,header3:string,text:string>>")
+    def sections(texts: pd.Series) -> pd.Series:
+        return texts.map(section_list)
+
+    rows = docs.select("doc_id", "source", sections("text").alias("sections"))
+    # The plain generator would make the optimizer run the function once more, as a filter on its result.
+    return rows.select("doc_id", "source", F.inline_outer("sections")).filter(F.col("section_idx").isNotNull())
 
 
 def markdown_chunks(docs: DataFrame, options: Options = DEFAULTS) -> DataFrame:

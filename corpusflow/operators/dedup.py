@@ -6,17 +6,24 @@ signatures are merged first, so a signature shared by many rows counts once.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.hashing import BITS, hamming, token_md5
+from corpusflow.functions.hashing import BITS, hamming
 from corpusflow.functions.text import words
 from corpusflow.session import cut_lineage, is_small
 
 # A bucket of candidate signatures larger than this is divided by further bits.
 BUCKET_ROWS = 2000
+# More masks than this copy each signature too often; blocks of signatures are compared instead.
+MAX_MASKS = 128
+BLOCK_ROWS = 4096
 # A key with more rows than this is joined by broadcast, apart from the others.
 HOT_ROWS = 1_000_000
 
@@ -31,22 +38,30 @@ def new_files(files: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return first_per_hash(files, key).join(registry.select("file_hash"), "file_hash", "left_anti")
 
 
+def _projected(tokens: np.ndarray) -> int:
+    """Bit i is set when more than the mean share of the words have bit i of their hash."""
+    if len(tokens) == 0:
+        return 0
+    hashes = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in tokens), ">u8")
+    counts = np.array([int((hashes >> np.uint64(i) & np.uint64(1)).sum()) for i in range(BITS)])
+    value = sum(1 << i for i in np.flatnonzero(counts * BITS > counts.sum()).tolist())
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
 def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, signature from word counts: a text embedder that needs no model.
 
     The vector has one component per bit of a 64-bit word hash: the number of
     words with the bit set minus the number without. As for any vector, a bit of
     the signature is set when its component exceeds the mean. A text without
-    words has signature 0.
+    words has signature 0. Each text is one row of a batch; no word is shuffled.
     """
-    tokens = docs.select(key, F.explode_outer(words(F.col(text))).alias("t")).select(key, token_md5(F.col("t")).alias("h"))
-    # One sum counts bits i and i + 32 in its two halves; a row holds fewer than 2^31 words.
-    half = BITS // 2
-    sums = tokens.groupBy(key).agg(*[F.expr(f"sum(shiftrightunsigned(h, {i}) & 4294967297) AS s{i}") for i in range(half)])
-    counts = [f"(s{i} & 4294967295)" for i in range(half)] + [f"shiftrightunsigned(s{i}, 32)" for i in range(half)]
-    bits = [f"if({count} * {BITS} > total, shiftleft(1L, {i}), 0L)" for i, count in enumerate(counts)]
-    counted = sums.withColumn("total", F.expr(" + ".join(counts)))
-    return counted.select(key, F.coalesce(F.expr(" | ".join(bits)), F.lit(0).cast("long")).alias("signature"))
+
+    @F.pandas_udf("long")
+    def signature(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: _projected(t) if t is not None else 0).astype("int64")
+
+    return docs.select(key, signature(words(F.col(text))).alias("signature"))
 
 
 def _signed(mask: int) -> int:
@@ -124,12 +139,48 @@ def candidate_buckets(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS) -
     return cut_lineage(union, "buckets")
 
 
-def close_pairs(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS) -> DataFrame:
+def _block_pairs(signatures: DataFrame, d: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """sig_a < sig_b of all signatures within d, each block of rows compared with each block.
+
+    For distances at which bit masks separate nothing. The work is quadratic,
+    in bit operations on blocks of about ``block`` signatures; only pairs within
+    d leave a task.
+    """
+    n = max(1, -(-signatures.count() // block))
+    own = F.pmod(F.xxhash64("signature"), F.lit(n))
+    dealt = signatures.select("signature", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("met"))
+    dealt = dealt.select("signature", "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
+
+    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = (np.sort(frame.loc[frame["own"] == k, "signature"].to_numpy()) for k in key)
+        found = []
+        for start in range(0, len(low), 256):
+            part = low[start : start + 256]
+            near = np.bitwise_count((part[:, None] ^ high).view(np.uint64)) <= d
+            i, j = np.nonzero(near)
+            pairs = np.stack([part[i], high[j]], 1)
+            found.append(pairs[pairs[:, 0] < pairs[:, 1]] if key[0] == key[1] else np.sort(pairs, 1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["sig_a", "sig_b"])
+
+    return dealt.groupBy("low", "high").applyInPandas(compare, "sig_a long, sig_b long")
+
+
+def close_pairs(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS, max_masks: int = MAX_MASKS) -> DataFrame:
     """first, second, distance of distinct signatures within d, first < second by ``ord``.
 
     ``signatures``: ord, signature (both unique). For d = 3 a signature has at
-    most 43,744 others within reach, which bounds the pairs per row.
+    most 43,744 others within reach, which bounds the pairs per row. Where more
+    than ``max_masks`` bit masks would be needed (from d = 6 on), all blocks of
+    signatures are compared instead.
     """
+    if comb(d + 4, d) > max_masks:
+        pairs = _block_pairs(signatures, d)
+        a, b = (signatures.select(F.col("ord").alias(f"ord_{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+        rows = pairs.join(a, "sig_a").join(b, "sig_b")
+        distance = hamming(F.col("sig_a"), F.col("sig_b"))
+        return rows.select(
+            F.least("ord_a", "ord_b").alias("first"), F.greatest("ord_a", "ord_b").alias("second"), distance.alias("distance")
+        )
     buckets = candidate_buckets(signatures, d, limit)
     a = buckets.select("mask", "part", F.col("ord").alias("first"), F.col("signature").alias("sig_a"))
     b = buckets.select("mask", "part", F.col("ord").alias("second"), F.col("signature").alias("sig_b"))

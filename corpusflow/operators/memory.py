@@ -118,9 +118,18 @@ def recall(
     return rows.select("query_id", "rank", "memory_id", "session_id", "content")
 
 
-def first_memories(memories: DataFrame, k: int = DEFAULTS.recall_k, order: str = "memory_id") -> DataFrame:
-    """Recall without vectors: the first k memories in insertion order."""
-    return memories.orderBy(order).limit(k)
+def first_memories(
+    memories: DataFrame, k: int = DEFAULTS.recall_k, order: str = "memory_id", session: Column | None = None
+) -> DataFrame:
+    """Recall without vectors: the first k memories in insertion order, of a session if one is given."""
+    pool = memories if session is None else memories.filter(session)
+    return pool.orderBy(order).limit(k)
+
+
+def all_memories(memories: DataFrame, session: Column | None = None) -> DataFrame:
+    """memory_id, session_id, content of every memory, or of those of a session."""
+    pool = memories if session is None else memories.filter(session)
+    return pool.select("memory_id", "session_id", "content")
 
 
 def assembled_context(recalled: DataFrame, conversations: DataFrame) -> DataFrame:

@@ -54,12 +54,15 @@ def file_hash(spark, folder):
     return docs(spark, folder).select("doc_id", hashing.file_hash(F.col("text")).alias("file_hash"))
 
 
-@query(
-    "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(embedding::DOUBLE[]) / len(embedding) AS m FROM embeddings), "
+VECTOR_SIGNATURE_SQL = (
+    "m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sum(embedding::DOUBLE[]) / len(embedding) AS m FROM embeddings), "
     + "b AS (SELECT vec_id, "
     + " + ".join(f"CASE WHEN v[{i + 1}] > m THEN {2**i}::HUGEINT ELSE 0 END" for i in range(64))
-    + f" AS u FROM m) SELECT vec_id, {_signed('u')} AS signature FROM b"
+    + f" AS u FROM m), vsig AS (SELECT vec_id, {_signed('u')} AS signature FROM b)"
 )
+
+
+@query(f"WITH {VECTOR_SIGNATURE_SQL} SELECT vec_id, signature FROM vsig")
 def vec_simhash(spark, folder):
     held = table(spark, folder, "embeddings")
     return held.select("vec_id", hashing.vector_signature(F.col("embedding")).alias("signature"))
@@ -141,6 +144,26 @@ def chunk_dedup(spark, folder):
     return verdicts.select(F.col("ord").alias("doc_id"), "duplicate_of")
 
 
+@query(
+    f"""WITH RECURSIVE {VECTOR_SIGNATURE_SQL},
+    rep AS (SELECT signature, min(vec_id) AS ord, row_number() OVER (ORDER BY min(vec_id)) AS i FROM vsig GROUP BY signature),
+    step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+      SELECT rep.i, CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, signature)) <= 19)) > 0 THEN kept
+        ELSE list_append(kept, signature) END FROM step JOIN rep ON rep.i = step.i + 1),
+    kept AS (SELECT unnest(kept) AS signature FROM step WHERE i = (SELECT max(i) FROM rep)),
+    kr AS (SELECT signature, ord FROM rep JOIN kept USING (signature)),
+    keeper AS (SELECT r.signature, min(kr.ord) AS keeper FROM rep r JOIN kr ON kr.ord <= r.ord AND bit_count(xor(kr.signature, r.signature)) <= 19
+      GROUP BY r.signature)
+    SELECT vec_id, CASE WHEN keeper <> vec_id THEN keeper END AS duplicate_of FROM vsig JOIN keeper USING (signature)"""
+)
+def vector_dedup(spark, folder):
+    """Vectors as chunks at a low similarity (0.7, that is 19 of 64 bits)."""
+    held = table(spark, folder, "embeddings")
+    rows = held.select(F.col("vec_id").alias("ord"), hashing.vector_signature(F.col("embedding")).alias("signature"))
+    verdicts = dedup.near_duplicates(cut_lineage(rows, "signatures"), hashing.max_hamming(0.7))
+    return verdicts.select(F.col("ord").alias("vec_id"), "duplicate_of")
+
+
 @query(
     f"""WITH RECURSIVE {RRF_SQL}, {SIGNATURE_SQL},
     cd AS (SELECT query_id, doc_id, rank, signature, rrf_score FROM fused JOIN sig USING (doc_id) WHERE rank <= 20),

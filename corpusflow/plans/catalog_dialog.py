@@ -175,6 +175,86 @@ def context_sufficiency(spark, folder):
     return gathered(spark, folder).select("conv_id", "n_docs", "n_web", enough.alias("sufficient"))
 
 
+GIVEN_KINDS = ["chat", "knowledge", "hybrid", "web_search", "data_processing"]
+
+# Given intents of every type and confidence, by the length of the text.
+GIVEN_SQL = f"""
+g AS (SELECT *, ({GIVEN_KINDS})[length(text) % 5 + 1] AS gk, (length(text) // 5 % 10) / 10.0::DOUBLE AS conf, length(text) % 7 = 0 AS follows FROM intent),
+c4 AS (SELECT *,
+  CASE WHEN gk = 'chat' OR (gk = 'knowledge' AND conf >= 0.8) THEN 'simple' WHEN (gk = 'knowledge' AND conf >= 0.6) OR gk = 'data_processing' THEN 'medium'
+    ELSE 'complex' END AS level4,
+  CASE WHEN gk = 'chat' THEN 0.95 WHEN gk = 'knowledge' AND conf >= 0.6 THEN conf WHEN gk = 'hybrid' THEN 0.8 WHEN gk = 'web_search' THEN 0.85 ELSE 0.5 END::DOUBLE AS conf4,
+  CASE WHEN gk = 'chat' THEN '闲聊意图' WHEN gk = 'knowledge' AND conf >= 0.8 THEN '高置信度知识库查询(' || format('{{:.2f}}', conf) || ')'
+    WHEN gk = 'knowledge' AND conf >= 0.6 THEN '中等置信度知识库查询(' || format('{{:.2f}}', conf) || ')'
+    WHEN gk = 'knowledge' THEN '低置信度知识库查询(' || format('{{:.2f}}', conf) || ')，可能需要多轮'
+    WHEN gk = 'hybrid' THEN '混合查询，需要联网+知识库' WHEN gk = 'web_search' THEN '联网搜索查询' ELSE '标准复杂度' END AS reason4,
+  (gk = 'knowledge' AND conf < 0.6) OR gk IN ('hybrid', 'web_search') AS react4, gk IN ('hybrid', 'web_search') AS web4,
+  gk = 'chat' OR (gk = 'knowledge' AND conf >= 0.8) AS fast4 FROM g)
+"""
+
+
+def given_intents(spark, folder) -> DataFrame:
+    """query_id, text, i (intent struct), follows."""
+    n = F.length("text")
+    kind = F.element_at(F.array(*[F.lit(k) for k in GIVEN_KINDS]), (n % 5 + 1).cast("int"))
+    intent = F.struct(
+        kind.alias("query_type"), (F.floor(n / 5) % 10 / 10.0).alias("confidence"), F.lit("").alias("reasoning"),
+        kind.isin("web_search", "hybrid", "data_processing").alias("needs_tools"),
+    )
+    return questions(spark, folder).select("query_id", "text", intent.alias("i"), (n % 7 == 0).alias("follows"))
+
+
+@query(
+    f"""WITH {QUESTIONS_SQL}, {INTENT_SQL}, {GIVEN_SQL}
+    SELECT query_id, level4 AS level, conf4 AS confidence, reason4 AS reasoning, react4 AS use_react, web4 AS requires_web, fast4 AS use_fast_path FROM c4"""
+)
+def complexity_by_confidence(spark, folder):
+    rows = given_intents(spark, folder).select("query_id", classify.complexity_by_intent(F.col("i")).alias("c"))
+    return rows.select("query_id", *_fields("c"))
+
+
+GIVEN_STEPS_SQL = f"({STEPS_SQL} OR follows OR gk IN ('web_search', 'hybrid'))"
+GIVEN_REASONS_SQL = f"""concat_ws('; ', CASE gk WHEN 'web_search' THEN '联网搜索意图' WHEN 'hybrid' THEN '混合查询意图' END,
+  CASE WHEN len({FOUND_SQL}) > 0 THEN '关键词: ' || list_aggregate({FOUND_SQL}[1:3], 'string_agg', ', ') END,
+  CASE WHEN length(text) > 50 THEN '查询较长(' || length(text) || '字)' END)"""
+
+
+@query(
+    f"""WITH {QUESTIONS_SQL}, {INTENT_SQL}, {GIVEN_SQL}, x AS (SELECT * EXCLUDE (t), lower(text) AS t FROM c4)
+    SELECT query_id, CASE WHEN {CHAT_SQL} OR {SIMPLE_SQL} THEN 'simple' WHEN {GIVEN_STEPS_SQL} THEN 'complex' ELSE level4 END AS level,
+      CASE WHEN {CHAT_SQL} THEN 0.95 WHEN {SIMPLE_SQL} THEN 0.9 WHEN {GIVEN_STEPS_SQL} THEN 0.8 ELSE conf4 END::DOUBLE AS confidence,
+      CASE WHEN {CHAT_SQL} THEN '闲聊/简单确认，直接快速路径' WHEN {SIMPLE_SQL} THEN '简单定义类查询，知识库直接匹配'
+        WHEN {GIVEN_STEPS_SQL} THEN coalesce(nullif({GIVEN_REASONS_SQL}, ''), '复杂查询') ELSE reason4 END AS reasoning,
+      NOT ({CHAT_SQL} OR {SIMPLE_SQL}) AND ({GIVEN_STEPS_SQL} OR react4) AS use_react,
+      NOT ({CHAT_SQL} OR {SIMPLE_SQL}) AND CASE WHEN {GIVEN_STEPS_SQL} THEN gk IN ('web_search', 'hybrid', 'data_processing') ELSE web4 END AS requires_web,
+      ({CHAT_SQL} OR {SIMPLE_SQL}) OR (NOT {GIVEN_STEPS_SQL} AND fast4) AS use_fast_path
+    FROM x"""
+)
+def complexity_of_given_intents(spark, folder):
+    rows = given_intents(spark, folder)
+    return rows.select("query_id", classify.complexity(F.col("text"), F.col("i"), F.col("follows")).alias("c")).select("query_id", *_fields("c"))
+
+
+@query(
+    f"""WITH {QUESTIONS_SQL}, {INTENT_SQL}, {GIVEN_SQL}, k AS (SELECT query_id, CASE WHEN conf < 0.6 THEN kind ELSE gk END AS k FROM g)
+    SELECT query_id, CASE k WHEN 'chat' THEN 'chat' WHEN 'web_search' THEN 'web_search' WHEN 'data_processing' THEN 'tools' ELSE 'retriever' END AS step FROM k"""
+)
+def intent_route_by_confidence(spark, folder):
+    step = classify.intent_step(F.col("text"), F.col("i.query_type"), F.col("i.confidence"))
+    return given_intents(spark, folder).select("query_id", step.alias("step"))
+
+
+@query(
+    f"""WITH {QUESTIONS_SQL}, {INTENT_SQL}, {GIVEN_SQL}
+    SELECT query_id, (length(text) % 3 = 0 AND gk NOT IN ('web_search', 'hybrid')) OR conf < 0.3 AS falls_back FROM g"""
+)
+def fallback_by_confidence(spark, folder):
+    """The number of results is the length of the text modulo 3."""
+    rows = given_intents(spark, folder)
+    fallback = classify.falls_back_to_chat(F.length("text") % 3, F.col("i.query_type"), F.col("i.confidence"))
+    return rows.select("query_id", fallback.alias("falls_back"))
+
+
 @query(
     f"""WITH {QUESTIONS_SQL}, {INTENT_SQL}, r AS (SELECT 'c-' || u.conv_id || '-' || u.turn AS query_id, count(a.turn) AS n
       FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -331,6 +411,31 @@ def memory_recall(spark, folder):
     return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3)
 
 
+@query(f"WITH {MEMORY_SQL} SELECT query_id, rank, memory_id, memory_id AS session_id, content FROM recalled WHERE rank <= 3 AND memory_id % 2 = 0")
+def session_recall(spark, folder):
+    """The session condition comes after the top-k, so fewer than three may be left."""
+    return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3, F.col("session_id") % 2 == 0)
+
+
+@query(
+    f"""WITH {MEMORY_SQL}, r AS (SELECT query_id, memory_id, content, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS rank
+      FROM md WHERE memory_id % 2 = 0) SELECT query_id, rank, memory_id, memory_id AS session_id, content FROM r WHERE rank <= 3"""
+)
+def session_recall_first(spark, folder):
+    """The session condition comes before the top-k."""
+    return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3, F.col("session_id") % 2 == 0, filter_first=True)
+
+
+@query(f"WITH {MEMORY_SQL} SELECT conv_id AS memory_id, conv_id AS session_id, content FROM mem JOIN embeddings ON conv_id = vec_id WHERE conv_id % 2 = 0 ORDER BY 1 LIMIT 3")
+def recall_without_vectors(spark, folder):
+    return memory.first_memories(memories(spark, folder), 3, session=F.col("session_id") % 2 == 0).select("memory_id", "session_id", "content")
+
+
+@query(f"WITH {MEMORY_SQL} SELECT conv_id AS memory_id, conv_id AS session_id, content FROM mem JOIN embeddings ON conv_id = vec_id")
+def all_memories(spark, folder):
+    return memory.all_memories(memories(spark, folder))
+
+
 @query(
     f"""WITH {MEMORY_SQL}, old AS (SELECT query_id, string_agg('- ' || content, chr(10) ORDER BY rank) AS memories FROM recalled WHERE rank <= 3 GROUP BY query_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),

@@ -106,6 +106,13 @@ def drop_duplicates(spark, folder):
     return cleaning.drop_duplicates(table(spark, folder, "lineitem").select(*DUPLICATE_COLUMNS))
 
 
+@query("SELECT DISTINCT * FROM lineitem")
+def drop_duplicate_rows(spark, folder):
+    """Whole rows: the table twice, with every copy removed."""
+    rows = table(spark, folder, "lineitem")
+    return cleaning.drop_duplicates(rows.unionAll(rows))
+
+
 @query(
     f"""WITH d AS (SELECT DISTINCT {', '.join(DUPLICATE_COLUMNS)} FROM lineitem)
     SELECT (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM d) AS n_distinct,
@@ -310,6 +317,9 @@ def bad_rate_by_category(spark, folder):
     ).orderBy("column", F.desc("bad_rate"), "value")
 
 
+CONTINUOUS_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+
+
 @query(
     " UNION ALL ".join(
         f"""(WITH b AS (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {t})
@@ -318,14 +328,11 @@ def bad_rate_by_category(spark, folder):
           max({c}) FILTER ({c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))::DOUBLE AS whisker_high,
           count(*) FILTER ({c} NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_outliers
         FROM {t}, b GROUP BY q1, median, q3)"""
-        for c, t in [("l_quantity", "lineitem"), ("l_extendedprice", "lineitem"), ("l_discount", "lineitem")]
+        for c, t in [(c, "lineitem") for c in CONTINUOUS_COLUMNS]
     )
 )
 def boxplot_stats(spark, folder):
-    boxes = profile.boxplot_stats(
-        table_columns(spark, folder, "lineitem", "l_quantity", "l_extendedprice", "l_discount"),
-        ["l_quantity", "l_extendedprice", "l_discount"],
-    )
+    boxes = profile.boxplot_stats(table_columns(spark, folder, "lineitem", *CONTINUOUS_COLUMNS), CONTINUOUS_COLUMNS)
     return boxes.withColumns({q: F.round(q, 6) for q in ("q1", "median", "q3")})
 
 
