@@ -187,7 +187,62 @@ def fusion_distinct(spark, folder):
     return fused.select("query_id", F.col("chunk_key").alias("doc_id"), "rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
-@query()
+EDGE_SQL = r"[\s\p{Z}\x1c-\x1f\x85]+"
+
+
+def chunk_sql(source: str) -> str:
+    """CTEs that end in chunks(id, chunk_idx, start_index, text) of ``source`` (id, t), t without empty lines.
+
+    Lines from 512 characters on are cut at spaces, words from 512 on by
+    characters. Neighbouring short pieces form a group; a window of a group ends
+    before the first piece that does not fit, and the next one starts with the
+    pieces of the last 64 characters that leave room for it. So each window
+    follows from the place where the one before it starts.
+    """
+    return f"""
+line1 AS (SELECT id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM {source} WHERE contains(t, chr(10))),
+line2 AS (SELECT id, k, length(s) + (k > 1)::INT AS n FROM line1),
+line3 AS (SELECT id, k, sum(n) OVER o - n AS a, sum(n) OVER o AS b FROM line2 WINDOW o AS (PARTITION BY id ORDER BY k)),
+lines AS (SELECT id, a, b, b - a >= 512 AS long, sum((b - a >= 512)::INT) OVER (PARTITION BY id ORDER BY k) AS g FROM line3 WHERE a < b),
+units AS (
+  SELECT id, a AS base, substr(t, a::BIGINT + 1, (b - a)::BIGINT) AS s FROM lines JOIN {source} USING (id) WHERE long
+  UNION ALL SELECT id, 0, t FROM {source} WHERE NOT contains(t, chr(10)) AND t <> ''),
+w1 AS (SELECT id, base, unnest(string_split(s, ' ')) AS x, generate_subscripts(string_split(s, ' '), 1) AS k FROM units WHERE contains(s, ' ')),
+w2 AS (SELECT id, base, k, length(x) + (k > 1)::INT AS n FROM w1),
+w3 AS (SELECT id, base, k, base + sum(n) OVER o - n AS a, base + sum(n) OVER o AS b FROM w2 WINDOW o AS (PARTITION BY id, base ORDER BY k)),
+words AS (SELECT id, base, a, b, b - a >= 512 AS long, sum((b - a >= 512)::INT) OVER (PARTITION BY id, base ORDER BY k) AS g FROM w3 WHERE a < b),
+runs AS (
+  SELECT id, a, b FROM words WHERE long UNION ALL SELECT id, base, base + length(s) FROM units WHERE NOT contains(s, ' ')),
+pieces AS (
+  SELECT id, 'l' || g AS gid, list(a::BIGINT ORDER BY a) AS la, list(b::BIGINT ORDER BY a) AS lb FROM lines WHERE NOT long GROUP BY id, g
+  UNION ALL
+  SELECT id, 'w' || base || '-' || g, list(a::BIGINT ORDER BY a), list(b::BIGINT ORDER BY a) FROM words WHERE NOT long GROUP BY id, base, g),
+walk AS (
+  SELECT id, gid, 1::BIGINT AS f FROM pieces
+  UNION ALL
+  SELECT id, gid, least(i, 1 + len(list_filter(la, lambda x: x < greatest(la[i] - 64, lb[i] - 512))))
+  FROM (SELECT w.id, w.gid, p.la, p.lb, 1 + len(list_filter(p.lb, lambda x: x <= p.la[w.f] + 512)) AS i
+        FROM walk w JOIN pieces p ON p.id = w.id AND p.gid = w.gid) WHERE i <= len(la)),
+spans AS (
+  SELECT id, la[f] AS a, coalesce(la[1 + len(list_filter(lb, lambda x: x <= la[f] + 512))], lb[len(lb)]) AS b FROM walk JOIN pieces USING (id, gid)
+  UNION ALL
+  SELECT id, (a + 448 * j)::BIGINT, least(a + 448 * j + 512, b)::BIGINT
+  FROM (SELECT id, a, b, unnest(range(greatest(0, ceil((b - a - 512) / 448.0))::BIGINT + 1)) AS j FROM runs)),
+bodies AS (SELECT id, a, substr(t, a + 1, b - a) AS body FROM spans JOIN {source} USING (id)),
+led AS (SELECT id, a, body, regexp_replace(body, '^{EDGE_SQL}', '') AS rest FROM bodies),
+chunks AS (
+  SELECT id, (row_number() OVER (PARTITION BY id ORDER BY a) - 1)::INT AS chunk_idx, (a + length(body) - length(rest))::INT AS start_index,
+    regexp_replace(rest, '{EDGE_SQL}$', '') AS text FROM led WHERE rest <> '')
+"""
+
+
+CHUNKS_SQL = f"src AS (SELECT doc_id AS id, source, {CLEAN_SQL} AS t FROM documents), {chunk_sql('src')}"
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNKS_SQL} SELECT id AS doc_id, source, chunk_idx, source || '_' || chunk_idx AS chunk_id, start_index, text
+    FROM chunks JOIN (SELECT id, source FROM src) USING (id)"""
+)
 def chunk_documents(spark, folder):
     return chunking.chunk_documents(cleaned(spark, folder))
 
@@ -236,12 +291,28 @@ def md_sections(spark, folder):
     return sections.filter(F.length("text") >= 20)
 
 
-@query()
+STRIP_SQL = f"regexp_replace(regexp_replace(text, '^{EDGE_SQL}', ''), '{EDGE_SQL}$', '')"
+
+
+@query(
+    f"""WITH RECURSIVE {MARKDOWN_SQL}, kept AS (SELECT * REPLACE ({STRIP_SQL} AS text) FROM sections),
+    whole AS (SELECT *, doc_id || '-' || section_idx AS id FROM kept WHERE length(text) >= 20),
+    src AS (SELECT id, text AS t FROM whole WHERE length(text) > 1024), {chunk_sql('src')}
+    SELECT doc_id, source, section_idx, header1, header2, header3, NULL::INT AS sub_idx, source || '_' || section_idx AS chunk_id,
+      NULL::VARCHAR AS section, text FROM whole WHERE length(text) <= 1024
+    UNION ALL
+    SELECT doc_id, source, section_idx, header1, header2, header3, chunk_idx, source || '_' || section_idx || '_' || chunk_idx,
+      coalesce(nullif(header1, ''), header2, ''), chunks.text FROM chunks JOIN whole USING (id)"""
+)
 def md_chunks(spark, folder):
     return chunking.markdown_chunks(markdown_pages(spark, folder))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CHUNKS_SQL}, firsts AS (SELECT sha256(t) AS file_hash, min(id) AS id FROM src GROUP BY 1)
+    SELECT file_hash, count(*)::INT AS n_chunks, string_agg(source || '_' || chunk_idx, ',' ORDER BY chunk_idx) AS chunk_ids
+    FROM chunks JOIN firsts USING (id) JOIN (SELECT id, source FROM src) USING (id) GROUP BY file_hash"""
+)
 def registry_table(spark, folder):
     """file_hash and chunk ids of the first document of every content."""
     files = cleaned(spark, folder).withColumn("file_hash", hashing.file_hash(F.col("text")))
