@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from corpusflow.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -16,7 +17,7 @@ def con():
     return compare.duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     ok, note = compare.compare(spark, con, FOLDER, name)
     assert ok, note
