@@ -35,16 +35,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"corpusflow-{spark.sparkContext.applicationId}", f"{label}-{uuid.uuid4().hex}")
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; no result of it can be read afterwards."""
+def delete_folder(path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
     from pyarrow import fs
 
-    path = os.path.join(shared_dir(spark), f"corpusflow-{spark.sparkContext.applicationId}")
     system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
     if system.get_file_info(place).type == fs.FileType.Directory:
         system.delete_dir(place)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; no result of it can be read afterwards."""
+    delete_folder(os.path.join(shared_dir(spark), f"corpusflow-{spark.sparkContext.applicationId}"))
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

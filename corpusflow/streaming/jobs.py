@@ -13,6 +13,7 @@ from corpusflow.functions.classify import route
 from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.plans.ingest import Corpus, ingest
+from corpusflow.session import broadcast_if_small, delete_folder
 from corpusflow.sources.stores import read_or_empty
 
 # A snapshot of conversation counters replaces the deltas of this many batches.
@@ -103,13 +104,19 @@ class TriggerCounter:
         self.spark, self.root = spark, root
         self.every, self.min_messages, self.snapshot_every = every, min_messages, snapshot_every
 
-    def _counts(self, base: int, batch: int) -> DataFrame:
-        """conv_id, users, messages of the batches below ``batch``: snapshot ``base`` plus later deltas."""
+    def _counts(self, base: int, batch: int, wanted: DataFrame | None = None) -> DataFrame:
+        """conv_id, users, messages of the batches below ``batch``: snapshot ``base`` plus later deltas.
+
+        With ``wanted`` (conv_id) only those conversations are summed.
+        """
         stored = [read_or_empty(self.spark, os.path.join(self.root, name), self.SCHEMA) for name in ("snapshots", "deltas")]
         # The snapshot numbered b covers the batches below b.
         held = stored[0].filter(F.col("batch") == base)
         recent = stored[1].filter((F.col("batch") >= base) & (F.col("batch") < batch))
-        return held.unionByName(recent).groupBy("conv_id").agg(
+        stored = held.unionByName(recent)
+        if wanted is not None:
+            stored = stored.join(broadcast_if_small(wanted), "conv_id", "left_semi")
+        return stored.groupBy("conv_id").agg(
             F.sum("users").alias("users"), F.sum("messages").alias("messages")
         )
 
@@ -117,13 +124,24 @@ class TriggerCounter:
         rows.write.mode("overwrite").parquet(os.path.join(self.root, table, f"batch={batch}"))
 
     def handle(self, rows: DataFrame, batch: int) -> None:
+        rows = rows.select("conv_id", "turn", "role").persist()
+        try:
+            self._handle(rows, batch)
+        finally:
+            rows.unpersist()
+
+    def _handle(self, rows: DataFrame, batch: int) -> None:
         base = batch - batch % self.snapshot_every
         if batch and batch == base:
-            self._write(self._counts(base - self.snapshot_every, batch), "snapshots", batch)
+            before = base - self.snapshot_every
+            self._write(self._counts(before, batch), "snapshots", batch)
+            # A repeated batch may still need the period before it; older files are of no use.
+            for old in range(max(0, before - self.snapshot_every), before):
+                delete_folder(os.path.join(self.root, "deltas", f"batch={old}"))
         is_user = (F.col("role") == "user").cast("long")
         counts = {"u": is_user, "m": F.lit(1).cast("long")}
-        numbered = running_sums(rows.select("conv_id", "turn", "role"), ["conv_id"], "turn", counts)
-        counted = numbered.join(self._counts(base, batch), "conv_id", "left").withColumns({
+        numbered = running_sums(rows, ["conv_id"], "turn", counts)
+        counted = numbered.join(self._counts(base, batch, rows.select("conv_id").distinct()), "conv_id", "left").withColumns({
             "user_turns": F.col("u") + F.coalesce("users", F.lit(0)),
             "n_messages": F.col("m") + F.coalesce("messages", F.lit(0)),
         })
