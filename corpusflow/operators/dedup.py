@@ -151,7 +151,7 @@ def _block_pairs(signatures: DataFrame, d: int, block: int = BLOCK_ROWS) -> Data
     dealt = signatures.select("signature", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("met"))
     dealt = dealt.select("signature", "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         low, high = (np.sort(frame.loc[frame["own"] == k, "signature"].to_numpy()) for k in key)
         found = []
         for start in range(0, len(low), 256):
