@@ -17,6 +17,10 @@ PERMUTATIONS = 120
 BAND_PERMUTATIONS = 3
 SHINGLE = 2
 PERCENT = 80
+#: Components from this size on are compared in blocks of so many asking documents and members.
+LARGE = 32
+ASK_BLOCK = 128
+MEMBER_BLOCK = 256
 
 _ODD = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -142,18 +146,82 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, text: s
     return cut_lineage(rows.select("ta", "tb", "a", "b").mapInArrow(check, "a long, b long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", size: int = SHINGLE) -> DataFrame:
+def _linked(left, right, percent: int, size: int) -> list[tuple[int, int]]:
+    """Pairs of (doc_id, text) rows of two blocks that meet the similarity, by counting common shingles."""
+    members = [(d, shingle_set(t, size)) for d, t in right]
+    members = [(d, x) for d, x in members if len(x)]
+    if not members:
+        return []
+    known, codes = np.unique(np.concatenate([x for _, x in members]), return_inverse=True)
+    sizes = np.array([len(x) for _, x in members])
+    starts = np.cumsum(sizes) - sizes
+    out, has = [], np.zeros(len(known), np.int64)
+    for doc, text in left:
+        asked = shingle_set(text, size)
+        at = np.searchsorted(known, asked)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == asked)]
+        has[at] = 1
+        common = np.add.reduceat(has[codes], starts)
+        has[at] = 0
+        hit = len(asked) and np.flatnonzero(100 * common >= percent * (len(asked) + sizes - common))
+        out += [(doc, members[i][0]) for i in (hit.tolist() if len(asked) else [])]
+    return out
+
+
+def compared(asks: DataFrame, members: DataFrame, docs: DataFrame, percent: int, text: str, size: int) -> DataFrame:
+    """Links (a, b) between asking documents and all members of the groups they ask (doc_id, crowd).
+
+    Both sides are dealt into blocks of bounded size, and each task compares one
+    block with one block; only links leave it.
+    """
+    rows = asks.groupBy("crowd").agg(F.count("*").alias("asking")).join(
+        members.groupBy("crowd").agg(F.count("*").alias("size")), "crowd"
+    )
+    plan = cut_lineage(
+        rows.select("crowd", F.ceil(F.col("asking") / ASK_BLOCK).alias("asks"), F.ceil(F.col("size") / MEMBER_BLOCK).alias("parts")), "plan"
+    )
+    left, right = (side.join(broadcast_if_small(plan), "crowd") for side in (asks, members))
+    named = cut_lineage(members.select("doc_id").union(asks.select("doc_id")).distinct(), "named")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = cut_lineage(texts.join(broadcast_if_small(named), "doc_id", "left_semi"), "texts")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """One copy of each row for every block of the other side."""
+        return side.join(texts, "doc_id").select(
+            # Aliases keep the columns of the two sides apart.
+            *[F.col(c).alias(c) for c in ("doc_id", "text", "crowd")],
+            F.pmod(F.xxhash64("doc_id"), F.col(own)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
+        )
+
+    def link(left, right):
+        import pandas as pd
+
+        found = _linked(list(zip(left["doc_id"], left["text"])), list(zip(right["doc_id"], right["text"])), percent, size)
+        return pd.DataFrame([(min(p), max(p)) for p in found if p[0] != p[1]], columns=["a", "b"])
+
+    blocks = ["crowd", "asks", "parts"]
+    pairs = dealt(left, "asks", "parts").groupBy(*blocks).cogroup(dealt(right, "parts", "asks").groupBy(*blocks))
+    return cut_lineage(pairs.applyInPandas(link, "a long, b long"), "compared")
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, text: str = "text", size: int = SHINGLE, large_size: int = LARGE
+) -> DataFrame:
     """Component of every document under "shingle sets at least ``percent`` similar".
 
     1. Documents with equal sets meet in one representative (their smallest
        doc_id), so exact copies cost one row however many there are.
     2. Representatives that share a band key form a bucket. Each is compared
        with the bucket's smallest id; confirmed links are joined to components.
-    3. Inside a bucket only pairs of different components are left. Members of
-       the largest component need no comparison among themselves; every other
-       member is compared with all members outside its own component. After
-       this, each pair that shares a band is linked by a path or is confirmed not
-       to be a link, without all pairs of a group being made.
+    3. Inside a bucket only documents of different components are left to
+       compare. Documents in buckets of small components are compared in pairs.
+       A document that shares a bucket with a component of ``large_size`` or more
+       members asks that component once, whatever the buckets, and is compared,
+       block by block, with all its members and all others that ask it
+       (``compared``); a bucket that holds so many small components is treated
+       likewise. After this, each pair that shares a band is linked by a path or
+       is confirmed not to be a link, and no group has made a row per pair.
     4. Components of all confirmed links.
 
     Sizes that cannot reach the similarity are dropped before texts are joined;
@@ -188,15 +256,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     labels = graph.components(links)
     member = shared.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     member = cut_lineage(member.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "members")
-    groups = member.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("parts"))
-    mixed = cut_lineage(mixed.filter("parts > 1").select("key", F.col("m.comp").alias("main")), "mixed")
-    inside = cut_lineage(member.join(mixed, "key"), "inside")
-    few = inside.filter("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    second = inside.join(few, "key").filter("comp <> c").filter(near(F.col("n"), F.col("m")))
-    second = second.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
-    second = cut_lineage(second, "second").join(first, ["a", "b"], "left_anti")
-    more = confirmed(second, docs, percent, text, size)
+    groups = member.select("key", "comp").distinct()
+    mixed = cut_lineage(groups.groupBy("key").agg(F.count("*").alias("parts")).filter("parts > 1").select("key"), "mixed")
+    inside = member.join(mixed, "key")
+    large = labels.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") >= large_size)
+    large = cut_lineage(large, "large")
+    inside = inside.join(broadcast_if_small(large), "comp", "left").select("key", "rep", "n", "comp", F.coalesce("size", F.lit(0)).alias("size"))
+    inside = cut_lineage(inside, "inside")
+    others = inside.filter("size > 0").select("key", F.col("comp").alias("other"), F.col("size").alias("osize")).distinct()
+    # Members of the smaller component ask, equal sizes by number; all small members of such a bucket do.
+    asks = inside.join(others, "key").filter("comp <> other and (size < osize or size = osize and comp < other)")
+    asks = asks.select(F.col("rep").alias("doc_id"), F.concat(F.lit("component "), F.col("other")).alias("crowd"))
+    small = inside.filter("size = 0").join(others.select("key").distinct(), "key", "left_anti")
+    small = cut_lineage(small.select("key", "rep", "n", "comp"), "small")
+    crowded = cut_lineage(small.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") >= large_size).select("key"), "crowded")
+    gathered = small.join(crowded, "key", "left_semi")
+    gathered = gathered.select(F.col("rep").alias("doc_id"), F.concat(F.lit("bucket "), F.col("key")).alias("crowd"))
+    asks = cut_lineage(asks.union(gathered).distinct(), "asks")
+    joined = labels.select(F.col("node").alias("doc_id"), F.concat(F.lit("component "), F.col("comp")).alias("crowd"))
+    joined = joined.join(asks.select("crowd").distinct(), "crowd", "left_semi").select("doc_id", "crowd")
+    more = compared(asks, cut_lineage(joined.union(asks), "crowds"), docs, percent, text, size)
+    small = small.join(crowded, "key", "left_anti").select("key", "rep", "n", "comp")
+    second = small.join(small.toDF("key", "r", "m", "c"), "key").filter("rep < r and comp <> c").filter(near(F.col("n"), F.col("m")))
+    second = cut_lineage(second.select(F.col("rep").alias("a"), F.col("r").alias("b")).distinct(), "second")
+    more = more.union(confirmed(second.join(first, ["a", "b"], "left_anti"), docs, percent, text, size))
     if not more.isEmpty():
         labels = graph.components(links.union(more))
 

@@ -52,11 +52,20 @@ def made_documents(n=140):
 def test_components_equal_brute_force(documents):
     rows = made_documents()
     want = components_by_force(rows, similar)
-    got = minhash.near_duplicates(documents(rows)).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
+    for large in (32, 2):  # pairs only, and components compared in blocks
+        got = minhash.near_duplicates(documents(rows), large_size=large).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_links_of_blocks_equal_brute_force():
+    rows = made_documents(60)
+    got = minhash._linked(rows[:25], rows[25:], 80, 2)
+    want = [(a, b) for a, x in rows[:25] for b, y in rows[25:] if similar(x, y)]
+    assert sorted(got) == sorted(want) and len(want) > 5
+    assert minhash._linked(rows[:3], [(1, ""), (2, None)], 80, 2) == []
+
+
 def test_boundary_of_80_percent(documents):
     # 9 of 10 shared words in order: 8 of 10 shingles in common is 80 of 100 of the union.
     base = [f"a{i}" for i in range(9)]
