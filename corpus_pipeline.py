@@ -9,6 +9,9 @@ from corpusflow.llm import decontaminate, minhash, packing, quality, secrets
 from corpusflow.session import broadcast_if_small, cut_lineage
 from corpusflow.sources.tables import table
 
+#: Words of a shingle of the near-duplicate stage: one changed word in twenty leaves a document as its own.
+SHINGLE = 5
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality classifier does not reject (score of at least 0.3)."""
@@ -21,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Identical rows that share that doc_id are one document; one of them stays.
     """
-    shingles = minhash.near_duplicates(docs)
+    shingles = minhash.near_duplicates(docs, size=SHINGLE)
     gone = cut_lineage(shingles.filter(~F.col("kept")).select("doc_id").distinct(), "copies")
     kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
     # Only rows whose doc_id is repeated are compared with each other.

@@ -43,6 +43,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert top <= 1024
 
 
+def shingles(text, size):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def similarity(x, y, size):
+    a, b = shingles(x, size), shingles(y, size)
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_share_five_words(spark, documents):
+    words = [f"w{i}" for i in range(200)]
+    every = lambda step, first: " ".join(f"new{i}" if i % step == first else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, every(20, 10)), (3, every(20, 10) + " and one"), (4, every(100, 50)), (5, "other words " * 3)]
+    pairs = [(a, b, x, y) for a, x in rows for b, y in rows if a < b]
+    assert similarity(rows[0][1], rows[1][1], 2) >= 0.8 > 0.7 > similarity(rows[0][1], rows[1][1], 5)
+    # No chains among these rows: each later one of a similar pair goes.
+    gone = {b for a, b, x, y in pairs if similarity(x, y, 5) >= 0.8}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()}
+    assert gone == {3, 4} and kept == {i for i, _ in rows} - gone
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op") or n == "pipeline"))
 def test_query(spark, name):
