@@ -9,12 +9,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.session import broadcast_if_small, cut_lineage
+from corpusflow.session import broadcast_if_small, cut_lineage, is_small
 
-#: A subtree is a template if it stands on so many different pages of its host ...
+#: A subtree is a template if it stands on so many different pages of its host, whatever the size of the host.
 MIN_PAGES = 5
-#: ... and on this share of them. A host then has at most 1 / share times its elements per page.
-MIN_SHARE = 0.01
+#: So many templates go to every task; more are joined to the subtrees of the pages.
+MAX_SENT = 200_000
+#: Templates on so many pages, and pages with so many copies, are joined apart from the rest.
+HOT = 10_000
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +49,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 # Which open elements a start tag ends, and what stops the search.
 CLOSES = {
@@ -76,12 +78,6 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def host_of(url: str | None) -> str:
-    """Host of a URL in lower case, without user and port; empty if there is none."""
-    found = _HOST.match(url or "")
-    return found.group(1).lower() if found else ""
-
-
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -222,12 +218,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and the digests of subtrees that stand on many different pages of it.
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """host, digest, page, source: the distinct subtrees of every page that may be templates.
 
-    Pages with the same subtrees and text count once, so copies of a page do not
-    make its text a template. Hosts are never gathered: rows are counted by
-    (host, digest), pre-aggregated before the shuffle.
+    ``page`` is a hash of the page's text: pages with the same subtrees and text
+    count once, so copies of a page do not make its text a template. A row with
+    digest 0 stands for the page itself and has the hash of its markup as
+    ``source``, which is null in the others.
     """
 
     def emit(batches):
@@ -235,57 +232,110 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         import xxhash
 
         for batch in batches:
-            hosts, digests, prints = [], [], []
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                page, host = parse(source.as_py() or ""), host_of(url)
+            hosts, digests, prints, sources = [], [], [], []
+            for host, source, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                page = parse(source.as_py() or "")
                 found = sorted(subtrees(page))
                 whole = "\x01".join(" ".join(v.split()) for _, _, v in page.runs)
                 mark = _signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
-                # A digest of 0 stands for the page itself.
                 for d in (0, *found):
                     hosts.append(host)
                     digests.append(_signed(d))
                     prints.append(mark)
+                    sources.append(None if d else key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(prints, pa.int64())], ["host", "digest", "page"]
+                [pa.array(hosts, pa.string()), *(pa.array(c, pa.int64()) for c in (digests, prints, sources))],
+                ["host", "digest", "page", "source"],
             )
 
-    rows = pages.select("url", "html").mapInArrow(emit, "host string, digest long, page long")
-    counts = cut_lineage(rows.distinct().groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
-    sizes = counts.filter("digest = 0").select("host", F.col("n").alias("pages"))
-    many = counts.filter(F.col("digest") != 0).join(broadcast_if_small(sizes), "host")
-    many = many.filter((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages")))
-    return many.groupBy("host").agg(F.collect_list("digest").alias("digests"))
+    rows = pages.select(host_column(F.col("url")).alias("host"), "html", source_column(F.col("html")).alias("source"))
+    return rows.mapInArrow(emit, "host string, digest long, page long, source long").distinct()
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, digest, n: the subtrees that stand on at least ``min_pages`` different pages of their host.
+
+    Hosts are never gathered: rows are counted by (host, digest), pre-aggregated
+    before the shuffle.
+    """
+    counts = found.filter("digest <> 0").groupBy("host", "digest").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") >= min_pages)
+
+
+def _apart(rows: DataFrame, held: DataFrame, keys: list[str], n: str, hot: int, how: str) -> DataFrame:
+    """``rows`` joined with ``held`` (unique in ``keys``); keys that ``n`` says have ``hot`` rows or more are joined by themselves.
+
+    These are few, at most one in ``hot`` rows, so they are broadcast, and no
+    other key has more rows than that in one task.
+    """
+    often = cut_lineage(held.filter(F.col(n) >= hot).drop(n), "often")
+    seldom = held.filter(F.col(n) < hot).drop(n)
+    marks = broadcast_if_small(often.select(*keys))
+    first = rows.join(broadcast_if_small(often), keys)
+    return first.unionByName(rows.join(marks, keys, "left_anti").join(seldom, keys, how))
+
+
+def page_templates(found: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """host, source, digests: the templates on each page that has any, by the hash of its markup."""
+    rows = found.filter("digest <> 0").select("host", "digest", "page")
+    hits = cut_lineage(_apart(rows, known, ["host", "digest"], "n", hot, "inner"), "hits")
+    lists = cut_lineage(hits.groupBy("host", "page").agg(F.collect_list("digest").alias("digests")), "lists")
+    sources = found.filter("digest = 0").select("host", "page", "source")
+    # Pages of one text differ in markup only; a text with very many markups is spread by the source.
+    many = cut_lineage(sources.groupBy("host", "page").agg(F.count("*").alias("n")), "texts")
+    lists = cut_lineage(lists.join(many, ["host", "page"]), "counted")
+    sets = cut_lineage(_apart(sources, lists, ["host", "page"], "n", hot, "inner"), "sets")
+    # Different texts with one hash of their markup share their lists; a digest that a page lacks does nothing.
+    each = sets.select("host", "source", F.explode("digests").alias("digest"))
+    return each.groupBy("host", "source").agg(F.collect_set("digest").alias("digests"))
+
+
+def source_column(html: Column) -> Column:
+    """Hash of the markup of a page."""
+    return F.xxhash64(F.coalesce(html, F.lit("")))
 
 
 def host_column(url: Column) -> Column:
-    """The same host as ``host_of``, as a column."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
+    """Host of a URL in lower case, without user and port; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, max_sent: int = MAX_SENT, hot: int = HOT) -> DataFrame:
     """page_id, url, text and n_chars (code points) of the main text of every page.
 
     Site templates are subtrees that recur on at least ``min_pages`` different
-    pages and ``min_share`` of the pages of their host; they are deleted, as are
-    elements whose tag, role or class says that they are no article text. Inside
-    an article or main element nothing is deleted for recurring. Null or empty
-    html gives an empty text; a null url is the host with an empty name;
-    repeated rows give one row each; an empty table none. Other columns of
-    ``pages`` are not looked at.
+    pages of their host, an absolute number on small and large hosts; they are
+    deleted, as are elements whose tag, role or class says that they are no
+    article text. Inside an article or main element nothing is deleted for
+    recurring. Null or empty html gives an empty text; a null url is the host
+    with an empty name; repeated rows give one row each; an empty table none.
+    Other columns of ``pages`` are not looked at.
+
+    Up to ``max_sent`` templates go to all tasks; more are joined to the
+    subtrees, and each page gets the templates that stand on it.
     """
-    found = cut_lineage(templates(pages, min_pages, min_share), "templates")
+    found = cut_lineage(page_subtrees(pages), "subtrees")
+    known = cut_lineage(templates(found, min_pages), "templates")
     rows = pages.select("page_id", "url", "html", host_column(F.col("url")).alias("host"))
-    rows = rows.join(broadcast_if_small(found), "host", "left").select("page_id", "url", "html", "digests")
+    sent: dict[str, set[int]] = {}
+    if is_small(known, max_sent):
+        for row in known.select("host", "digest").collect():
+            sent.setdefault(row.host, set()).add(row.digest % (1 << 64))
+        rows = rows.withColumn("digests", F.lit(None).cast("array<long>"))
+    else:
+        copies = rows.groupBy("host", source_column(F.col("html")).alias("source")).agg(F.count("*").alias("n"))
+        held = cut_lineage(page_templates(found, known, hot).join(copies, ["host", "source"]), "held")
+        rows = _apart(rows.withColumn("source", source_column(F.col("html"))), held, ["host", "source"], "n", hot, "left")
+        rows = rows.select("page_id", "url", "html", "host", "digests")
 
     def extract(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = []
-            for source, digests in zip(batch.column(2), batch.column(3)):
-                known = {d % (1 << 64) for d in digests.as_py() or ()}
-                texts.append(main_text(parse(source.as_py() or ""), known))
+            for source, host, digests in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+                own = {d % (1 << 64) for d in digests.as_py() or ()} or sent.get(host, set())
+                texts.append(main_text(parse(source.as_py() or ""), own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

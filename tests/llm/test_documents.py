@@ -215,6 +215,28 @@ def test_templates_are_deleted(spark):
     assert pages.extracted(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("max_sent, hot", [(200_000, 10_000), (0, 10_000), (0, 3)])
+def test_templates_on_small_and_large_hosts(spark, max_sent, hot):
+    # A menu on five pages is a template, whether its host has six pages or six hundred.
+    rows = []
+    for host, n in (("small.example", 6), ("large.example", 600)):
+        for i in range(n):
+            menu = "<div><p>section menu</p></div>" if i < 5 else ""
+            notice = "<div><p>on four pages</p></div>" if i < 4 else ""
+            rows.append((len(rows), f"http://{host}/{i}", page(f"{menu}{notice}<div><p>story {i}</p></div>")))
+    want = {i: ("on four pages\n" if int(u.rsplit("/", 1)[1]) < 4 else "") + f"story {u.rsplit('/', 1)[1]}" for i, u, _ in rows}
+    rows += [(9000, None, page("<p>hostless</p>")), (9001, "http://large.example/n", None)]
+    want |= {9000: "hostless", 9001: ""}
+    # Copies of one page, and pages of one text whose markup differs, are one page.
+    for i in range(8):
+        rows.append((9100 + i, "http://large.example/0", rows[6][2]))
+        rows.append((9200 + i, "http://small.example/v", page(f"<div><p data-n={i}>one text</p><p>section menu</p></div>")))
+        want |= {9100 + i: want[6], 9200 + i: "one text"}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = pages.extracted(frame, max_sent=max_sent, hot=hot).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
 def best_by_force(rows, k):
     good = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = []
