@@ -47,7 +47,7 @@ ARTICLE_PARTS = frozenset("header copyright notice notices".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -78,22 +78,68 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+#: What says that an element is no article text: nothing, a word in a longer class or id name, a whole name, or something else.
+KEPT, WORD, NAME, SURE = range(4)
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, one without a value is empty."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _unwanted(tag: str, attributes: str, inside: bool) -> int:
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body"):
-        return False
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and tag != "main":
-            words = {w.lower() for w in _WORD.findall(value)} & MARKS
-            if words - ARTICLE_PARTS if inside or tag == "article" else words:
-                return True
-    return False
+        return KEPT
+    named = _attributes(attributes)
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or named.get("role", "").lower() in ROLES:
+        return SURE
+    if tag == "main":
+        return KEPT
+    marks = MARKS - ARTICLE_PARTS if inside or tag == "article" else MARKS
+    names = f"{named.get('class', '')} {named.get('id', '')}"
+    if marks.isdisjoint(w.lower() for w in _WORD.findall(names)):
+        return KEPT
+    return WORD if marks.isdisjoint(names.lower().split()) else NAME
+
+
+def _dropped(page: Page, signs: list[int], within: list[bool]) -> list[bool]:
+    """What goes by its tag and attributes, with all that it holds.
+
+    A class or id does not remove the article: an element that is or holds an
+    article (not one within another article) or, on pages without, a main
+    element, stays if the mark is a word of a longer name ("no-sidebar"). A whole
+    name ("comments") removes it only if another article is left.
+    """
+    parents, n = page.parents, len(page.tags)
+    sure = [False] * n
+    for e in range(1, n):
+        sure[e] = sure[parents[e]] or signs[e] == SURE
+    kinds = {t: [e for e in range(1, n) if page.tags[e] == t and not sure[e] and not within[e]] for t in MAIN}
+    holds = [False] * n
+
+    def mark(elements: list[int]) -> None:
+        for e in elements:
+            while e > 0 and not holds[e]:
+                holds[e] = True
+                e = parents[e]
+
+    mark(kinds["article"])
+    articles = kinds["article"] + [e for e in kinds["main"] if not holds[e]]
+    mark(articles)
+
+    def gone(least: int) -> list[bool]:
+        out = [False] * n
+        for e in range(1, n):
+            out[e] = out[parents[e]] or signs[e] >= (least if holds[e] else WORD)
+        return out
+
+    out = gone(NAME)
+    return gone(SURE) if articles and all(out[e] for e in articles) else out
 
 
 def parse(source: str) -> Page:
@@ -105,6 +151,7 @@ def parse(source: str) -> Page:
     import xxhash
 
     page, open_, block, at = Page(), [0], 0, 0
+    signs, within = [KEPT], [False]  # by element: what its tag and attributes say, an article around it
     depths: dict[str, int] = {}  # open elements by tag
     digest = xxhash.xxh3_64_intdigest
 
@@ -169,7 +216,8 @@ def parse(source: str) -> Page:
         parent = open_[-1]
         page.tags.append(tag)
         page.parents.append(parent)
-        page.dropped.append(page.dropped[parent] or _unwanted(tag, found.group(3), page.in_main[parent]))
+        signs.append(_unwanted(tag, found.group(3), page.in_main[parent]))
+        within.append(within[parent] or page.tags[parent] == "article")
         page.in_main.append(page.in_main[parent] or tag in MAIN)
         page.content.append([])
         page.digests.append(0)
@@ -182,6 +230,7 @@ def parse(source: str) -> Page:
             at = end.start() if end else length
     while len(open_) > 1:
         close()
+    page.dropped = _dropped(page, signs, within)
     return page
 
 

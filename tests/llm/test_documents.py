@@ -188,6 +188,40 @@ def test_main_text_of_markup():
         assert pages.main_text(pages.parse(source), set()) == want, source
 
 
+def test_attributes_are_read_by_name():
+    cases = {
+        '<div style="overflow:hidden"><p>a</p></div>': "a",
+        '<p title="a hidden gem">b</p>': "b",
+        '<p data-id="comments" data-role=search xclass=ad>c</p>': "c",
+        "<p title='x class=\"ad\" y'>d</p>": "d",
+        '<p hidden>x</p><p HIDDEN="">x</p><p aria-hidden=true>x</p><p id = "comments">x</p><p class=ad>x</p><p role="Search">x</p><p>e</p>': "e",
+        '<p data-x=1/hidden>f</p><p data-x="1"hidden>x</p>': "f",
+        '<p class="lead" class="ad">g</p>': "g",
+    }
+    for source, want in cases.items():
+        assert pages.main_text(pages.parse(source), set()) == want, source
+
+
+def test_marks_do_not_remove_the_article():
+    comments = '<div id="comments" class="comments-area"><ol><li class="comment"><article class="comment-body">c</article></ol></div>'
+    cases = {
+        '<div class="content-sidebar-wrap"><article>a</article><div class="sidebar">s</div></div>': "a",
+        '<div class="no-sidebar"><div><main>b</main></div></div>': "b",
+        '<article class="post comments-open">c</article>': "c",
+        '<div class="sidebar"><main>d</main></div>': "d",
+        '<main><div class="widget"><article>e</article></div></main>': "e",
+        '<article class="post comments-open">f</article><div class="related-posts">r</div><article>teaser</article>': "f\nteaser",
+        f"<article>g</article>{comments}": "g",
+        f"<article>h<section class='comments'><article class='comment-body'>c</article></section>{comments}</article>": "h",
+        '<article>i</article><article class="ad">x</article>': "i",
+        '<article hidden>x</article><article class="ad-free">j</article>': "j",
+        '<div class="sidebar"><aside><article>x</article></aside></div><p>k</p>': "k",
+        '<div class="no-sidebar"><p>s</p></div><p>l</p>': "l",
+    }
+    for source, want in cases.items():
+        assert pages.main_text(pages.parse(source), set()) == want, source
+
+
 def test_deep_and_long_markup():
     assert pages.main_text(pages.parse("<div>" * 20_000 + "x" + "</p>" * 20_000), set()) == "x"
     assert len(pages.main_text(pages.parse("<p>word " * 50_000), set()).split("\n")) == 50_000
