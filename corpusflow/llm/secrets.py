@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A candidate: 12 or more token characters with a digit, and no token character before it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 #: Characters of context looked at on each side.
 CONTEXT = 60
 THRESHOLD = 0.5
@@ -27,6 +25,25 @@ SECRET_WORDS = (
     "password passwd pwd passphrase secret token apikey api_key access_key private_key auth authorization bearer "
     "credential credentials client_secret signature session"
 ).split()
+#: A candidate of its own: 12 or more token characters with a digit, and no token character before it.
+TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+# What assigns a value to a name that ends in a secret word, with up to twelve characters more: bounded for Java's look-behind.
+_ASSIGNS = (
+    r"(?i:" + "|".join(SECRET_WORDS).replace("_", "[_\\-]?") + r")(?:[_\-0-9A-Z][A-Za-z0-9_\-]{0,11})?[\"'\]]{0,2}\s{0,3}(?::=|=>|={1,2}|:)\s{0,3}"
+)
+
+
+def _behind(quote: str, value: str) -> str:
+    # The first look-behind is cheap and rules out nearly every place.
+    return rf"(?<=[:=>]\s{{0,3}}{quote})(?<={_ASSIGNS}{quote}){value}"
+
+
+#: The value assigned to a secret word, of any length and characters: up to its quote, or to white space without one.
+#: Closing marks of a sentence or a bracket are not part of a value without quotes.
+ASSIGNED = "|".join(
+    [_behind(q, rf"[^\s{q}]+") for q in "\"'`"] + [_behind("", r"[^\s\"'`=>:][^\s\"'`]*?(?=[.,;)\]}]*(?:[\s\"'`]|\z))")]
+)
+CANDIDATE = rf"(?:(?<=[:=>\s\"'`])(?:{ASSIGNED})|{TOKEN})"
 OTHER_WORDS = (
     "sha sha1 sha256 md5 checksum hash commit revision digest uuid guid id isbn issn doi order invoice phone tel fax card "
     "account serial version build release date time timestamp number page image file url path"
@@ -53,7 +70,7 @@ DICTIONARY = tuple(
 )
 
 FEATURES = (
-    "length", "transitions", "dictionary", "digits", "upper", "lower", "variety", "hex",
+    "length", "transitions", "dictionary", "digits", "upper", "lower", "variety", "hex", "ordinary",
     "secret_before", "other_before", "sample_near", "assigned", "quoted", "path_sample", "path_depth",
 )
 
@@ -92,6 +109,8 @@ def feature_struct(candidate: Column, left: Column, right: Column, path: Column)
         "lower": _share(head, "[a-z]"),
         "variety": F.size(F.array_distinct(F.split(head, ""))) / F.greatest(F.length(head), F.lit(1)),
         "hex": head.rlike("^[0-9a-f]+$").cast("double"),
+        # Single words, calls and attributes of program code, and values that are masked.
+        "ordinary": head.rlike(r"^\p{Lu}?\p{Ll}{0,15}$|^[A-Z]{1,8}$|[(){}\[\]<>$]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$|^[*.xX#\-]+$").cast("double"),
         "secret_before": _any_word(before, SECRET_WORDS),
         "other_before": _any_word(before, OTHER_WORDS),
         "sample_near": F.greatest(_any_word(before, SAMPLE_WORDS), _any_word(after, SAMPLE_WORDS), _any_word(head, SAMPLE_WORDS)),
@@ -171,17 +190,19 @@ def score(x: Column, forest: list[Node]) -> Column:
     return reduce(lambda a, b: a + b, [tree.votes(x) for tree in forest]) / float(len(forest))
 
 
-def public_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
+def public_findings(spark: SparkSession, rows: int = 9_600) -> DataFrame:
     """Labelled findings made by rule from hashed numbers, in public formats.
 
     Secrets: cloud key ids, hex and base64 tokens and passwords, mostly behind a
-    word that names them or an assignment. Others: payment card and order
+    word that names them or an assignment; short passwords with and without
+    punctuation, and tokens without digits. Others: payment card and order
     numbers, commit and file hashes, UUIDs, dates, versions, identifiers of
-    code, placeholders, and anything in sample files.
+    code, placeholders, words of prose and code behind an assignment, and
+    anything in sample files.
     """
     # spark.range in a fixed number of slices makes the training set the same everywhere.
     base = spark.range(0, rows, 1, 4).select("id", F.sha2(F.concat(F.lit("finding"), F.col("id")), 512).alias("h"))
-    base = base.withColumn("kind", F.col("id") % 20).withColumn("pick", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+    base = base.withColumn("kind", F.col("id") % 32).withColumn("pick", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
 
     def pick(words: list[str], step: int) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(F.col("pick") / step) % len(words) + 1).cast("int"))
@@ -202,6 +223,20 @@ def public_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     assigned = F.concat(prose, F.lit(" "), name, sign)
     uuid = F.concat_ws("-", hexes(1, 8), hexes(9, 4), hexes(13, 4), hexes(17, 4), hexes(21, 12))
     plain_path = pick(["src3", "src/app/main.py", "web/config/prod.yml", "notes/readme.md", "", "deploy/env/settings.ini"], 11)
+    letters = F.translate(base64, "+/0123456789", "gkmpqrsTVWXZ")
+    blocks = F.concat(F.lower(F.substring(letters, 1, 9)), F.upper(F.substring(letters, 10, 6)), F.lower(F.substring(letters, 16, 20)))
+    letters = F.when(F.col("pick") % 2 == 0, blocks).otherwise(letters)
+    word = pick(["hunter", "dragon", "monkey", "winter", "purple", "falcon", "soleil", "katze", "Summer", "Tiger", "Secret", "Troubador"], 17)
+    leet = F.when(F.col("pick") % 3 == 0, F.translate(word, "aeo", "430")).otherwise(word)
+    symbol = pick(["!", "&", "#", "@", "%", "?", "*", "!!", "$", "^", "+", "="], 29)
+    tail = pick(["pass", "", "xyz", "Aa", "q", "ville"], 37)
+    # Words of no language, of letters only.
+    sounds = F.translate(F.expr("substring(h, 9, int(2 + pick % 10))"), "0123456789", "ghijklmnop")
+    said = pick(["the", "required", "must", "none", "null", "true", "false", "string", "your", "Optional", "invalid", "is", "a", "and", "expired", "Bearer", "None", "NULL"], 17)
+    program = pick(["os.environ[", "getpass()", "config.", "${", "<", "self.", "process.env.", "{{", "request.headers[", "input(", "****", "$("], 17)
+    inner = pick(["password>", "token", "auth", "DB_PASSWORD}", "********", "secret)", "api_key", "get("], 41)
+    call = pick(["getpass(", "input(", "get_token(", "getpass.getpass(", "read_secret(", "load(path", "config.get(", "prompt(", "fetch()", "env(", "f(x"], 23)
+    program = F.when(F.col("pick") % 2 == 0, call).otherwise(F.concat(program, inner))
     made = [  # candidate, before, label
         (hexes(1, 40), assigned, 1), (hexes(1, 18), assigned, 1), (hexes(5, 32), assigned, 1), (base64, assigned, 1),
         (F.expr("substring(h, 1, int(12 + pick % 29))"), assigned, 1), (key_id, F.concat(prose, F.lit(" ")), 1),
@@ -212,6 +247,12 @@ def public_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (uuid, F.concat(prose, F.lit(" "), other, F.lit(" ")), 0), (F.concat(code, digits(3)), F.concat(prose, F.lit(" ")), 0),
         (F.concat(sample, digits(6)), assigned, 0), (F.concat(F.lit("2024-0"), digits(1), F.lit("-1"), digits(1), F.lit("T10-00-0"), digits(1)), F.concat(prose, F.lit(" ")), 0),
         (F.concat(hexes(1, 8), F.lit("XXXXXXXXXXXX")), assigned, 0), (hexes(1, 40), assigned, 0),
+        (F.concat(leet, symbol, hexes(3, 2)), assigned, 1), (F.concat(leet, digits(1), tail), assigned, 1),
+        (F.concat(leet, digits(2), symbol), assigned, 1), (F.concat(F.substring(base64, 1, 5), symbol, F.substring(base64, 9, 3)), assigned, 1),
+        (F.expr("substring(h, 1, int(6 + pick % 6))"), assigned, 1), (F.substr(letters, F.lit(1), (14 + F.col("id") % 19).cast("int")), assigned, 1),
+        (F.substring(base64, 3, 8), assigned, 1), (F.concat(F.substring(letters, 1, 4), symbol, F.substring(letters, 7, 6)), assigned, 1),
+        (said, assigned, 0), (F.when(F.col("pick") % 2 == 0, sounds).otherwise(F.initcap(sounds)), assigned, 0),
+        (program, assigned, 0), (digits(2), assigned, 0),
     ]
 
     def choose(column: int) -> Column:
@@ -220,7 +261,7 @@ def public_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
             out = out.when(F.col("kind") == k, made[k][column])
         return out
 
-    label = F.col("kind") < 10
+    label = F.col("kind").isin(*[k for k, m in enumerate(made) if m[2]])
     path = F.when(F.col("kind") == 19, pick(["tests/fixtures/keys.py", "examples/demo.py", "docs/sample.md", "src/test/mock_client.java"], 3)).otherwise(plain_path)
     closing = F.when(F.col("before").rlike("\"$"), F.lit('" ')).when(F.col("before").rlike("'$"), F.lit("' ")).otherwise(F.lit(" "))
     return base.select("kind", "pick", choose(0).alias("candidate"), choose(1).alias("before"), path.alias("path"), label.alias("is_secret")).select(
@@ -269,7 +310,7 @@ def findings(
 
     ``number`` counts the candidates of a document row from 1, ``start`` is the
     character place from 0. The value itself is not returned, only its SHA-256
-    and its first four characters. Null or empty texts hold nothing; a null or
+    and its first four characters (a quarter of a value under 12). Null or empty texts hold nothing; a null or
     missing path says nothing; repeated rows are reported each; empty tables
     give none. Other columns of ``docs`` are not looked at.
     """
@@ -281,7 +322,8 @@ def findings(
     rows = rows.select("doc_id", "row", F.posexplode("__parts").alias("number", "part"))
     rows = rows.select(
         "doc_id", "row", F.col("number") + 1, F.length("part.gap").alias("gap"), F.length("part.hit").alias("length"),
-        F.col("part.score").alias("score"), F.sha2("part.hit", 256).alias("sha256"), F.left("part.hit", F.lit(4)).alias("preview"),
+        F.col("part.score").alias("score"), F.sha2("part.hit", 256).alias("sha256"),
+        F.left("part.hit", F.when(F.length("part.hit") >= 12, 4).otherwise(F.floor(F.length("part.hit") / 4).cast("int"))).alias("preview"),
     ).toDF("doc_id", "row", "number", "gap", "length", "score", "sha256", "preview").filter("length is not null")
     before = Window.partitionBy("row").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("start", F.sum(F.col("gap") + F.col("length")).over(before) - F.col("length"))

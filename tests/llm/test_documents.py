@@ -146,6 +146,39 @@ def test_secrets_are_found_and_removed(spark, documents, forest):
     assert sorted(r.text for r in clean.collect()) == sorted([want, want, "nothing to see 12"])
 
 
+ASSIGNED = {
+    'password = "S3cr3t!x9"': "S3cr3t!x9",
+    'a password = "hunter2pass" b': "hunter2pass",
+    "pwd=Tr0ub4dor&3xyz": "Tr0ub4dor&3xyz",
+    'token = "abcdefghijKLMNOPqrstuv"': "abcdefghijKLMNOPqrstuv",
+    "set DB_PASSWORD=k9#Wq2z, then": "k9#Wq2z",
+    "{\"password\": \"it's5Xq!\", \"n\": 1}": "it's5Xq!",
+    "api-key: 'Zq8!rT2p'": "Zq8!rT2p",
+    "old_password_2024=Vx7$mK1q.": "Vx7$mK1q",
+}
+ORDINARY = [
+    "password: required", "the token: der Anfang", "password = getpass()", "token = config.token", "session: the meeting",
+    'password = "${DB_PASSWORD}"', "authors: Smith2 and Jones3", "secret = None", "password=********",
+]
+
+
+def test_assigned_values_are_candidates(spark):
+    rows = [(f"{b} x", v) for b, v in ASSIGNED.items()] + [("secret: Value", "Value"), ("no secret here", None), ("secretary: Value", None)]
+    frame = spark.createDataFrame(rows, "text string, want string")
+    for r in frame.withColumn("got", F.regexp_extract_all("text", F.lit(secrets.CANDIDATE), F.lit(0))).collect():
+        assert (r.want in r.got) if r.want else not r.got, (r.text, r.got)
+
+
+def test_short_and_punctuated_secrets_are_removed(documents, forest):
+    texts = [*ASSIGNED, *ORDINARY]
+    got = {r.doc_id: r.text for r in secrets.redacted(documents(list(enumerate(texts))), forest).collect()}
+    want = [t.replace(v, "[SECRET]") for t, v in ASSIGNED.items()] + ORDINARY
+    assert [got[i] for i in range(len(texts))] == want
+    found = secrets.findings(documents(list(enumerate(texts))), forest).collect()
+    assert {r.doc_id: texts[r.doc_id][r.start : r.start + r.length] for r in found} == dict(enumerate(ASSIGNED.values()))
+    assert all(len(r.preview) <= max(r.length // 4, 0) or r.length >= 12 for r in found)
+
+
 def test_secrets_in_odd_documents(odd, odd_rows, nothing, forest):
     assert secrets.findings(odd, forest).collect() == []
     kept = secrets.redacted(odd, forest, path=None).collect()
