@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Edits allowed per 20 characters of a normalised item.
 CHARS_PER_EDIT = 20
-#: Shorter items are common phrases and are not searched.
+#: Shorter items may be common phrases: they are found at word boundaries only.
 MIN_CHARS = 40
 #: Characters of items searched in one pass over the documents; more items take more passes.
 PASS_CHARS = 4_000_000
@@ -63,12 +63,52 @@ def best_match(pattern: str, window: str, edits: int) -> tuple[int, int] | None:
     return best
 
 
+def _in_word(c: str) -> bool:
+    """Letters and digits of scripts that put spaces between words (Thai to Burmese, Khmer and Chinese to Japanese do not)."""
+    return c.isalnum() and not ("\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\ua4cf" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000")
+
+
+def boundary(text: str, at: int) -> bool:
+    """True if no word goes on across place ``at`` of the text."""
+    return not 0 < at < len(text) or not (_in_word(text[at - 1]) and _in_word(text[at]))
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance of two short strings."""
+    if a == b:
+        return 0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def best_words(pattern: str, text: str, low: int, high: int, edits: int) -> tuple[int, int] | None:
+    """``best_match`` of a short item in text[low:high], for substrings that begin and end at word boundaries; ends count from 0."""
+    best: tuple[int, int] | None = None
+    m = len(pattern)
+    for start in range(low, high):
+        if not boundary(text, start):
+            continue
+        for end in range(max(start + 1, start + m - edits), min(high, start + m + edits) + 1):
+            if boundary(text, end):
+                hit = distance(pattern, text[start:end]), end
+                if hit[0] <= edits and (best is None or hit < best):
+                    best = hit
+    return best
+
+
 class Searcher:
     """Exact piece hits of many items in one scan, verified around each hit."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, min_chars: int):
         import ahocorasick
 
+        self.min_chars = min_chars
+
         self.items = [(i, t, len(t) // chars_per_edit) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -91,6 +131,8 @@ class Searcher:
             for k, at in where:
                 _, pattern, edits = self.items[k]
                 start = end - length + 1 - at
+                if not edits and len(pattern) < self.min_chars and not (boundary(text, start) and boundary(text, end + 1)):
+                    continue
                 low, high = max(0, start - edits), min(len(text), start + len(pattern) + edits)
                 known = windows.setdefault(k, [])
                 if known and low <= known[-1][1] - len(pattern) + edits + 1 and high >= known[-1][0]:
@@ -102,20 +144,25 @@ class Searcher:
             item, pattern, edits = self.items[k]
             found: tuple[int, int] | None = None
             for low, high in spans:
-                hit = best_match(pattern, text[low:high], edits)
-                if hit and (found is None or (hit[0], hit[1] + low) < found):
-                    found = hit[0], hit[1] + low
+                if len(pattern) < self.min_chars:
+                    hit = best_words(pattern, text, low, high, edits)
+                else:
+                    hit = best_match(pattern, text[low:high], edits)
+                    hit = hit and (hit[0], hit[1] + low)
+                if hit and (found is None or hit < found):
+                    found = hit
             if found:
                 yield item, found[0], found[1]
 
 
-def benchmark_parts(items: DataFrame, min_chars: int, text: str, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in lists of bounded length, read one partition at a time."""
+def benchmark_parts(items: DataFrame, text: str, pass_chars: int, named: bool = True) -> Iterator[list[tuple[int | None, str]]]:
+    """Normalised items in lists of bounded length, read one partition at a time; ``named`` leaves out those without an id."""
     part, size = [], 0
-    rows = items.select(F.col("item_id").cast("long"), F.col(text).alias("text")).filter("item_id is not null").distinct()
+    rows = items.select(F.col("item_id").cast("long"), F.col(text).alias("text")).distinct()
+    rows = rows.filter("item_id is not null") if named else rows
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         value = normalised(row.text)
-        if len(value) < min_chars:
+        if not value:
             continue
         if part and size + len(value) > pass_chars:
             yield part
@@ -135,16 +182,17 @@ def contaminations(
     Returns doc_id, item_id, distance, end_char (in the normalised text): the
     best occurrence, one row per document row and item. Items and texts are
     compared in lower case with single spaces. Null or empty texts hold nothing;
-    items that are null or shorter than ``min_chars`` are not searched; repeated
-    items give one row; repeated document rows one row each; empty tables none.
+    items under ``min_chars`` are found at word boundaries only; null or empty
+    items and, as there is no name for them, those without an id are not
+    searched; repeated items give one row; repeated document rows one row each; empty tables none.
     Whole texts are scanned once for every ``pass_chars`` characters of items,
     so what a task holds is bounded however many items there are.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     shape = "doc_id long, item_id long, distance int, end_char long"
     found = [
-        rows.mapInArrow(_search(items, chars_per_edit), shape)
-        for items in benchmark_parts(benchmark, min_chars, "text", pass_chars)
+        rows.mapInArrow(_search(items, chars_per_edit, min_chars), shape)
+        for items in benchmark_parts(benchmark, "text", pass_chars)
     ]
     out = found[0] if found else docs.sparkSession.createDataFrame([], shape)
     for more in found[1:]:
@@ -152,13 +200,13 @@ def contaminations(
     return out
 
 
-def _search(items: list[tuple[int, str]], chars_per_edit: int):
+def _search(items: list[tuple[int, str]], chars_per_edit: int, min_chars: int):
     unique = sorted(set(items))
 
     def search(batches):
         import pyarrow as pa
 
-        searcher = Searcher(unique, chars_per_edit)
+        searcher = Searcher(unique, chars_per_edit, min_chars)
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -179,19 +227,20 @@ def _search(items: list[tuple[int, str]], chars_per_edit: int):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """Documents without a benchmark item, decided row by row in one scan per pass.
 
-    Same columns; a row with a null text stays.
+    Same columns; a row with a null text stays. Items without an id count as well.
     """
-    kept = docs
-    for items in benchmark_parts(benchmark, options.get("min_chars", MIN_CHARS), "text", options.get("pass_chars", PASS_CHARS)):
-        kept = kept.mapInArrow(_keep(items, options.get("chars_per_edit", CHARS_PER_EDIT), docs.columns.index(text)), docs.schema)
+    kept, column = docs, docs.columns.index(text)
+    per_edit, min_chars = options.get("chars_per_edit", CHARS_PER_EDIT), options.get("min_chars", MIN_CHARS)
+    for items in benchmark_parts(benchmark, "text", options.get("pass_chars", PASS_CHARS), named=False):
+        kept = kept.mapInArrow(_keep(items, per_edit, min_chars, column), docs.schema)
     return kept
 
 
-def _keep(items: list[tuple[int, str]], chars_per_edit: int, column: int):
+def _keep(items: list[tuple[int | None, str]], chars_per_edit: int, min_chars: int, column: int):
     def keep(batches):
         import pyarrow as pa
 
-        searcher = Searcher(items, chars_per_edit)
+        searcher = Searcher(items, chars_per_edit, min_chars)
         for batch in batches:
             clean = [next(searcher.matches(normalised(t.as_py())), None) is None for t in batch.column(column)]
             yield batch.filter(pa.array(clean, pa.bool_()))

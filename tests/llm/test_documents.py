@@ -111,6 +111,18 @@ def test_leaks_equal_brute_force(spark, documents):
         assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_short_items_and_items_without_an_id(spark, documents):
+    items = [(1, "What is 7 + 5?"), (2, "name the capital of France"), (3, "首都是哪里"), (4, "cat"), (None, "an item that has no id at all, but a long text"), (5, " ")]
+    rows = [
+        (1, "So: what is 7 +\n5? Twelve."), (2, "What is 7 + 55?"), (3, "Please name the capitol of France."), (4, "rename the capital of Frances"),
+        (5, "请问法国的首都是哪里呢"), (6, "concatenate"), (7, "a cat."), (8, "Here an item that has no id at all, but a long text ends"), (9, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.end_char) for r in decontaminate.contaminations(documents(rows), benchmark).collect()}
+    assert got == {(1, 1): (0, 18), (3, 2): (1, 33), (5, 3): (0, 10), (7, 4): (0, 5)}
+    assert {r.doc_id for r in decontaminate.clean_documents(documents(rows), benchmark).collect()} == {2, 4, 6, 9}
+
+
 def test_leaks_in_odd_documents(spark, odd, odd_rows, nothing):
     benchmark = spark.createDataFrame([(1, odd_rows[4][1][-60:]), (None, "x" * 50)], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.contaminations(odd, benchmark).collect()] == [5]
