@@ -141,3 +141,104 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
     forest = secrets.fit_forest(secrets.public_findings(spark))
     return secrets.findings(table(spark, folder, "documents"), forest)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query(OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusflow.llm import negatives
+
+    rows = negatives.prepared(table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def _op12_sql() -> str:
+    """One row at a time from the end; each grammar state keeps its cheapest (cost, audit, text)."""
+    end = "{'c': 0, 'a': '', 'r': ''}", "{'c': 10, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}", "{'c': 5, 'a': 'I', 'r': 'assistant:'}"
+
+    def after(edit: str, cost: str, line: str, rest: str) -> str:
+        return f"{{'c': {cost} + {rest}.c, 'a': '{edit}' || {rest}.a, 'r': {line} || CASE WHEN {rest}.r = '' THEN '' ELSE chr(10) || {rest}.r END}}"
+
+    def state(q: int) -> str:
+        kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+        free, who = (3, "assistant") if q == 2 else (2, "user")
+        offers = [f"[{{'c': 2 + f{q}.c, 'a': 'D' || f{q}.a, 'r': f{q}.r}}]"]
+        offers.append(f"CASE WHEN drop_it THEN [] ELSE [{after('R', '1 + fine', repr(who + ':') + ' || text', f'f{free}')}] END")
+        offers += [f"CASE WHEN drop_it OR init <> '{c}' THEN [] ELSE [{after('K', 'fine', chr(39) * 2 + ' || role || ' + repr(':') + ' || text', f'f{n}')}] END" for c, n in kept.items()]
+        return f"list_sort({' || '.join(offers)})[1]"
+
+    def with_insert(q: int, source: str) -> str:
+        who = "assistant:" if q == 2 else "user:"
+        return f"list_sort([e{q}, {after('I', '5', repr(who), source)}])[1]"
+
+    return f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+summed AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(name) + 1), lambda k: ascii(substr(name, k, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS code
+  FROM named),
+rows0 AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS t FROM summed WHERE code <> 0),
+rows1 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM rows0),
+rows2 AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS init, cut = '' AS blank,
+    cut <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate, cut FROM rows1),
+rows3 AS (
+  SELECT *, blank OR duplicate AS drop_it, NOT blank AND NOT duplicate AND right(cut, 1) NOT IN ('.', '!', '?') AS truncated,
+    i > 1 AND lag(init) OVER (PARTITION BY conv_id ORDER BY i) || init NOT IN ('su', 'ua', 'au') AS illegal FROM rows2),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM rows3 GROUP BY conv_id),
+step AS (
+  SELECT conv_id, n + 1 AS i, {end[0]} AS f0, {end[1]} AS f1, {end[2]} AS f2, {end[0]} AS f3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {with_insert(0, 'g2')} AS f0, {with_insert(1, 'g2')} AS f1, g2 AS f2, {with_insert(3, 'e2')} AS f3 FROM (
+    SELECT *, {with_insert(2, 'e3')} AS g2 FROM (
+      SELECT conv_id, i, {', '.join(f'{state(q)} AS e{q}' for q in range(4))} FROM (
+        SELECT s.conv_id, r.i, r.role, r.text, r.init, r.drop_it, CASE WHEN r.truncated THEN 5 ELSE 0 END AS fine, s.f0, s.f1, s.f2, s.f3
+        FROM step s JOIN rows3 r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i - 1) AS x) AS y) AS z)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(s.f0.c, 0)::BIGINT AS cost,
+  coalesce(s.f0.a, '') AS audit, sha256(coalesce(s.f0.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN step s ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.i = 1
+"""
+
+
+@query(_op12_sql())
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import repair
+
+    rows = table(spark, folder, "conversations")
+    return repair.repairs(rows, repair.damaged(rows))
