@@ -242,3 +242,19 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "conversations")
     return repair.repairs(rows, repair.damaged(rows))
+
+
+# The same join on sets of 3-word shingles as strings, with the number of linked documents.
+OP11_SQL = (
+    OP5_SQL.replace("WHEN len(w) = 1 THEN [w[1]]", "WHEN len(w) < 3 THEN [array_to_string(w, ' ')]")
+    .replace("range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]", "range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]")
+    .replace(">= 80 *", ">= 90 *")
+    .replace("s.doc_id = min(r.other) AS kept", "(SELECT count(*) FROM ways WHERE ways.a = s.doc_id) AS n_links")
+)
+
+
+@query(OP11_SQL)
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusflow.llm import jaccard
+
+    return jaccard.jaccard_join(table(spark, folder, "documents"))
