@@ -268,7 +268,8 @@ def hard_negatives(
     Rows that share the anchor's vec_id count as its own. A repeated vec_id is a
     candidate as often as it stands there, and one anchor (of its smallest label
     and vector). Vectors of another length, and empty ones, meet nothing. Scores
-    beyond a long are held at its ends. Empty tables give no rows.
+    beyond a long are held at its ends; those beyond 2^53 are added up exactly
+    and compared as doubles. Empty tables give no rows.
     """
     rows = cut_lineage(rows.select("vec_id", "label", "v"), "vectors")
     anchors = rows.filter(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("a"))
