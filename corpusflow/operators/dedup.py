@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import BITS, hamming
 from corpusflow.functions.text import words
+from corpusflow.operators.components import TASK_EDGES, components
 from corpusflow.session import cut_lineage, is_small
 
 # A bucket of candidate signatures larger than this is divided by further bits.
@@ -193,33 +194,80 @@ def close_pairs(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS, max_mas
     )
 
 
-def greedy_dropped(edges: DataFrame) -> DataFrame:
-    """ord of the rows dropped when, in order, a row stays iff no earlier row that stays is close.
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between numbers that are ordered like the rows, and the row of each number."""
+    nodes = edges.select(F.col("first").alias("ord")).unionByName(edges.select(F.col("second").alias("ord"))).distinct()
+    # Partitions of a sorted table follow each other, and so do the numbers.
+    names = cut_lineage(nodes.orderBy("ord").withColumn("id", F.monotonically_increasing_id()), "numbers")
+    by_end = [names.select(F.col("ord").alias(end), F.col("id").alias(f"{end}_id")) for end in ("first", "second")]
+    pairs = edges.select("first", "second").join(by_end[0], "first").join(by_end[1], "second")
+    return cut_lineage(pairs.select(F.col("first_id").alias("first"), F.col("second_id").alias("second")), "edges"), names
+
+
+def _settled(edges: DataFrame, parts: int) -> DataFrame:
+    """id of the rows dropped, whole components per task: edges in order, the later end goes if the earlier one stays."""
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["first", "second"])
+        gone: set[int] = set()
+        for first, second in zip(frame["first"].tolist(), frame["second"].tolist()):
+            if first not in gone:
+                gone.add(second)
+        return pd.DataFrame({"id": pd.Series(sorted(gone), dtype="int64")})
+
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(parts)))
+    return dealt.groupBy("part").applyInPandas(settle, "id long")
+
+
+def _settled_in_rounds(edges: DataFrame) -> list[DataFrame]:
+    """id of the rows dropped, as one table a round; for a component that no task can hold.
 
     Each round settles the rows without an earlier open neighbour: they stay,
     and their later neighbours go. Rounds end when no edge between open rows is
     left. Rounds work on edges only and are written to the shared folder.
     """
-    spark = edges.sparkSession
     open_edges = cut_lineage(edges.select("first", "second"), "edges")
     dropped: list[DataFrame] = []
     while not open_edges.isEmpty():
-        heads = open_edges.select(F.col("first").alias("ord")).distinct().join(
-            open_edges.select(F.col("second").alias("ord")).distinct(), "ord", "left_anti"
+        heads = open_edges.select(F.col("first").alias("id")).distinct().join(
+            open_edges.select(F.col("second").alias("id")).distinct(), "id", "left_anti"
         )
         gone = cut_lineage(
-            open_edges.join(heads.withColumnRenamed("ord", "first"), "first", "left_semi").select(F.col("second").alias("ord")).distinct(),
+            open_edges.join(heads.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("second").alias("id")).distinct(),
             "dropped",
         )
         dropped.append(gone)
-        rest = open_edges.join(gone.withColumnRenamed("ord", "first"), "first", "left_anti")
-        open_edges = cut_lineage(rest.join(gone.withColumnRenamed("ord", "second"), "second", "left_anti"), "edges")
-    if not dropped:
-        return spark.createDataFrame([], edges.select(F.col("first").alias("ord")).schema)
-    result = dropped[0]
-    for more in dropped[1:]:
+        rest = open_edges.join(gone.withColumnRenamed("id", "first"), "first", "left_anti")
+        open_edges = cut_lineage(rest.join(gone.withColumnRenamed("id", "second"), "second", "left_anti"), "edges")
+    return dropped
+
+
+def greedy_dropped(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """ord of the rows dropped when, in order, a row stays iff no earlier row that stays is close.
+
+    Components of the edges are independent. Those of up to ``task_edges`` edges
+    are settled inside one task each, many of them together, whatever the length
+    of their chains; only a larger component is settled in rounds.
+    """
+    edges = cut_lineage(edges.select("first", "second"), "close-edges")
+    n = edges.count()
+    if n == 0:
+        return edges.sparkSession.createDataFrame([], edges.select(F.col("first").alias("ord")).schema)
+    numbered, names = _numbered(edges)
+    if n <= task_edges:
+        gone = [_settled(numbered.withColumn("comp", F.lit(0)), 1)]
+    else:
+        labels = components(numbered, task_edges).select(F.col("node").alias("first"), "comp")
+        placed = cut_lineage(numbered.join(labels, "first"), "placed")
+        large = placed.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > task_edges).select("comp")
+        large = cut_lineage(large, "large")
+        side = F.broadcast(large) if is_small(large) else large
+        gone = [cut_lineage(_settled(placed.join(side, "comp", "left_anti"), -(-n // task_edges)), "settled")]
+        gone += _settled_in_rounds(placed.join(side, "comp", "left_semi"))
+    result = gone[0]
+    for more in gone[1:]:
         result = result.unionByName(more)
-    return result
+    return cut_lineage(cut_lineage(result, "dropped").join(names, "id").select("ord"), "dropped")
 
 
 def join_hot(rows: DataFrame, unique: DataFrame, key: str, n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
