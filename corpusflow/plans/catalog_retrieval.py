@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.scoring import fusion_key
-from corpusflow.operators import context, dense, fusion, rerank, sparse
+from corpusflow.operators import context, dense, fusion, inverted, rerank, sparse
 from corpusflow.operators.sparse import top_ranked
 from corpusflow.plans import retrieval
 from corpusflow.plans.registry import query
-from corpusflow.session import spread
+from corpusflow.session import scratch_path, spread
+from corpusflow.sources import stores
 from corpusflow.sources.tables import table
 
 
@@ -165,6 +166,47 @@ def index_append(spark, folder):
     return found.select("query_id", F.col("chunk_key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def _stored_index(spark, folder, label: str, halves: bool) -> inverted.TermIndex:
+    """The documents in a stored inverted index, at once or the labelled ones first."""
+    store = stores.TermIndexStore(spark, scratch_path(spark, label))
+    docs = documents(spark, folder)
+    if not halves:
+        store.save("documents", sparse.build_documents(docs, "chunk_key", "text"))
+        return store.load("documents")
+    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_key"))
+    for kind in ("left_semi", "left_anti"):
+        store.append("documents", sparse.build_documents(docs.join(labelled, "chunk_key", kind), "chunk_key", "text"))
+    return store.load("documents")
+
+
+def _searched(index: inverted.TermIndex, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    found = inverted.search(index, queries, k, min_score)
+    return found.select("query_id", F.col("chunk_key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+INDEXED_SQL = f"""WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank
+    FROM bm25_all WHERE rank <= 20 AND score > 0"""
+
+
+@query(INDEXED_SQL)
+def bm25_indexed(spark, folder):
+    """The search over a stored inverted index with block maxima."""
+    return _searched(_stored_index(spark, folder, "indexed", False), text_queries(spark, folder), 20)
+
+
+@query(f"{INDEXED_SQL} AND score >= 60")
+def bm25_index_grown(spark, folder):
+    """The same over an index that grew by a batch; statistics are sums over the batches."""
+    return _searched(_stored_index(spark, folder, "grown", True), text_queries(spark, folder), 20, 60.0)
+
+
+@query(f"WITH {TERMS_SQL} SELECT term, df FROM terms")
+def index_frequencies(spark, folder):
+    """Document frequencies as stored by two batches."""
+    index = _stored_index(spark, folder, "frequencies", True)
+    return index.terms.groupBy("term").agg(F.sum("df").alias("df"))
+
+
 @query(
     f"""WITH {VECTOR_SQL}, r AS (SELECT query_id, vec_id, distance,
       row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM vd)

@@ -13,8 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators import sparse
+from corpusflow.operators import inverted, sparse
 from corpusflow.options import DEFAULTS, Options
+from corpusflow.session import cut_lineage
 
 REGISTRY_SCHEMA = "file_hash string, chunk_ids array<string>, registered_at timestamp, removed boolean"
 
@@ -133,6 +134,91 @@ class IndexStore:
             self.remove(name)
 
 
+class TermIndexStore:
+    """Named inverted indexes that grow by batches.
+
+    A collection is a version folder with batches of postings and document
+    frequencies, each divided by term bucket. A batch counts once it is in the
+    log, which also holds its number of documents and their length; saving
+    starts a new version, removing enters none. Statistics are sums over the
+    batches, so an append reads no stored document.
+    """
+
+    LOG = "name string, version string, batch long, n_docs long, total_len long, shards long, buckets int, mean_idf double, key string, saved_at timestamp"
+
+    def __init__(self, spark: SparkSession, root: str, shard_docs: int = inverted.SHARD_DOCS):
+        self.spark, self.root, self.shard_docs = spark, os.path.join(root, "term-index"), shard_docs
+
+    def _log(self) -> DataFrame:
+        return read_or_empty(self.spark, os.path.join(self.root, "log"), self.LOG)
+
+    def _enter(self, *values) -> None:
+        row = self.spark.createDataFrame([values], self.LOG.replace(", saved_at timestamp", ""))
+        row.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(os.path.join(self.root, "log"))
+
+    def _state(self, name: str):
+        """The last log entry of the collection, or None."""
+        row = self._log().filter(F.col("name") == name).orderBy(F.desc("saved_at"), F.desc("batch")).first()
+        return row if row is not None and row.version else None
+
+    def _path(self, name: str, version: str, table: str, batch: int | None = None) -> str:
+        path = os.path.join(self.root, name.encode().hex(), version, table)
+        return path if batch is None else os.path.join(path, f"batch={batch}")
+
+    def _write(self, name: str, version: str, documents: DataFrame, before, buckets: int, options: Options) -> None:
+        """One batch: postings, frequencies, then the log entry with the sums so far."""
+        batch = before.batch + 1 if before else 0
+        documents = cut_lineage(documents, "batch")
+        n, length = documents.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        total_n, total_len = n + (before.n_docs if before else 0), length + (before.total_len if before else 0)
+        first_shard = before.shards if before else 0
+        mean_len = total_len / total_n if total_len else 1.0
+        blocks = inverted.posting_blocks(documents, n, mean_len, first_shard, buckets, self.shard_docs, options)
+        frequencies = inverted.document_frequencies(documents, buckets)
+        for table, rows, salt in (("postings", blocks, "shard"), ("terms", frequencies, "term")):
+            inverted.file_layout(rows, n, salt).write.mode("overwrite").partitionBy("bucket").parquet(self._path(name, version, table, batch))
+        key = documents.schema["chunk_key"].dataType.simpleString()
+        stored = self._tables(name, version, batch, key)
+        mean = inverted.mean_idf(stored[1], total_n)
+        shards = first_shard + max(1, -(-n // self.shard_docs))
+        self._enter(name, version, batch, total_n, total_len, shards, buckets, mean, key)
+
+    def _tables(self, name: str, version: str, last: int, key: str) -> tuple[DataFrame, DataFrame]:
+        """Postings and frequencies of the batches up to ``last``; a batch that failed is not among them."""
+        shapes = (
+            f"term string, shard long, top double, avg_len double, keys array<{key}>, tfs array<int>, lens array<int>, batch long, bucket int",
+            "term string, df long, batch long, bucket int",
+        )
+        return tuple(
+            read_or_empty(self.spark, self._path(name, version, table), shape).filter(F.col("batch") <= last)
+            for table, shape in zip(("postings", "terms"), shapes)
+        )
+
+    def save(self, name: str, documents: DataFrame, buckets: int = inverted.BUCKETS, options: Options = DEFAULTS) -> None:
+        """Replace the collection by rows of ``sparse.build_documents``."""
+        self._write(name, uuid.uuid4().hex, documents, None, buckets, options)
+
+    def append(self, name: str, documents: DataFrame, options: Options = DEFAULTS) -> None:
+        """Add rows of ``sparse.build_documents`` with new keys; stored postings stay as they are."""
+        before = self._state(name)
+        if before is None:
+            self.save(name, documents, options=options)
+        else:
+            self._write(name, before.version, documents, before, before.buckets, options)
+
+    def load(self, name: str) -> inverted.TermIndex:
+        state = self._state(name)
+        if state is None:
+            raise KeyError(f"no collection {name!r}")
+        postings, terms = self._tables(name, state.version, state.batch, state.key)
+        return inverted.TermIndex(postings, terms, state.n_docs, state.total_len, state.mean_idf, state.buckets)
+
+    def remove(self, name: str) -> None:
+        state = self._state(name)
+        if state is not None:
+            self._enter(name, None, 0, 0, 0, 0, 0, 0.0, state.key)
+
+
 def corpus_stats(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: n_chunks, n_sources, n_indexed (not blank), n_vectors."""
     text = chunks.agg(
