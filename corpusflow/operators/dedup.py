@@ -7,6 +7,7 @@ signatures are merged first, so a signature shared by many rows counts once.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -27,6 +28,12 @@ MAX_MASKS = 128
 BLOCK_ROWS = 4096
 # A key with more rows than this is joined by broadcast, apart from the others.
 HOT_ROWS = 1_000_000
+# Directories per mask of a stored band index.
+BAND_SHARES = 4
+# Words hashed together in a task; words remembered by a worker, and the longest of them.
+STEP_WORDS = 100_000
+KNOWN_WORDS = 200_000
+WORD_CHARS = 64
 
 
 def first_per_hash(files: DataFrame, key: str, file_hash: str = "file_hash") -> DataFrame:
@@ -39,14 +46,43 @@ def new_files(files: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return first_per_hash(files, key).join(registry.select("file_hash"), "file_hash", "left_anti")
 
 
-def _projected(tokens: np.ndarray) -> int:
-    """Bit i is set when more than the mean share of the words have bit i of their hash."""
-    if len(tokens) == 0:
-        return 0
-    hashes = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in tokens), ">u8")
-    counts = np.array([int((hashes >> np.uint64(i) & np.uint64(1)).sum()) for i in range(BITS)])
-    value = sum(1 << i for i in np.flatnonzero(counts * BITS > counts.sum()).tolist())
-    return value - (1 << BITS) if value >> (BITS - 1) else value
+class _Digests(dict):
+    """First 8 bytes of a word's MD5; short words are remembered, up to a bound in entries and so in bytes."""
+
+    def __missing__(self, word: str) -> bytes:
+        value = hashlib.md5(word.encode()).digest()[:8]
+        if len(word) <= WORD_CHARS:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_DIGESTS = _Digests()
+
+
+def _bit_counts(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the number of words whose hash has bit i set (rows by 64), and the number of words."""
+    lengths = np.array([len(t) if t is not None else 0 for t in tokens], np.int64)
+    counts = np.zeros((len(lengths), BITS), np.int64)
+    ends = np.cumsum(lengths)
+    row = 0
+    while row < len(lengths):
+        # Rows of about STEP_WORDS words together; a longer one by itself, in pieces.
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + STEP_WORDS, side="right")))
+        held = [w for t in tokens.iloc[row:stop] if t is not None for w in t]
+        sizes = lengths[row:stop]
+        full = np.flatnonzero(sizes)
+        for start in range(0, len(held), STEP_WORDS):
+            part = b"".join(map(_DIGESTS.__getitem__, held[start : start + STEP_WORDS]))
+            bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)[:, ::-1]
+            if stop == row + 1:
+                counts[row] += bits.sum(axis=0, dtype=np.int64)
+            else:
+                first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+                counts[row + full] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        row = stop
+    return counts, lengths
 
 
 def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -60,11 +96,31 @@ def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFr
 
     @F.pandas_udf("long")
     def signature(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: _projected(t) if t is not None else 0).astype("int64")
+        counts, _ = _bit_counts(tokens)
+        # Bits whose component exceeds the mean of all.
+        bits = (counts * BITS > counts.sum(axis=1, keepdims=True)).astype(np.uint8)
+        return pd.Series(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel(), dtype="int64")
 
     return docs.select(key, signature(words(F.col(text))).alias("signature"))
 
 
+def projected_vector(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, embedding: the vector behind ``projected_signature``, per word, as an embedder that needs no model.
+
+    Component i is the share of words whose hash has bit i set, less the share
+    without. A text without words is the zero vector.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vector(tokens: pd.Series) -> pd.Series:
+        counts, lengths = _bit_counts(tokens)
+        shares = 2.0 * counts / np.maximum(lengths, 1)[:, None] - 1.0
+        shares[lengths == 0] = 0.0
+        return pd.Series(list(shares))
+
+    return chunks.select(key, vector(words(F.col(text))).alias("embedding"))
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
@@ -285,13 +341,14 @@ def join_hot(rows: DataFrame, unique: DataFrame, key: str, n: str = "n", hot_row
 
 
 def near_duplicates(
-    rows: DataFrame, d: int, seen: DataFrame | None = None, limit: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+    rows: DataFrame, d: int, seen: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    limit: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """ord, signature, duplicate_of, known. A row stays when duplicate_of is NULL and known is false.
 
     ``rows``: ord (unique), signature. duplicate_of is the earliest row that
     stays and is within d. ``seen`` holds signatures that stayed in earlier
-    runs; known marks rows close to one of them.
+    runs, or finds the ord of the rows close to one of them; known marks these.
     """
     merged = cut_lineage(
         rows.groupBy("signature").agg(F.min("ord").alias("ord"), F.count("*").alias("n")), "signatures"
@@ -299,7 +356,8 @@ def near_duplicates(
     fresh = merged.select("ord", "signature")
     known = fresh.limit(0).select("ord")
     if seen is not None:
-        known = cut_lineage(close_to_seen(fresh, seen.select("signature").distinct(), d, limit), "known")
+        found = seen(fresh) if callable(seen) else close_to_seen(fresh, seen.select("signature").distinct(), d, limit)
+        known = cut_lineage(found, "known")
         fresh = fresh.join(known, "ord", "left_anti")
     edges = cut_lineage(close_pairs(fresh, d, limit), "close-pairs")
     dropped = greedy_dropped(edges)
@@ -336,6 +394,38 @@ def close_to_seen(fresh: DataFrame, seen: DataFrame, d: int, limit: int = BUCKET
     return close.filter(hamming(F.col("sig_a"), F.col("sig_b")) <= d).select("ord").distinct()
 
 
+def band_masks(d: int) -> list[int]:
+    """Masks of a stored band index, the same at every size: two of d + 2 blocks of bits.
+
+    Signatures within d agree on at least one of them. None when they would be
+    too many and too narrow (from d = 15 on).
+    """
+    return [sum(pair) for pair in combinations(_groups(list(range(BITS)), d + 2), 2)] if comb(d + 2, 2) <= MAX_MASKS else []
+
+
+def band_rows(signatures: DataFrame, d: int) -> DataFrame:
+    """The columns of ``signatures`` with band and part, one row per mask; a band is a mask and a share of its parts."""
+    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in band_masks(d)])
+    rows = signatures.select("*", F.posexplode(masks).alias("number", "mask"))
+    rows = rows.withColumn("part", F.col("signature").bitwiseAND(F.col("mask")))
+    share = F.pmod(F.xxhash64("part"), F.lit(BAND_SHARES)).cast("int")
+    return rows.withColumn("band", F.col("number") * BAND_SHARES + share).drop("number", "mask")
+
+
+def close_to_bands(fresh: DataFrame, bands: DataFrame, d: int) -> DataFrame:
+    """ord of the rows of ``fresh`` (ord, signature) within d of a signature in a stored band index.
+
+    ``bands`` (band, part, signature) is divided by band. Only the bands that the
+    rows fall into are read, and stored signatures are neither masked nor copied.
+    """
+    asked = cut_lineage(band_rows(fresh.select("ord", "signature"), d), "asked")
+    touched = [r.band for r in asked.select("band").distinct().collect()]  # at most masks times shares
+    stored = bands.filter(F.col("band").isin(touched)).select("band", "part", F.col("signature").alias("seen"))
+    side = F.broadcast(asked) if is_small(asked) else asked
+    met = stored.join(side, ["band", "part"])
+    return met.filter(hamming(F.col("signature"), F.col("seen")) <= d).select("ord").distinct()
+
+
 def chunk_ordinal(doc_id: Column, chunk_idx: Column) -> Column:
     """Order of a chunk among all chunks: by document, then by place in it. Any numbers fit."""
     return F.struct(doc_id.alias("doc_id"), chunk_idx.alias("chunk_idx"))

@@ -236,6 +236,29 @@ chunks AS (
 """
 
 
+def bit_counts_sql(source: str, key: str, name: str) -> str:
+    """CTEs up to {name}_c: per row the number of words and of words with each bit of their hash set."""
+    sums = ", ".join(f"sum((h >> {i}) & 1)::BIGINT AS b{i}" for i in range(64))
+    return f"""{name}_k AS (SELECT {key}, unnest({WORDS_SQL}) AS t FROM {source}), {name}_h AS (SELECT {key}, {MD5_SQL} AS h FROM {name}_k),
+{name}_c AS (SELECT {key}, count(*) AS words, {sums} FROM {name}_h GROUP BY {key})"""
+
+
+def chunk_signature_sql(source: str, key: str) -> str:
+    """CTEs that end in rep (signature, ord, i): distinct signatures of the rows in order of their key."""
+    total = " + ".join(f"b{i}" for i in range(64))
+    bits = " + ".join(f"CASE WHEN b{i} * 64 > total THEN {2**i}::HUGEINT ELSE 0 END" for i in range(64))
+    return f"""{bit_counts_sql(source, key, 's')},
+s_t AS (SELECT *, {total} AS total FROM s_c), s_u AS (SELECT {key}, {bits} AS u FROM s_t),
+sig AS (SELECT {source}.{key}, coalesce({_signed('u')}, 0) AS signature FROM {source} LEFT JOIN s_u USING ({key})),
+rep AS (SELECT signature, min({key}) AS ord, row_number() OVER (ORDER BY min({key})) AS i FROM sig GROUP BY signature)"""
+
+
+def vector_sql(source: str, name: str) -> str:
+    """CTEs that end in {name}_vec (n, v): the vector of word hashes of every row of ``source`` (n, text)."""
+    parts = ", ".join(f"coalesce(2.0::DOUBLE * b{i} / words - 1.0, 0)" for i in range(64))
+    return f"""{bit_counts_sql(source, 'n', name)}, {name}_vec AS (SELECT n, [{parts}]::DOUBLE[] AS v FROM {source} LEFT JOIN {name}_c USING (n))"""
+
+
 CHUNKS_SQL = f"src AS (SELECT doc_id AS id, source, {CLEAN_SQL} AS t FROM documents), {chunk_sql('src')}"
 
 

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.hashing import file_hash
+from corpusflow.plans.catalog_corpus import CHUNKS_SQL, chunk_signature_sql, vector_sql
 from corpusflow.plans.catalog_dialog import ROUTE_SQL
+from corpusflow.plans.catalog_retrieval import RERANK_SQL, VECTOR_SQL
 from corpusflow.plans.ingest import Corpus
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
+from corpusflow.sources.tables import table
 from corpusflow.streaming import jobs
 
 
@@ -76,11 +79,58 @@ def stream_first_submissions(spark, folder):
     return collected(spark, jobs.first_submissions(files, "100000 days"), "stream-first").select("file_hash")
 
 
-@query()
-def stream_ingest(spark, folder):
-    """The stored chunks after all documents went through the ingest stream."""
-    root = scratch_path(spark, "stream-ingest")
-    corpus = Corpus(spark, root)
+# Chunks that stay after the first file of each content and the first-seen rule over all chunks in order.
+KEPT_CHUNKS_SQL = f"""{CHUNKS_SQL},
+firsts AS (SELECT min(id) AS id FROM src GROUP BY sha256(t)),
+held AS (SELECT chunks.*, source, row_number() OVER (ORDER BY id, chunk_idx) AS n FROM chunks JOIN firsts USING (id) JOIN (SELECT id, source FROM src) USING (id)),
+{chunk_signature_sql('held', 'n')},
+step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT rep.i, CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, signature)) <= 3)) > 0 THEN kept
+    ELSE list_append(kept, signature) END FROM step JOIN rep ON rep.i = step.i + 1),
+stay AS (SELECT ord AS n FROM rep WHERE signature IN (SELECT unnest(kept) FROM step WHERE i = (SELECT max(i) FROM rep))),
+corpus_rows AS (SELECT id * 100000 + chunk_idx AS doc_id, id, chunk_idx, source, NULL::VARCHAR AS lang, start_index, text FROM held JOIN stay USING (n))
+"""
+
+
+def _ingested(spark, folder, label: str) -> Corpus:
+    """A corpus after all documents went through the ingest stream; keys that SQL can write as well."""
+    root = scratch_path(spark, label)
+    corpus = Corpus(spark, root, number=lambda doc, chunk: doc * 100_000 + chunk)
     docs = stream_of(spark, folder, "documents").select("doc_id", "source", "text")
     jobs.ingest_stream(docs, corpus, f"{root}/checkpoint")
+    return corpus
+
+
+@query(
+    f"""WITH RECURSIVE {KEPT_CHUNKS_SQL} SELECT id AS doc_id, source, chunk_idx, source || '_' || chunk_idx AS chunk_id, start_index, text
+    FROM corpus_rows"""
+)
+def stream_ingest(spark, folder):
+    """The stored chunks after all documents went through the ingest stream."""
+    corpus = _ingested(spark, folder, "stream-ingest")
     return corpus.read("chunks").select("doc_id", "source", "chunk_idx", "chunk_id", "start_index", "text")
+
+
+# Vectors of chunks and benchmark texts from word hashes, then the two lists as in every hybrid search.
+STORED_SQL = RERANK_SQL.replace(
+    VECTOR_SQL.strip(),
+    f"""bv AS (SELECT item_id AS n, text FROM benchmark), {vector_sql('bv', 'q')}, {vector_sql('held', 'c')},
+    vq AS (SELECT n AS query_id, v AS q FROM q_vec),
+    vd AS (SELECT query_id, doc_id AS vec_id, round(list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance
+      FROM vq, c_vec JOIN stay USING (n) JOIN held USING (n) JOIN corpus_rows r ON r.id = held.id AND r.chunk_idx = held.chunk_idx),
+    vec_all AS (SELECT query_id, vec_id AS doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM vd)""",
+).replace("documents", "corpus_rows")
+
+
+@query(
+    f"""WITH RECURSIVE {KEPT_CHUNKS_SQL}, {STORED_SQL} SELECT query_id, doc_id // 100000 AS doc_id, (doc_id % 100000)::INT AS chunk_idx, rank,
+      round(s, 6) AS score, round(rrf_score, 9) AS rrf_score, vector_rank, bm25_rank, source FROM final WHERE rank <= 5"""
+)
+def stored_hybrid_search(spark, folder):
+    """Benchmark texts against the corpus that the stream stored: its vectors, postings and chunks."""
+    found = _ingested(spark, folder, "stored-search").search(table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return found.select(
+        "query_id", F.floor(F.col("chunk_key") / 100_000).alias("doc_id"), (F.col("chunk_key") % 100_000).cast("int").alias("chunk_idx"), "rank",
+        F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"),
+        F.col("ranks")[0].alias("vector_rank"), F.col("ranks")[1].alias("bm25_rank"), "source",
+    )
