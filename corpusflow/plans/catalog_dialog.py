@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from corpusflow.functions import classify, parsing
 from corpusflow.functions.text import clean_subqueries as subqueries
 from corpusflow.functions.text import extract_path
-from corpusflow.operators import memory, metrics
-from corpusflow.plans.catalog_retrieval import vector_queries
+from corpusflow.operators import dedup, memory, metrics
+from corpusflow.plans.catalog_corpus import vector_sql
+from corpusflow.plans.catalog_retrieval import text_queries
 from corpusflow.plans.registry import query
+from corpusflow.session import cut_lineage
 from corpusflow.sources.tables import table
 
 # Questions about parts: the phrase depends on the part type, the mark on its brand.
@@ -389,49 +391,55 @@ def top_chars(spark, folder):
 
 
 def memories(spark, folder) -> DataFrame:
-    """One memory per conversation: its first assistant message, with the vector of its number."""
-    said = turns(spark, folder).filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.min_by("text", "turn").alias("content"))
-    held = table(spark, folder, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
-    return said.join(held, "conv_id").select(
-        F.col("conv_id").alias("memory_id"), F.col("conv_id").alias("session_id"), "content", "embedding"
-    )
-
-
-MEMORY_SQL = """
-vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
-mem AS (SELECT conv_id, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-md AS (SELECT query_id, conv_id AS memory_id, content, round(list_sum(list_transform(list_zip(q, embedding::DOUBLE[]),
-         lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance FROM vq, mem JOIN embeddings ON conv_id = vec_id),
-recalled AS (SELECT query_id, memory_id, content, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS rank FROM md)
+    """One memory per assistant message, with a vector that is derived from its text."""
+    said = turns(spark, folder).filter(F.col("role") == "assistant")
+    held = said.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("memory_id"), F.col("conv_id").alias("session_id"), F.col("text").alias("content"))
+    held = cut_lineage(held, "messages")
+    return held.join(dedup.projected_vector(held, "memory_id", "content"), "memory_id")
+
+
+def asked_texts(spark, folder) -> DataFrame:
+    """query_id, text, embedding of every benchmark text."""
+    queries = text_queries(spark, folder)
+    return queries.join(dedup.projected_vector(queries, "query_id"), "query_id")
+
+
+MEMORY_SQL = f"""
+mem AS (SELECT conv_id * 100000 + turn AS n, conv_id, text FROM conversations WHERE role = 'assistant'),
+bv AS (SELECT item_id AS n, text FROM benchmark), {vector_sql('bv', 'q')}, {vector_sql('mem', 'm')},
+md AS (SELECT q_vec.n AS query_id, mem.n AS memory_id, conv_id AS session_id, text AS content,
+         round(list_sum(list_transform(list_zip(q_vec.v, m_vec.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance
+       FROM q_vec, m_vec JOIN mem ON mem.n = m_vec.n),
+recalled AS (SELECT query_id, memory_id, session_id, content, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS rank FROM md)
 """
 
 
-@query(f"WITH {MEMORY_SQL} SELECT query_id, rank, memory_id, memory_id AS session_id, content FROM recalled WHERE rank <= 3")
+@query(f"WITH {MEMORY_SQL} SELECT query_id, rank, memory_id, session_id, content FROM recalled WHERE rank <= 3")
 def memory_recall(spark, folder):
-    return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3)
+    return memory.recall(memories(spark, folder), asked_texts(spark, folder), 3)
 
 
-@query(f"WITH {MEMORY_SQL} SELECT query_id, rank, memory_id, memory_id AS session_id, content FROM recalled WHERE rank <= 3 AND memory_id % 2 = 0")
+@query(f"WITH {MEMORY_SQL} SELECT query_id, rank, memory_id, session_id, content FROM recalled WHERE rank <= 3 AND session_id % 2 = 0")
 def session_recall(spark, folder):
     """The session condition comes after the top-k, so fewer than three may be left."""
-    return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3, F.col("session_id") % 2 == 0)
+    return memory.recall(memories(spark, folder), asked_texts(spark, folder), 3, F.col("session_id") % 2 == 0)
 
 
 @query(
-    f"""WITH {MEMORY_SQL}, r AS (SELECT query_id, memory_id, content, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS rank
-      FROM md WHERE memory_id % 2 = 0) SELECT query_id, rank, memory_id, memory_id AS session_id, content FROM r WHERE rank <= 3"""
+    f"""WITH {MEMORY_SQL}, r AS (SELECT query_id, memory_id, session_id, content, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS rank
+      FROM md WHERE session_id % 2 = 0) SELECT query_id, rank, memory_id, session_id, content FROM r WHERE rank <= 3"""
 )
 def session_recall_first(spark, folder):
     """The session condition comes before the top-k."""
-    return memory.recall(memories(spark, folder), vector_queries(spark, folder), 3, F.col("session_id") % 2 == 0, filter_first=True)
+    return memory.recall(memories(spark, folder), asked_texts(spark, folder), 3, F.col("session_id") % 2 == 0, filter_first=True)
 
 
-@query(f"WITH {MEMORY_SQL} SELECT conv_id AS memory_id, conv_id AS session_id, content FROM mem JOIN embeddings ON conv_id = vec_id WHERE conv_id % 2 = 0 ORDER BY 1 LIMIT 3")
+@query(f"WITH {MEMORY_SQL} SELECT n AS memory_id, conv_id AS session_id, text AS content FROM mem WHERE conv_id % 2 = 0 ORDER BY 1 LIMIT 3")
 def recall_without_vectors(spark, folder):
     return memory.first_memories(memories(spark, folder), 3, session=F.col("session_id") % 2 == 0).select("memory_id", "session_id", "content")
 
 
-@query(f"WITH {MEMORY_SQL} SELECT conv_id AS memory_id, conv_id AS session_id, content FROM mem JOIN embeddings ON conv_id = vec_id")
+@query(f"WITH {MEMORY_SQL} SELECT n AS memory_id, conv_id AS session_id, text AS content FROM mem")
 def all_memories(spark, folder):
     return memory.all_memories(memories(spark, folder))
 
@@ -445,7 +453,7 @@ def all_memories(spark, folder):
 )
 def assembled_context(spark, folder):
     """Benchmark item i is asked in conversation i."""
-    asked = vector_queries(spark, folder)
+    asked = asked_texts(spark, folder)
     recalled = memory.recall(memories(spark, folder), asked, 3)
     asked_in = turns(spark, folder).join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi")
     current = memory.conversation_context(asked_in, 2).withColumnRenamed("conv_id", "query_id")
