@@ -44,6 +44,16 @@ MARKS = frozenset(
 #: Of these, the names that an article's own parts also carry.
 ARTICLE_PARTS = frozenset("header copyright notice notices".split())
 
+#: Elements inside a line of text; what they are called says nothing about the text.
+INLINE = frozenset(
+    "a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup "
+    "time tt u var".split()
+)
+#: Boxes inside an article that may be site templates; a paragraph, a heading or a list item is none.
+BOXES = frozenset("center details div dl figure ol section table ul".split())
+#: Words in the names of an aside that quotes the article.
+QUOTES = frozenset("pullquote pull quote blockquote".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
@@ -90,21 +100,29 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> int:
+def _unwanted(tag: str, attributes: str, inside: bool, code: bool) -> int:
+    """What the tag and the attributes say; ``inside`` an article or main element, in ``code``.
+
+    Inside an article only a whole class or id name counts, so "related-work" or
+    "share-price" remove nothing, and no name counts on an element inside a line
+    or in code.
+    """
+    named = _attributes(attributes) if attributes else {}
+    names = f"{named.get('class', '')} {named.get('id', '')}"
+    if tag == "aside" and inside and not QUOTES.isdisjoint(w.lower() for w in _WORD.findall(names)):
+        return KEPT
     if tag in DROPPED or (tag == "header" and not inside):
         return SURE
-    if not attributes or tag in ("html", "body"):
+    if not named or tag in ("html", "body"):
         return KEPT
-    named = _attributes(attributes)
     if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or named.get("role", "").lower() in ROLES:
         return SURE
-    if tag == "main":
+    if tag == "main" or tag in INLINE or code:
         return KEPT
     marks = MARKS - ARTICLE_PARTS if inside or tag == "article" else MARKS
-    names = f"{named.get('class', '')} {named.get('id', '')}"
-    if marks.isdisjoint(w.lower() for w in _WORD.findall(names)):
-        return KEPT
-    return WORD if marks.isdisjoint(names.lower().split()) else NAME
+    if not marks.isdisjoint(names.lower().split()):
+        return NAME
+    return KEPT if inside or marks.isdisjoint(w.lower() for w in _WORD.findall(names)) else WORD
 
 
 def _dropped(page: Page, signs: list[int], within: list[bool]) -> list[bool]:
@@ -216,7 +234,8 @@ def parse(source: str) -> Page:
         parent = open_[-1]
         page.tags.append(tag)
         page.parents.append(parent)
-        signs.append(_unwanted(tag, found.group(3), page.in_main[parent]))
+        code = bool(depths.get("pre") or depths.get("code"))
+        signs.append(_unwanted(tag, found.group(3), page.in_main[parent], code))
         within.append(within[parent] or page.tags[parent] == "article")
         page.in_main.append(page.in_main[parent] or tag in MAIN)
         page.content.append([])
@@ -235,16 +254,31 @@ def parse(source: str) -> Page:
 
 
 def subtrees(page: Page) -> set[int]:
-    """Digests of the elements that may be templates: with text, outside the article.
-
-    What an author marks as article or main is never taken for a template,
-    however often copies of it stand on the host.
-    """
+    """Digests of the elements that may be templates: with text, and inside an article or main element boxes only."""
     return {
-        d for d, tag, inside in zip(page.digests, page.tags, page.in_main) if d and not inside and tag not in ("", "html", "body", "head")
+        d for d, tag, inside in zip(page.digests, page.tags, page.in_main)
+        if d and (tag in BOXES if inside else tag not in ("", "html", "body", "head"))
     }
 
 
+def _boxes(page: Page, gone: list[bool], templates: set[int]) -> list[bool]:
+    """Templates inside the article: boxes that recur on the site, unless they are half of its text or more together.
+
+    The guard keeps an article that the site shows on several pages.
+    """
+    n = len(gone)
+    box = [False] * n
+    for e in range(1, n):
+        box[e] = page.in_main[e] and (box[page.parents[e]] or (page.tags[e] in BOXES and page.digests[e] in templates))
+    whole = removed = 0
+    for element, _, value in page.runs:
+        if page.in_main[element] and not gone[element]:
+            size = len("".join(value.split()))
+            whole += size
+            removed += size if box[element] else 0
+    return box if 2 * removed < whole else [False] * n
+
+
 def main_text(page: Page, templates: set[int]) -> str:
     """Blocks of the article, one per line, without unwanted elements and templates.
 
@@ -254,6 +288,7 @@ def main_text(page: Page, templates: set[int]) -> str:
     if templates:
         for e in range(1, len(gone)):
             gone[e] = gone[e] or gone[page.parents[e]] or (page.digests[e] in templates and not page.in_main[e])
+        gone = [g or b for g, b in zip(gone, _boxes(page, gone, templates))]
     marked = any(inside and not g for inside, g in zip(page.in_main, gone))
     blocks: dict[int, list[str]] = {}
     for element, block, value in page.runs:
@@ -355,8 +390,9 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, max_sent: int = MAX_
     Site templates are subtrees that recur on at least ``min_pages`` different
     pages of their host, an absolute number on small and large hosts; they are
     deleted, as are elements whose tag, role or class says that they are no
-    article text. Inside an article or main element nothing is deleted for
-    recurring. Null or empty html gives an empty text; a null url is the host
+    article text. Inside an article or main element only boxes (not paragraphs,
+    headings or items) are templates, together less than half of its text, and
+    only whole class and id names of blocks count. Null or empty html gives an empty text; a null url is the host
     with an empty name; repeated rows give one row each; an empty table none.
     Other columns of ``pages`` are not looked at.
 
