@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.scoring import fusion_key
-from corpusflow.operators import context, dense, fusion, inverted, rerank, sparse
+from corpusflow.operators import cells, context, dense, fusion, inverted, rerank, sparse
 from corpusflow.operators.sparse import top_ranked
 from corpusflow.plans import retrieval
 from corpusflow.plans.registry import query
@@ -231,6 +231,30 @@ def vector_within_distance(spark, folder):
     )
 
 
+@query("SELECT count(DISTINCT item_id) AS n_queries, TRUE AS reaches_95 FROM benchmark JOIN embeddings ON item_id = vec_id")
+def vector_cells_recall(spark, folder):
+    """Neighbours from the nearest cells against the exact ones: at least 95 of 100 are found."""
+    path = scratch_path(spark, "cells")
+    cells.save(cells.build(vectors(spark, folder), 16), path)
+    queries = vector_queries(spark, folder)
+    near = cells.nearest(cells.load(spark, path), queries, 20, probes=14).select("query_id", "chunk_key", F.lit(1).alias("found"))
+    exact = dense.nearest(vectors(spark, folder), queries, 20).select("query_id", "chunk_key")
+    return exact.join(near, ["query_id", "chunk_key"], "left").agg(
+        F.count_distinct("query_id").alias("n_queries"), (F.count("found") >= 0.95 * F.count("*")).alias("reaches_95")
+    )
+
+
+@query(
+    f"""WITH {VECTOR_SQL}, r AS (SELECT query_id, vec_id, distance,
+      row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM vd)
+    SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 20"""
+)
+def vector_cells_exact(spark, folder):
+    """The exact neighbours from the cells, when a query looks into all of them."""
+    near = cells.nearest(cells.build(vectors(spark, folder), 16), vector_queries(spark, folder), 20, probes=16)
+    return near.select("query_id", F.col("chunk_key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 def ranked_lists(spark, folder):
     queries = vector_queries(spark, folder)
     return [

@@ -76,7 +76,10 @@ def stream_first_submissions(spark, folder):
     files = stream_of(spark, folder, "documents").select(
         F.timestamp_seconds(F.col("doc_id") + 1_600_000_000).alias("ts"), file_hash(F.col("text")).alias("file_hash")
     )
-    return collected(spark, jobs.first_submissions(files, "100000 days"), "stream-first").select("file_hash")
+    root = scratch_path(spark, "stream-first")
+    registry = jobs.SubmissionRegistry(spark, root)
+    jobs.run_available(files, f"{root}/checkpoint", registry.handle)
+    return registry.seen().select("file_hash")
 
 
 # Chunks that stay after the first file of each content and the first-seen rule over all chunks in order.

@@ -13,7 +13,7 @@ from corpusflow.functions.classify import route
 from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.plans.ingest import Corpus, ingest
-from corpusflow.session import broadcast_if_small, delete_folder
+from corpusflow.session import broadcast_if_small, cut_lineage, delete_folder
 from corpusflow.sources.stores import read_or_empty
 
 # A snapshot of conversation counters replaces the deltas of this many batches.
@@ -69,6 +69,32 @@ def first_submissions(files: DataFrame, delay: str = "1 day") -> DataFrame:
     return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_hash"])
 
 
+class SubmissionRegistry:
+    """First submissions of a stream, with copies caught at any distance.
+
+    The hashes seen are a table divided by their first two digits, not stream
+    state, so nothing grows in memory and no late row is lost. A batch reads the
+    divisions that its hashes fall into and writes what is new; repeating a batch
+    replaces what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, os.path.join(root, "submissions")
+
+    def handle(self, files: DataFrame, batch: int) -> None:
+        """``files``: file_hash, ts. The earliest row of a hash counts within a batch."""
+        first = files.groupBy("file_hash").agg(F.min("ts").alias("ts")).withColumn("share", F.substring("file_hash", 1, 2))
+        first = cut_lineage(first, "submitted")
+        touched = [r.share for r in first.select("share").distinct().collect()]  # at most 256 for hexadecimal hashes
+        known = self.seen().filter((F.col("batch") != batch) & F.col("share").isin(touched)).select("share", "file_hash")
+        fresh = first.join(known, ["share", "file_hash"], "left_anti")
+        fresh.repartition("share").write.mode("overwrite").partitionBy("share").parquet(os.path.join(self.path, f"batch={batch}"))
+
+    def seen(self) -> DataFrame:
+        """file_hash, ts, batch, share of every first submission."""
+        return read_or_empty(self.spark, self.path, "file_hash string, ts timestamp, batch long, share string")
+
+
 def service_metrics(log: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Per window: n, qps, mean and 95th percentile duration, error rate. ``log``: ts, duration, is_error."""
     by_window = log.withWatermark("ts", delay).groupBy(F.window("ts", width))
