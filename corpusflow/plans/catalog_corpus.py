@@ -360,3 +360,20 @@ def csv_roundtrip(spark, folder):
     path = scratch_path(spark, "csv")
     files.write_csv(table(spark, folder, "documents").select("doc_id", "source", "text"), path)
     return files.read_csv(spark, path).select("doc_id", "source", "text")
+
+
+@query(
+    """WITH h AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+    SELECT file_hash, doc_id::VARCHAR AS chunk_ids FROM h WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id % 2 = 0"""
+)
+def registry_log(spark, folder):
+    """Every content registered with its first document; labelled ones are removed, even ones registered again."""
+    registry = stores.Registry(spark, scratch_path(spark, "registry"))
+    files = docs(spark, folder).select("doc_id", hashing.file_hash(F.col("text")).alias("file_hash"))
+    first = cut_lineage(dedup.first_per_hash(files, "doc_id"), "first")
+    rows = first.select("doc_id", "file_hash", F.array(F.col("doc_id").cast("string")).alias("chunk_ids"))
+    registry.register(rows)
+    labelled = rows.join(table(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    registry.remove(labelled.select("file_hash"))
+    registry.register(labelled.filter("doc_id % 2 = 0"))
+    return registry.table().select("file_hash", F.array_join("chunk_ids", ",").alias("chunk_ids"))

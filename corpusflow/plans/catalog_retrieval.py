@@ -330,6 +330,25 @@ def hybrid_search(spark, folder):
     )
 
 
+# The same search without a sparse index: the vector list alone, with weight 1.
+VECTOR_ONLY_SQL = RERANK_SQL.replace("sum(0.5 / (60 + rank))", "sum(1.0 / (60 + rank))").replace(
+    "WHERE rank <= 30 AND score > 0 AND query_id IN", "WHERE FALSE AND query_id IN"
+)
+
+
+@query(
+    f"""WITH {VECTOR_ONLY_SQL} SELECT query_id, doc_id, rank, round(s, 6) AS score, round(rrf_score, 9) AS rrf_score, vector_rank, source,
+    'vector_only' AS method FROM final WHERE rank <= 5"""
+)
+def vector_only_search(spark, folder):
+    """Hybrid search where no sparse index is stored."""
+    found = retrieval.hybrid_search(None, document_vectors(spark, folder), documents(spark, folder), vector_queries(spark, folder))
+    return found.select(
+        "query_id", F.col("chunk_key").alias("doc_id"), "rank", F.round("score", 6).alias("score"),
+        F.round("rrf_score", 9).alias("rrf_score"), F.col("ranks")[0].alias("vector_rank"), "source", "method",
+    )
+
+
 @query(
     f"""WITH {RERANK_SQL},
     parts AS (SELECT query_id, rank, '[来源: ' || source || ' | 章节: ' || lang || ' | 向量排名: ' ||

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators import cleaning, labels, profile
+from corpusflow.operators import cleaning, labels, profile, sketches
 from corpusflow.plans.registry import query
+from corpusflow.session import scratch_path
 from corpusflow.sources.tables import table, table_columns
 
 EMPLOYMENT = {
@@ -374,3 +375,36 @@ def run_summary(spark, folder):
     features = cleaned.drop("loan_status")
     continuous, categorical = profile.column_types(features)
     return labels.run_summary(profile.cleaning_summary(raw, cleaned), labelled, len(continuous), len(categorical))
+
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+SKETCH_SHARES = [0.01, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+@query(
+    " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high,
+          round(avg({c}), 4) AS mean, TRUE AS ranks_hold, TRUE AS distinct_holds FROM lineitem)"""
+        for c in SKETCHED
+    )
+)
+def profile_incremental(spark, folder):
+    """A profile merged from the sketches of three batches, and whether it keeps its bounds against the whole table."""
+    rows = table_columns(spark, folder, "lineitem", "l_returnflag", *SKETCHED)
+    store = sketches.ProfileStore(spark, scratch_path(spark, "profile"))
+    for batch, flag in enumerate(["A", "N", "R"]):
+        store.add(batch, rows.filter(F.col("l_returnflag") == flag), SKETCHED)
+    report = {r.column: r for r in store.report(SKETCH_SHARES).collect()}  # one row per column
+    checks = []
+    for c in SKETCHED:
+        n, held = F.count(c), report[c]
+        ranks = F.lit(True)
+        for share, q in zip(SKETCH_SHARES, held.quantiles):
+            below, upto = F.count_if(F.col(c) < q) / n, F.count_if(F.col(c) <= q) / n
+            ranks = ranks & (below - sketches.RANK_ERROR <= share) & (upto + sketches.RANK_ERROR >= share)
+        distinct = F.count_distinct(c)
+        near = F.abs(distinct - held.n_distinct) <= F.greatest(F.lit(1.0), distinct * sketches.DISTINCT_ERROR)
+        checks.append(F.struct(F.lit(c).alias("column"), ranks.alias("ranks_hold"), near.alias("distinct_holds")))
+    checked = rows.agg(F.array(*checks).alias("all")).select(F.inline("all"))
+    exact = store.report(SKETCH_SHARES).select("column", "rows", "missing", "low", "high", F.round("mean", 4).alias("mean"))
+    return exact.join(checked, "column")

@@ -39,13 +39,23 @@ def rejected_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, as where a quoted field holds a line break; stops at the first."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, nrows: int | None = None, encoding: str = "utf-8") -> DataFrame:
     """All columns as text, missing-value texts as NULL, at most ``nrows`` rows.
 
     A first row without any value is dropped, as exports may write one under
-    the header. Quoted fields may hold line breaks and doubled quotes.
+    the header. Quoted fields may hold line breaks and doubled quotes. Only where
+    some field holds a line break is a file read by one task; otherwise large
+    files are split.
     """
-    raw = spark.read.options(header=True, encoding=encoding, multiLine=True, escape='"').csv(path)
+    whole = encoding.lower().startswith(("utf-16", "utf-32", "utf16", "utf32")) or has_open_quotes(spark, path)
+    raw = spark.read.options(header=True, encoding=encoding, multiLine=whole, escape='"').csv(path)
     names = raw.columns
     rows = raw.select(
         *[missing_to_null(F.col(f"`{c}`")).alias(c) for c in names],

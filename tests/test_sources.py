@@ -59,3 +59,23 @@ def test_registry(spark, tmp_path):
     assert {r.file_hash for r in registry.table().collect()} == {"h1"}
     registry.clear()
     assert registry.table().count() == 0
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    """One large file is read by several tasks, unless a field holds a line break."""
+    plain, broken = str(tmp_path / "plain.csv"), str(tmp_path / "broken.csv")
+    with open(plain, "w") as out:
+        out.write("a,b\n,\n" + "".join(f'{i},"x ""{i}"" , y"\n' for i in range(60_000)))
+    with open(broken, "w") as out:
+        out.write('a,b\n1,"two\nlines"\n2,plain\n')
+    assert not files.has_open_quotes(spark, plain) and files.has_open_quotes(spark, broken)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = files.read_csv(spark, plain)
+        assert rows.rdd.getNumPartitions() > 3
+        assert rows.count() == 60_000 and rows.filter("a = '7'").first().b == 'x "7" , y'
+        assert rows.select("a").distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in files.read_csv(spark, broken).collect()] == [("1", "two\nlines"), ("2", "plain")]
