@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.minhash import _WORDS, _mix
-from corpusflow.session import cut_lineage
+from corpusflow.session import broadcast_if_small, cut_lineage
 
 #: Words of a window, and of the parts whose smallest hash is a window's minimiser.
 WINDOW = 50
@@ -258,6 +258,17 @@ def covered(docs: DataFrame, window: int = WINDOW, part: int = PART, bucket_wind
     return hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, row, text) with one of each (doc_id, row); only texts of repeated ones are shuffled."""
+    twice = rows.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id", "row")
+    twice = cut_lineage(twice, "twice")
+    if twice.isEmpty():
+        return rows
+    side = broadcast_if_small(twice)
+    merged = rows.join(side, ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.min("text").alias("text"))
+    return rows.join(side, ["doc_id", "row"], "left_anti").unionByName(cut_lineage(merged, "merged"))
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, text: str = "text", **options) -> DataFrame:
     """Documents without the words that a window of a document with a smaller doc_id covers.
 
@@ -266,12 +277,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part: int = PART, tex
     judged on the input. Returns doc_id, n_words, n_removed, kept_sha256 and
     kept (the kept words joined by one space), one row per input row. Null or
     empty texts and texts shorter than a window lose nothing; rows with a null
-    doc_id lose nothing and remove nothing; repeated rows are treated alike, a
-    row never loses words to rows of the same doc_id. An empty table gives none.
+    doc_id lose nothing and remove nothing; repeated rows are treated alike and
+    searched once, a row never loses words to rows of the same doc_id. An empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text")).select("doc_id", "row", "text")
-    ranges = cut_lineage(covered(rows, window, part, **options), "ranges")
+    ranges = cut_lineage(covered(_once(rows), window, part, **options), "ranges")
 
     def keep(batches):
         import hashlib
