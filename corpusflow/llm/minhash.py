@@ -17,6 +17,8 @@ PERMUTATIONS = 120
 BAND_PERMUTATIONS = 3
 SHINGLE = 2
 PERCENT = 80
+#: Longer words (in bytes) are not remembered by a worker, so that its memory is bounded in bytes.
+REMEMBERED_LENGTH = 64
 #: Components from this size on are compared in blocks of so many asking documents and members.
 LARGE = 32
 ASK_BLOCK = 128
@@ -38,9 +40,11 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -16,6 +16,8 @@ BUCKETS = 1 << 16
 ROWS_PER_LABEL = 2_000
 COST = 0.01
 EPOCHS = 12
+#: Longer words are not remembered by a worker, so that its memory is bounded in bytes.
+REMEMBERED_LENGTH = 64
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(48)
@@ -41,9 +43,11 @@ class _Shapes(dict):
             kind = "lower"
         else:
             kind = "mixed"
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = zlib.crc32(f"{kind} {word[len(core):][:1]}".encode())
+        value = zlib.crc32(f"{kind} {word[len(core):][:1]}".encode())
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -20,8 +20,12 @@ import re
 import sys
 from collections.abc import Callable, Iterable
 
-#: Pieces remembered by one Python worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Bytes of pieces and values remembered by one Python worker; the memory is emptied when it is full.
+REMEMBERED_BYTES = 96 << 20
+#: Longer pieces (texts without spaces) hardly ever come back and are not remembered.
+REMEMBERED_LENGTH = 64
+#: Place of one entry in a table, beside its key and value.
+_ENTRY = 100
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,6 +144,7 @@ class Pieces(dict):
         self.whole = whole_tokens(self.tokenizer) if self.spaced else {}
         self.split = regex.compile(BYTE_LEVEL_PATTERN if self.spaced else WORD_END_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.held = 0
 
     def ids(self, piece: str) -> list[int]:
         for special in self.special:
@@ -171,9 +176,13 @@ class Pieces(dict):
         else:
             piece = key[1:] if key[:1] == " " else " " + key
         value = self.make(self.ids(piece))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value
+        if len(key) <= REMEMBERED_LENGTH:
+            size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY
+            if self.held + size > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += size
         return value
 
     def of(self, text: str) -> Iterable:

@@ -2,6 +2,7 @@
 
 import random
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,25 @@ def test_counts_of_nothing(nothing):
     assert counting.token_counts(nothing).collect() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memory_of_pieces_is_bounded_in_bytes(name, monkeypatch):
+    rng = random.Random(3)
+    tokenizer = vocab.load(name)
+    pieces = vocab.Pieces(name, vocab._packed)
+    spaceless = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4_000)) for _ in range(40)]
+    for text in spaceless:
+        got = b"".join(pieces.of(text))
+        assert got == vocab._packed(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert not pieces and pieces.held == 0
+    monkeypatch.setattr(vocab, "REMEMBERED_BYTES", 20_000)
+    for n in range(50):
+        text = " ".join(f"word{rng.randrange(5_000)} {chr(0x4E00 + n)}" for _ in range(40))
+        got = b"".join(pieces.of(text))
+        assert got == vocab._packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert pieces.held <= 20_000
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in pieces.items()) <= pieces.held
+
+
 def check_packing(rows, capacity=1024):
     places = defaultdict(list)
     for r in rows:
