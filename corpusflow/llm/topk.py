@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +12,11 @@ SCALE = 256
 K = 5
 #: Components are dealt over so many lists; each list scores its own part of the inner product.
 LISTS = 4
-#: Queries sent to the tasks at once; more queries take more passes over the vectors.
-BATCH = 2_048
-#: Vectors multiplied at once in a task.
-BLOCK = 1_024
+#: Queries and vectors of a block.
+BATCH = 1_024
+BLOCK = 2_048
+#: Blocks of each kind, on average, in a cell of the grid in which they meet; a task holds one cell.
+QUERY_BLOCKS, VECTOR_BLOCKS = 8, 4
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -34,19 +32,6 @@ def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = SCALE)
     )
 
 
-def _blocks(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, ids, matrix) of the vectors of each length, at most BLOCK rows at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(start, BLOCK)
-            ids, lists = part.column(0).to_numpy(), part.column(1)
-            sizes = lists.value_lengths().to_numpy()
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                yield int(size), ids[rows], flat[at[rows][:, None] + np.arange(size)]
-
-
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Integer inner products (rows by queries): doubles while every sum is exact, Python integers beyond."""
     if not queries.size or not rows.size:
@@ -62,119 +47,178 @@ def _parts(size: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def _as_long(values: np.ndarray) -> np.ndarray:
-    if values.dtype != object:
-        return values.astype(np.int64)
-    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in values], np.int64)
+def _long(values: np.ndarray) -> list[int]:
+    return [min(max(int(x), -(2**63)), 2**63 - 1) for x in values]
 
 
-def _emit(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    import pyarrow as pa
+def _numbers(matrix: np.ndarray) -> tuple[str, bytes]:
+    """A matrix of whole numbers as bytes of the narrowest type that holds it."""
+    top = np.abs(matrix).max(initial=0)
+    kind = "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<f8"
+    return kind, matrix.astype(kind).tobytes()
 
-    columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(_as_long(c), pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
+def _packed(rows: DataFrame, names: tuple[str, ...], most: int, label: str) -> DataFrame:
+    """Vectors packed where they lie, written out: at most ``most`` of one length in each block.
 
-def _local_lists(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, lists: int):
-    """Phase 1: the task's k best entries of every list, with the score they have over all lists."""
+    ``names``: block, size, kind, ids, matrix.
+    """
 
-    def scan(batches):
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, ids, rows in _blocks(batches):
-            if size not in queries:
-                continue
-            names, q = queries[size]
-            total = _exact(q, rows)
-            for number, part in enumerate(_parts(size, lists) or [slice(0, 0)]):
-                local = _exact(q[:, part], rows[:, part])
-                own = np.broadcast_to(ids[:, None], local.shape)
-                if (size, number) in best:
-                    known = best[size, number]
-                    local, own, full = (np.concatenate(x) for x in zip(known, (local, own, total)))
-                else:
-                    full = total
-                # One more than k, for the query's own row.
-                top = np.argsort(-local, axis=0, kind="stable")[: k + 1] if local.dtype == object or len(local) <= k + 1 else np.argpartition(-local, k, axis=0)[: k + 1]
-                best[size, number] = tuple(np.take_along_axis(x, top, 0) for x in (local, own, full))
-        found = []
-        for (size, _), (_, own, full) in best.items():
-            names = np.broadcast_to(queries[size][0], own.shape)
-            keep = own != names
-            found.append((names[keep], own[keep], full[keep]))
-        yield _emit(found)
+    def pack(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        schema = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()))))
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for begin in range(0, len(at), most):
+                    part = at[begin : begin + most]
+                    kind, matrix = _numbers(flat[starts[part][:, None] + np.arange(size)])
+                    row = (uuid.uuid4().hex, int(size), kind, ids[part].astype("<i8").tobytes(), matrix)
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema)
+
+    kinds = ("string", "int", "string", "binary", "binary")
+    shape = ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
+    return cut_lineage(rows.select("vec_id", "v").mapInArrow(pack, shape), label)
+
+
+def local_entries(queries: np.ndarray, rows: np.ndarray, k: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1 in a block: (row, query) of the ``k`` best entries of every score list.
 
-    return scan
+    Each list is looked at alone; what an entry has in the others is not added up.
+    """
+    found = []
+    for part in _parts(rows.shape[1], lists) or [slice(0, 0)]:
+        local = _exact(queries[:, part], rows[:, part])
+        if local.dtype == object or len(local) <= k:
+            top = np.argsort(-local, axis=0, kind="stable")[:k]
+        else:
+            top = np.argpartition(-local, k - 1, axis=0)[:k]
+        found.append(top + len(rows) * np.arange(len(queries)))
+    keys = np.unique(np.concatenate(found))
+    return keys % max(len(rows), 1), keys // max(len(rows), 1)
 
 
-def _sufficient(queries: dict[int, tuple[np.ndarray, np.ndarray]], cutoffs: dict[int, int], k: int, lists: int):
-    """Phases 2 and 3: entries that reach the uniform share of the cutoff in some list, resolved exactly.
+def sufficient_entries(queries: np.ndarray, rows: np.ndarray, cutoff: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 2 in a block: (row, query) of the entries that reach the uniform share of the cutoff in some list.
 
     A score of at least t over m lists has a local score of at least t / m in
-    one of them, so nothing below that share in all lists can be missing. The
-    other lists' scores of the entries are added where the row is, and only
-    scores that reach the cutoff leave, the best k of a query and block.
+    one of them, so nothing below that share in all lists can be missing.
     """
+    parts = _parts(rows.shape[1], lists) or [slice(0, 0)]
+    passing = np.zeros((len(rows), len(queries)), bool)
+    for part in parts:
+        passing |= _exact(queries[:, part], rows[:, part]) * len(parts) >= cutoff
+    return np.nonzero(passing)
+
+
+def resolved(queries: np.ndarray, rows: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whole scores of the given entries only."""
+    if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(rows.shape[1], 1) < 2**53:
+        step = max(1, (1 << 22) // max(rows.shape[1], 1))
+        cuts = range(0, len(r), step)
+        return np.concatenate([np.einsum("ij,ij->i", rows[r[s : s + step]], queries[c[s : s + step]]) for s in cuts] or [np.zeros(0)])
+    whole = [sum(int(x) * int(y) for x, y in zip(rows[i], queries[j])) for i, j in zip(r, c)]
+    return np.array(whole, object)
+
+
+def _first(c: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each query; ties go to the smaller id."""
+    order = np.lexsort((ids, -score, c)) if len(c) else np.zeros(0, np.int64)
+    kept = np.arange(len(c)) - np.searchsorted(c[order], c[order], side="left") < k
+    return order[kept]
+
+
+def _met(queries: DataFrame, blocks: DataFrame, k: int, lists: int, whole: bool) -> DataFrame:
+    """query_id, vec_id, score from every query block beside every block of vectors of that length.
+
+    Blocks meet in the cells of a grid, a few of each kind in a cell: a block of
+    vectors goes to one cell per QUERY_BLOCKS query blocks. Without ``whole``:
+    phase 1, the local lists' entries. With it: phases 2 and 3 above each
+    query's cutoff, which travels in the query block.
+    """
+    names = ("query_id", "vec_id", "score")
+
+    def meet(left, right):
+        import pandas as pd
+
+        out = []
+        for q in right.itertuples(index=False):
+            own = np.frombuffer(q.query_ids, "<i8")
+            asked = np.frombuffer(q.query_matrix, q.query_kind).reshape(len(own), q.size).astype(np.float64)
+            found = []
+            for x in left.itertuples(index=False):
+                ids = np.frombuffer(x.ids, "<i8")
+                rows = np.frombuffer(x.matrix, x.kind).reshape(len(ids), x.size).astype(np.float64)
+                if whole:
+                    r, c = sufficient_entries(asked, rows, np.frombuffer(q.cutoffs, "<i8"), lists)
+                else:
+                    r, c = local_entries(asked, rows, k + 1, lists)  # one more, for the query's own row
+                other = ids[r] != own[c]
+                r, c = r[other], c[other]
+                score = resolved(asked, rows, r, c)
+                best = _first(c, ids[r], score, k)
+                found.append((c[best], ids[r[best]], score[best]))
+            if found:
+                c, ids, score = (np.concatenate(f) for f in zip(*found))
+                best = _first(c, ids, score, k)
+                out.append(pd.DataFrame(dict(zip(names, (own[c[best]], ids[best], _long(score[best]))))))
+        return pd.concat(out) if out else pd.DataFrame({n: pd.Series([], dtype="int64") for n in names})
+
+    down, across = (max(1, -(-f.count() // most)) for f, most in ((blocks, VECTOR_BLOCKS), (queries, QUERY_BLOCKS)))
+
+    def dealt(frame: DataFrame, name: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        rows = frame.withColumn(own, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("size", "down", "across")
+
+    left = dealt(blocks, "block", "down", down, "across", across)
+    right = dealt(queries, "query_block", "across", across, "down", down)
+    return left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score long")
+
+
+def _with_cutoffs(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """Query blocks with the k-th best score known of each query: a bound that its k-th best score cannot be below."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", "score")
+
+    def names(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(ids, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(own)), pa.array(own), pa.array(np.arange(len(own)))], ["query_block", "query_id", "place"])
+
+    def pack(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("place")
+        cutoffs = np.array([-(2**63) if pd.isna(x) else int(x) for x in frame["cutoff"]], "<i8")
+        return pd.DataFrame([{"query_block": frame["query_block"].iloc[0], "cutoffs": cutoffs.tobytes()}])
 
-    def scan(batches):
-        for size, ids, rows in _blocks(batches):
-            if size not in queries:
-                continue
-            names, q = queries[size]
-            floor = np.array([cutoffs.get(int(n), -(2**63)) for n in names])
-            parts = _parts(size, lists) or [slice(0, 0)]
-            passing = np.zeros((len(ids), len(names)), bool)
-            for part in parts:
-                passing |= _exact(q[:, part], rows[:, part]) * len(parts) >= floor
-            passing &= ids[:, None] != names
-            r, c = np.nonzero(passing)
-            if rows.dtype != object and abs(q).max(initial=0) * abs(rows).max(initial=0) * max(size, 1) < 2**53:
-                score = np.concatenate(
-                    [np.einsum("ij,ij->i", rows[r[s : s + 65_536]], q[c[s : s + 65_536]]) for s in range(0, len(r), 65_536)]
-                    or [np.zeros(0)]
-                )
-            else:
-                score = _exact(q, rows)[r, c]
-            keep = score >= floor[c]
-            r, c, score = r[keep], c[keep], score[keep]
-            order = np.lexsort((ids[r], -score, c)) if len(r) else np.zeros(0, np.int64)
-            r, c, score = r[order], c[order], score[order]
-            first = np.searchsorted(c, c, side="left")
-            best = np.arange(len(c)) - first < k
-            yield _emit([(names[c[best]], ids[r[best]], score[best])])
-
-    return scan
-
-
-def query_batches(queries: DataFrame, batch: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Queries in batches of bounded size, by vector length, read one partition at a time."""
-    group: list = []
-    for row in queries.toLocalIterator():
-        group.append((row.vec_id, row.v))
-        if len(group) == batch:
-            yield _by_length(group)
-            group = []
-    if group:
-        yield _by_length(group)
-
-
-def _by_length(group: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    sizes = {len(v) for _, v in group}
-    by_size = {s: [(i, v) for i, v in group if len(v) == s] for s in sizes}
-    return {
-        s: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.float64).reshape(len(rows), s))
-        for s, rows in by_size.items()
-    }
+    listed = queries.select("query_block", "query_ids").mapInArrow(names, "query_block string, query_id long, place long")
+    # As text: a long column with nulls would pass through doubles.
+    known = listed.join(kth, "query_id", "left").select("query_block", "place", F.col("score").cast("string").alias("cutoff"))
+    return cut_lineage(queries.join(known.groupBy("query_block").applyInPandas(pack, "query_block string, cutoffs binary"), "query_block"), "cutoffs")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, lists: int = LISTS, batch: int = BATCH) -> DataFrame:
     """The ``k`` highest inner products of each query with every other row, exactly.
 
-    ``vectors`` holds vec_id and v (see ``quantised``). Components are dealt over
-    ``lists`` score lists. Phase 1: every task sends the best local entries of
-    each list; the k-th best score among a query's entries is a safe cutoff.
-    Phase 2: the cutoff goes to all tasks (k numbers of at most ``batch``
-    queries), which collect every entry with at least its uniform share in one
-    list. Phase 3: the remaining scores of those entries are resolved exactly.
+    ``vectors`` holds vec_id and v (see ``quantised``). Vectors and queries are
+    packed into blocks; every query block (at most ``batch``) meets every block
+    of vectors, twice. Components are dealt over ``lists`` score lists. Phase 1:
+    the best local entries of each list, and the whole scores of these entries
+    alone; the k-th best score among a query's entries is a safe cutoff. Phase
+    2: the cutoffs travel with the query blocks, and every entry with at least
+    the uniform share of its cutoff in one list is collected. Phase 3: the
+    remaining scores of those entries are resolved exactly. Nothing passes
+    through the driver.
 
     Returns query_id, rank from 1, vec_id, score; ties go to the smaller
     vec_id; fewer than k rows if there are fewer candidates. Rows that share the
@@ -183,17 +227,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, lists: int = LISTS,
     another length than the query's take no part. Scores beyond a long are held
     at its ends. Empty tables give no rows.
     """
+    vectors = cut_lineage(vectors.select("vec_id", "v"), "vectors")
     asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = cut_lineage(asked, "queries")
-    best = []
-    for queries in query_batches(asked.orderBy("vec_id"), batch):
-        shape = "query_id long, vec_id long, score long"
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        entries = vectors.mapInArrow(_local_lists(queries, k, lists), shape).distinct()
-        kth = entries.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
-        cutoffs = {r.query_id: r.score for r in kth.select("query_id", "score").collect()}  # at most one per query
-        rows = vectors.mapInArrow(_sufficient(queries, cutoffs, k, lists), shape)
-        best.append(rows.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k))
-    if not best:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionByName, best).select("query_id", "rank", "vec_id", "score")
+    blocks = _packed(vectors, ("block", "size", "kind", "ids", "matrix"), BLOCK, "blocks")
+    queries = _packed(asked, ("query_block", "size", "query_kind", "query_ids", "query_matrix"), batch, "queries")
+    # An entry once, however many lists and blocks of the same rows give it: fewer entries only lower the cutoff.
+    entries = _met(queries, blocks, k, lists, whole=False).distinct()
+    found = _met(_with_cutoffs(queries, entries, k), blocks, k, lists, whole=True)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

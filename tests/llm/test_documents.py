@@ -341,6 +341,38 @@ def test_top_k_equals_brute_force(spark, batch):
     assert sorted(tuple(r) for r in got) == best_by_force(rows, 5)
 
 
+def test_phase_one_looks_at_lists_alone():
+    rng = np.random.default_rng(7)
+    rows, queries = rng.integers(-100, 100, (500, 16)).astype(float), rng.integers(-100, 100, (30, 16)).astype(float)
+    r, c = topk.local_entries(queries, rows, 6, 4)
+    want = set()
+    for part in (slice(0, 4), slice(4, 8), slice(8, 12), slice(12, 16)):
+        local = rows[:, part] @ queries[:, part].T
+        least = -np.sort(-local, axis=0)[5]
+        sure = np.nonzero(local > least)
+        want |= set(zip(*sure))
+        assert {(i, j) for i, j in zip(r, c)} >= set(zip(*sure))
+    # Whole scores are made for these entries alone: at most k of each query and list.
+    assert len(want) <= len(r) <= 30 * 4 * 6 < rows.shape[0] * 30 / 10
+    assert (topk.resolved(queries, rows, r, c) == (rows @ queries.T)[r, c]).all()
+    # Nothing at or above the cutoff is left out by the uniform share.
+    whole = rows @ queries.T
+    cutoff = -np.sort(-whole, axis=0)[4].astype(np.int64)
+    r, c = topk.sufficient_entries(queries, rows, cutoff.astype(np.int64), 4)
+    assert set(zip(*np.nonzero(whole >= cutoff))) <= set(zip(r, c))
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 2)
+    rng = np.random.default_rng(11)
+    rows = [(int(i), rng.normal(0, 0.2, 8).round(2).tolist()) for i in range(600)]
+    rows += [(1000 + i, rows[50][1]) for i in range(300)]  # a hot vector
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.quantised(frame), F.col("vec_id") % 50 == 0, batch=3).collect()
+    assert sorted(tuple(r) for r in got) == best_by_force(rows, 5)
+
+
 def test_top_k_of_large_numbers_and_nothing(spark):
     rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
