@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters of context looked at on each side.
+#: Characters looked at on each side for neighbouring words; the name of an assigned value is seen whole besides.
 CONTEXT = 60
 THRESHOLD = 0.5
 #: Bound of the training sample: labelled findings used, those with the smallest hash.
@@ -25,25 +25,29 @@ SECRET_WORDS = (
     "password passwd pwd passphrase secret token apikey api_key access_key private_key auth authorization bearer "
     "credential credentials client_secret signature session"
 ).split()
-#: A candidate of its own: 12 or more token characters with a digit, and no token character before it.
-TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
-# What assigns a value to a name that ends in a secret word, with up to twelve characters more: bounded for Java's look-behind.
-_ASSIGNS = (
-    r"(?i:" + "|".join(SECRET_WORDS).replace("_", "[_\\-]?") + r")(?:[_\-0-9A-Z][A-Za-z0-9_\-]{0,11})?[\"'\]]{0,2}\s{0,3}(?::=|=>|={1,2}|:)\s{0,3}"
-)
-
-
-def _behind(quote: str, value: str) -> str:
-    # The first look-behind is cheap and rules out nearly every place.
-    return rf"(?<=[:=>]\s{{0,3}}{quote})(?<={_ASSIGNS}{quote}){value}"
-
-
+#: Characters of names and tokens. A name starts where no such character is in front of it.
+_NAME = r"[A-Za-z0-9+/_\-]"
+_START = rf"(?<!{_NAME})"
+#: A candidate of its own: 12 or more token characters with a digit.
+TOKEN = rf"{_START}(?=[A-Za-z+/_\-]*+[0-9]){_NAME}{{12,}}+={{0,2}}"
+_SIGN = r"(?::=|=>|={1,3}|:)"
+# A secret word anywhere in a name, with no small letter behind it ("secretary" names none).
+_SECRET_NAME = rf"(?={_NAME}*?(?i:" + "|".join(SECRET_WORDS).replace("_", "[_\\-]?") + r")(?![a-z]))"
+# A name of any length and a sign with any spacing: what stands in front of an assigned value. The cheap test of the sign is first.
+_PREFIX = rf"(?={_NAME}++[\"'\]]{{0,2}}\s*+[:=]){_SECRET_NAME}{_NAME}++[\"'\]]{{0,2}}\s*+{_SIGN}\s*+(?!-----BEGIN )"
 #: The value assigned to a secret word, of any length and characters: up to its quote, or to white space without one.
-#: Closing marks of a sentence or a bracket are not part of a value without quotes.
-ASSIGNED = "|".join(
-    [_behind(q, rf"[^\s{q}]+") for q in "\"'`"] + [_behind("", r"[^\s\"'`=>:][^\s\"'`]*?(?=[.,;)\]}]*(?:[\s\"'`]|\z))")]
-)
-CANDIDATE = rf"(?:(?<=[:=>\s\"'`])(?:{ASSIGNED})|{TOKEN})"
+ASSIGNED = _START + _PREFIX + "(?:" + "|".join([rf"{q}(?!-----BEGIN )[^\s{q}]++" for q in "\"'`"] + [r"[^\s\"'`=>:][^\s\"'`]*+"]) + ")"
+#: The password in the address of a server.
+_ADDRESS = r"://[^\s/:@\"'`]*+:"
+URL_PASSWORD = _ADDRESS + r"[^\s/@\"'`]++(?=@)"
+#: A block that holds a private key, up to its end line, or to the next line of five hyphens without one.
+KEY_BLOCK = r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----(?:[^\-]++|-(?!----))*+(?:-----END [A-Z0-9 ]*+-----)?"
+#: All forms, read forward in one pass: possessive repeats keep it linear in the text. Forms hold what stands in front of the value.
+CANDIDATE = f"{KEY_BLOCK}|{URL_PASSWORD}|{ASSIGNED}|{TOKEN}"
+#: What of a match stands in front of the value.
+IN_FRONT = rf"^(?:{_ADDRESS}|{_PREFIX}(?:[\"'`](?=.)|(?=[^=>:])))"
+#: Closing marks of a sentence or a bracket that are not part of a value without quotes.
+_CLOSING = ".,;)]}"
 OTHER_WORDS = (
     "sha sha1 sha256 md5 checksum hash commit revision digest uuid guid id isbn issn doi order invoice phone tel fax card "
     "account serial version build release date time timestamp number page image file url path"
@@ -71,7 +75,8 @@ DICTIONARY = tuple(
 
 FEATURES = (
     "length", "transitions", "dictionary", "digits", "upper", "lower", "variety", "hex", "ordinary",
-    "secret_before", "other_before", "sample_near", "assigned", "quoted", "path_sample", "path_depth",
+    "secret_before", "other_before", "sample_near", "assigned", "quoted", "path_sample", "path_depth", "address",
+    "block",
 )
 
 
@@ -87,7 +92,7 @@ def _any_word(text: Column, words: list[str]) -> Column:
 
 def feature_struct(candidate: Column, left: Column, right: Column, path: Column) -> Column:
     """Numbers about a candidate, its neighbouring words and the path of its file, in one struct."""
-    head = F.substring(candidate, 1, 200)
+    head = candidate
     classes = reduce(
         lambda c, rule: F.regexp_replace(c, F.lit(rule[0]), F.lit(rule[1])),
         (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^a-zA-Z0-9]+", "-")),
@@ -100,7 +105,7 @@ def feature_struct(candidate: Column, left: Column, right: Column, path: Column)
     before = F.regexp_extract(left, r"((?:\S+\s+){0,2}\S*)$", 1)
     after = F.regexp_extract(right, r"^(\S*(?:\s+\S+){0,2})", 1)
     values = {
-        "length": F.least(F.length(candidate), F.lit(200)).cast("double"),
+        "length": F.length(candidate).cast("double"),
         # Each run of one class is one character of ``classes``.
         "transitions": (F.length(classes) - 1) / F.greatest(F.length(head), F.lit(1)),
         "dictionary": in_words / F.greatest(F.length(head), F.lit(1)),
@@ -114,10 +119,12 @@ def feature_struct(candidate: Column, left: Column, right: Column, path: Column)
         "secret_before": _any_word(before, SECRET_WORDS),
         "other_before": _any_word(before, OTHER_WORDS),
         "sample_near": F.greatest(_any_word(before, SAMPLE_WORDS), _any_word(after, SAMPLE_WORDS), _any_word(head, SAMPLE_WORDS)),
-        "assigned": left.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
+        "assigned": left.rlike(r"[:=]>?\s*[\"'`]?$").cast("double"),
         "quoted": left.rlike(r"[\"'`]$").cast("double"),
         "path_sample": _any_word(path, SAMPLE_WORDS),
-        "path_depth": F.least(_count(path, "/"), F.lit(10)).cast("double"),
+        "path_depth": _count(path, "/").cast("double"),
+        "address": left.rlike(r"://[^\s/:@]*:$").cast("double"),
+        "block": head.startswith("-----BEGIN ").cast("double"),
     }
     return F.struct(*[F.coalesce(values[n], F.lit(0.0)).cast("double").alias(n) for n in FEATURES])
 
@@ -190,19 +197,20 @@ def score(x: Column, forest: list[Node]) -> Column:
     return reduce(lambda a, b: a + b, [tree.votes(x) for tree in forest]) / float(len(forest))
 
 
-def public_findings(spark: SparkSession, rows: int = 9_600) -> DataFrame:
+def public_findings(spark: SparkSession, rows: int = 10_800) -> DataFrame:
     """Labelled findings made by rule from hashed numbers, in public formats.
 
     Secrets: cloud key ids, hex and base64 tokens and passwords, mostly behind a
     word that names them or an assignment; short passwords with and without
-    punctuation, and tokens without digits. Others: payment card and order
+    punctuation, tokens without digits, passwords in addresses and blocks of
+    private keys. Others: payment card and order
     numbers, commit and file hashes, UUIDs, dates, versions, identifiers of
     code, placeholders, words of prose and code behind an assignment, and
     anything in sample files.
     """
     # spark.range in a fixed number of slices makes the training set the same everywhere.
     base = spark.range(0, rows, 1, 4).select("id", F.sha2(F.concat(F.lit("finding"), F.col("id")), 512).alias("h"))
-    base = base.withColumn("kind", F.col("id") % 32).withColumn("pick", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
+    base = base.withColumn("kind", F.col("id") % 36).withColumn("pick", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
 
     def pick(words: list[str], step: int) -> Column:
         return F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(F.col("pick") / step) % len(words) + 1).cast("int"))
@@ -237,6 +245,12 @@ def public_findings(spark: SparkSession, rows: int = 9_600) -> DataFrame:
     inner = pick(["password>", "token", "auth", "DB_PASSWORD}", "********", "secret)", "api_key", "get("], 41)
     call = pick(["getpass(", "input(", "get_token(", "getpass.getpass(", "read_secret(", "load(path", "config.get(", "prompt(", "fetch()", "env(", "f(x"], 23)
     program = F.when(F.col("pick") % 2 == 0, call).otherwise(F.concat(program, inner))
+    user = F.concat(prose, F.lit(" "), pick(["postgres", "https", "redis", "amqp", "mongodb+srv", "ftp"], 19), F.lit("://"), pick(["admin", "app", "root", "", "svc"], 31), F.lit(":"))
+    kind = pick(["RSA ", "", "EC ", "OPENSSH ", "ENCRYPTED "], 43)
+    body = F.concat_ws("\n", *[F.substring(F.base64(F.unhex(F.sha2(F.concat("h", F.lit(str(n))), 512))), 1, 64) for n in range(6)])
+    lines = F.when(F.col("pick") % 2 == 0, body).otherwise(F.substring(body, 1, 64))
+    block = F.concat(F.lit("-----BEGIN "), kind, F.lit("PRIVATE KEY-----\n"), lines, F.lit("\n-----END "), kind, F.lit("PRIVATE KEY-----"))
+    masked = pick(["password", "pass", "changeme", "****", "your_password", "${DB_PASSWORD}", "<password>", "xxxx", "{password}", "example"], 47)
     made = [  # candidate, before, label
         (hexes(1, 40), assigned, 1), (hexes(1, 18), assigned, 1), (hexes(5, 32), assigned, 1), (base64, assigned, 1),
         (F.expr("substring(h, 1, int(12 + pick % 29))"), assigned, 1), (key_id, F.concat(prose, F.lit(" ")), 1),
@@ -253,6 +267,8 @@ def public_findings(spark: SparkSession, rows: int = 9_600) -> DataFrame:
         (F.substring(base64, 3, 8), assigned, 1), (F.concat(F.substring(letters, 1, 4), symbol, F.substring(letters, 7, 6)), assigned, 1),
         (said, assigned, 0), (F.when(F.col("pick") % 2 == 0, sounds).otherwise(F.initcap(sounds)), assigned, 0),
         (program, assigned, 0), (digits(2), assigned, 0),
+        (block, F.when(F.col("pick") % 3 == 0, assigned).otherwise(F.concat(prose, F.lit("\n"))), 1),
+        (F.concat(leet, symbol, tail), user, 1), (F.concat(F.substring(base64, 1, 6), hexes(3, 4)), user, 1), (masked, user, 0),
     ]
 
     def choose(column: int) -> Column:
@@ -269,6 +285,21 @@ def public_findings(spark: SparkSession, rows: int = 9_600) -> DataFrame:
     )
 
 
+def _left(before: Column, front: Column) -> Column:
+    """CONTEXT characters in front of a match, and the name and sign of its value with single spaces."""
+    return F.concat(F.right(before, F.lit(CONTEXT)), F.regexp_replace(front, r"\s+", " "))
+
+
+def _value(match: Column, n: Column) -> Column:
+    """front, value and end of a match whose value starts after ``n`` characters."""
+    front, rest = F.left(match, n), F.substr(match, n + 1)
+    # Marks at the end of a value go to the text behind it, unless it is quoted or nothing would be left.
+    bare = (n > 0) & ~front.rlike("[\"'`]$") & ~front.startswith("://")
+    short = F.rtrim(rest, F.lit(_CLOSING))
+    value = F.when(bare & (F.length(short) > 0), short).otherwise(rest)
+    return F.struct(front.alias("front"), value.alias("value"), F.substr(rest, F.length(value) + 1).alias("end"))
+
+
 def _scanned(docs: DataFrame, forest: list[Node], text: str, path: str | None) -> DataFrame:
     """``docs`` with __parts: for each candidate the text before it, itself and its score; the rest of the text last.
 
@@ -276,19 +307,30 @@ def _scanned(docs: DataFrame, forest: list[Node], text: str, path: str | None) -
     """
     value = F.coalesce(F.col(text), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    rows = docs.withColumn("__hit", F.regexp_extract_all(value, F.lit(CANDIDATE), F.lit(0))).withColumn("__path", where)
-    gaps = F.when(F.size("__hit") > 0, F.split(value, CANDIDATE, -1)).otherwise(F.array(value))
-    rows = rows.withColumn("__gap", gaps)
+    rows = docs.withColumn("__found", F.regexp_extract_all(value, F.lit(CANDIDATE), F.lit(0))).withColumn("__path", where)
+    between = F.when(F.size("__found") > 0, F.split(value, CANDIDATE, -1)).otherwise(F.array(value))
+    rows = rows.withColumn("__between", between)
+    # A match is what stands in front of a value, the value, and closing marks behind one without quotes.
+    front = lambda m: F.regexp_extract(m, IN_FRONT, 0)
+    split = F.transform("__found", lambda m: F.struct(m.alias("m"), F.length(front(m)).alias("n")))
+    rows = rows.withColumn("__found", split).withColumn("__found", F.transform("__found", lambda f: _value(f["m"], f["n"])))
+    # The text between two values: closing marks of the one, what was between the matches, and the front of the other.
+    rows = rows.withColumn("__hit", F.transform("__found", lambda f: f["value"]))
+    ends = F.concat(F.array(F.lit("")), F.transform("__found", lambda f: f["end"]))
+    fronts = F.concat(F.transform("__found", lambda f: f["front"]), F.array(F.lit("")))
+    rows = rows.withColumn("__before", F.zip_with(ends, "__between", lambda e, g: F.concat(F.coalesce(e, F.lit("")), F.coalesce(g, F.lit("")))))
+    rows = rows.withColumn("__gap", F.zip_with("__before", fronts, lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))))
+    rows = rows.withColumn("__front", fronts)
     rows = rows.withColumn("__next", F.slice("__gap", F.lit(2), F.size("__gap")))
     known = F.transform(
-        F.arrays_zip("__hit", "__gap", "__next"),
+        F.arrays_zip("__hit", "__gap", "__next", "__before", "__front"),
         lambda x: F.struct(
             x["__gap"].alias("gap"),
             x["__hit"].alias("hit"),
             F.when(
                 x["__hit"].isNotNull(),
                 feature_struct(
-                    x["__hit"], F.right(x["__gap"], F.lit(CONTEXT)), F.left(F.coalesce(x["__next"], F.lit("")), F.lit(CONTEXT)),
+                    x["__hit"], _left(x["__before"], x["__front"]), F.left(F.coalesce(x["__next"], F.lit("")), F.lit(CONTEXT)),
                     F.col("__path"),
                 ),
             ).alias("x"),
@@ -300,7 +342,9 @@ def _scanned(docs: DataFrame, forest: list[Node], text: str, path: str | None) -
             y["gap"].alias("gap"), y["hit"].alias("hit"), F.when(y["hit"].isNotNull(), score(y["x"], forest)).alias("score")
         ),
     )
-    return rows.withColumn("__parts", parts).drop("__hit", "__gap", "__next", "__path")
+    return rows.withColumn("__parts", parts).drop(
+        "__hit", "__gap", "__next", "__path", "__found", "__between", "__before", "__front"
+    )
 
 
 def findings(
@@ -336,7 +380,8 @@ def redacted(
 ) -> DataFrame:
     """``docs`` with every confirmed secret of ``text`` replaced by ``mark``; nothing else changes, null stays null.
 
-    A row-wise plan without any shuffle.
+    A row-wise plan without any shuffle. ``path`` names a column of ``docs`` or
+    is None; a column that is not there raises an error.
     """
     rows = _scanned(docs, forest, text, path)
     joined = F.array_join(
