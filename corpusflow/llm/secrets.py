@@ -29,21 +29,21 @@ SECRET_WORDS = (
 _NAME = r"[A-Za-z0-9+/_\-]"
 _START = rf"(?<!{_NAME})"
 #: A candidate of its own: 12 or more token characters with a digit.
-TOKEN = rf"{_START}(?=[A-Za-z+/_\-]*+[0-9]){_NAME}{{12,}}+={{0,2}}"
+TOKEN = rf"(?=[A-Za-z+/_\-]*+[0-9]){_NAME}{{12,}}+={{0,2}}"
 _SIGN = r"(?::=|=>|={1,3}|:)"
 # A secret word anywhere in a name, with no small letter behind it ("secretary" names none).
 _SECRET_NAME = rf"(?={_NAME}*?(?i:" + "|".join(SECRET_WORDS).replace("_", "[_\\-]?") + r")(?![a-z]))"
 # A name of any length and a sign with any spacing: what stands in front of an assigned value. The cheap test of the sign is first.
 _PREFIX = rf"(?={_NAME}++[\"'\]]{{0,2}}\s*+[:=]){_SECRET_NAME}{_NAME}++[\"'\]]{{0,2}}\s*+{_SIGN}\s*+(?!-----BEGIN )"
 #: The value assigned to a secret word, of any length and characters: up to its quote, or to white space without one.
-ASSIGNED = _START + _PREFIX + "(?:" + "|".join([rf"{q}(?!-----BEGIN )[^\s{q}]++" for q in "\"'`"] + [r"[^\s\"'`=>:][^\s\"'`]*+"]) + ")"
+ASSIGNED = _PREFIX + "(?:" + "|".join([rf"{q}(?!-----BEGIN )[^\s{q}]++" for q in "\"'`"] + [r"[^\s\"'`=>:][^\s\"'`]*+"]) + ")"
 #: The password in the address of a server.
 _ADDRESS = r"://[^\s/:@\"'`]*+:"
 URL_PASSWORD = _ADDRESS + r"[^\s/@\"'`]++(?=@)"
 #: A block that holds a private key, up to its end line, or to the next line of five hyphens without one.
 KEY_BLOCK = r"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----(?:[^\-]++|-(?!----))*+(?:-----END [A-Z0-9 ]*+-----)?"
 #: All forms, read forward in one pass: possessive repeats keep it linear in the text. Forms hold what stands in front of the value.
-CANDIDATE = f"{KEY_BLOCK}|{URL_PASSWORD}|{ASSIGNED}|{TOKEN}"
+CANDIDATE = f"{KEY_BLOCK}|{URL_PASSWORD}|{_START}(?:{ASSIGNED}|{TOKEN})"
 #: What of a match stands in front of the value.
 IN_FRONT = rf"^(?:{_ADDRESS}|{_PREFIX}(?:[\"'`](?=.)|(?=[^=>:])))"
 #: Closing marks of a sentence or a bracket that are not part of a value without quotes.
@@ -360,7 +360,8 @@ def findings(
     """
     source = F.col(path).cast("string") if path else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), source.alias("path"))
-    rows = _scanned(rows, forest, "text", "path").filter(F.size("__parts") > 1)
+    # No filter on the parts here: it would be pushed below them and scan every text a second time.
+    rows = _scanned(rows, forest, "text", "path")
     # Characters up to each candidate: small rows of one document meet, never texts.
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", "row", F.posexplode("__parts").alias("number", "part"))
