@@ -65,7 +65,7 @@ def row_bytes(df: DataFrame) -> Column:
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        if kind == "string":
+        if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
         elif kind == "array":
             size = size + F.greatest(F.size(field.name), F.lit(0)) * 16 + 16
