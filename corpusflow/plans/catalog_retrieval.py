@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.scoring import fusion_key
-from corpusflow.operators import cells, context, dense, fusion, inverted, rerank, sparse
+from corpusflow.operators import cells, context, dense, fusion, inverted, rerank, segment, sparse
 from corpusflow.operators.sparse import top_ranked
 from corpusflow.plans import retrieval
 from corpusflow.plans.registry import query
@@ -485,3 +485,58 @@ def fusion_keys(spark, folder):
     docs = documents(spark, folder)
     key = fusion_key(F.col("source"), F.col("section"), F.col("text"))
     return docs.select(F.col("chunk_key").alias("doc_id"), key.alias("fusion_key"))
+
+
+# A Han character for each letter of the tables' invented words, so that their texts can stand for unspaced writing.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+HAN_LETTERS = "天地人山水火木金土日月星風雨雪花草石田河海江東西南北"
+
+HAN_SEGMENTS_SQL = f"""WITH RECURSIVE freqs AS (
+  SELECT translate(w, '{LETTERS}', '{HAN_LETTERS}') AS word, count(*) AS freq
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1),
+dict AS (SELECT word, round((ln((SELECT sum(freq) FROM freqs)) - ln(freq)) * 1000000)::BIGINT AS cost FROM freqs),
+unknown AS (SELECT round(ln(sum(freq)) * 1000000)::BIGINT AS cost FROM freqs),
+runs AS (SELECT DISTINCT unnest(regexp_extract_all(translate(regexp_replace(lower(text), '[ ]', '', 'g'), '{LETTERS}', '{HAN_LETTERS}'), '[{HAN_LETTERS}]+')) AS run
+  FROM benchmark),
+starts AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+spans AS (SELECT run, i, n, substr(run, i, n) AS word FROM starts, (SELECT DISTINCT length(word) AS n FROM dict UNION SELECT 1) WHERE i + n - 1 <= length(run)),
+edges AS (SELECT run, i, n, word, coalesce(dict.cost, unknown.cost) AS cost FROM spans LEFT JOIN dict USING (word), unknown WHERE dict.cost IS NOT NULL OR n = 1),
+choices AS (SELECT run, i, list({{'n': n, 'word': word, 'cost': cost}}) AS c FROM edges GROUP BY ALL),
+best AS (
+  SELECT run, length(run) + 1 AS i, [{{'cost': 0::BIGINT, 'tokens': []::VARCHAR[]}}] AS held FROM runs
+  UNION ALL
+  SELECT run, choices.i, list_prepend(list_transform(list_sort(list_transform(c, lambda e: {{'cost': e.cost + held[e.n].cost, 'longer': -e.n, 'word': e.word, 'n': e.n}}))[:1],
+    lambda e: {{'cost': e.cost, 'tokens': list_prepend(e.word, held[e.n].tokens)}})[1], held)[:64] AS held
+  FROM best JOIN choices USING (run) WHERE choices.i = best.i - 1)
+SELECT run, array_to_string(held[1].tokens, ' ') AS tokens, len(held[1].tokens) AS n_tokens FROM best WHERE i = 1"""
+
+
+def han_text(text):
+    return F.translate(F.lower(text), LETTERS, HAN_LETTERS)
+
+
+def han_runs(spark, folder) -> DataFrame:
+    """run: the unspaced sentences of all benchmark texts."""
+    unspaced = F.regexp_replace(han_text(F.col("text")), "[ ]", "")
+    return table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all(unspaced, F.lit(f"[{HAN_LETTERS}]+"), F.lit(0))).alias("run"))
+
+
+def han_frequencies(spark, folder) -> DataFrame:
+    """word, freq: the words of all documents."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = spread(table(spark, folder, "documents").select("text")).select(F.explode(found).alias("w"))
+    return words.groupBy(han_text(F.col("w")).alias("word")).agg(F.count("*").alias("freq"))
+
+
+@query(HAN_SEGMENTS_SQL)
+def han_segments(spark, folder):
+    """Unspaced benchmark sentences cut by the dictionary of the documents' words."""
+    cut = segment.segmented_runs(han_runs(spark, folder), han_frequencies(spark, folder))
+    return cut.select("run", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(HAN_SEGMENTS_SQL)
+def han_segments_joined(spark, folder):
+    """The same by the join that serves dictionaries of any size."""
+    cut = segment.segmented_runs(han_runs(spark, folder), han_frequencies(spark, folder), max_words=0)
+    return cut.select("run", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens"))
