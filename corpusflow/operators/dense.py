@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors held by every task; a larger batch takes more passes over the vectors.
+from corpusflow.session import cut_lineage
+
+# Query vectors held by every task; a larger batch meets the vectors in a grid.
 MAX_BROADCAST_QUERIES = 4096
+# Vectors of one grid cell, as doubles.
+CELL_BYTES = 64 * 1024 * 1024
+# Vectors of a cell that are compared at once, which bounds the distance matrix.
+BLOCK_VECTORS = 8192
 # Queries compared with a block of vectors at a time, which bounds the distance matrix.
 STRIPE = 256
 # Results of the tasks are merged in two steps, by groups of tasks first.
@@ -97,26 +102,54 @@ def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
 
 
+def _grid(corpus: DataFrame, queries: DataFrame, k: int, max_queries: int, cell_bytes: int) -> DataFrame:
+    """Best k per query and cell; both sides are dealt over the cells of a grid, and nothing passes through the driver.
+
+    Rows are dealt by their place in a written copy, so a repeated key or vector does not fill one cell.
+    """
+    corpus, queries = (
+        cut_lineage(side.withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "grid") for side in (corpus, queries)
+    )
+    n_queries, widest = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    per_cell = max(cell_bytes // (8 * max(widest, 1)), 1)
+    across, down = -(-n_queries // max_queries), max(-(-corpus.count() // per_cell), 1)
+
+    def dealt(side: DataFrame, own: int, other: int, cell) -> DataFrame:
+        copies = side.withColumn("own", F.pmod("place", F.lit(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        return copies.withColumn("cell", cell).drop("place", "own", "other")
+
+    vectors = dealt(corpus, down, across, F.col("own") * across + F.col("other"))
+    asked = dealt(queries, across, down, F.col("other") * across + F.col("own"))
+
+    def best_of(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        best: dict = {}
+        if len(asking):
+            ids, matrix = asking["query_id"].to_list(), _matrix(asking["embedding"])
+            for start in range(0, len(held), BLOCK_VECTORS):
+                block = held.iloc[start : start + BLOCK_VECTORS]
+                _merge_block(best, ids, matrix, block["chunk_key"].to_numpy(), _matrix(block["embedding"]), k)
+        return _best_frame(best)
+
+    return vectors.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(best_of, _schema(corpus, queries))
+
+
 def nearest(
-    corpus: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_BROADCAST_QUERIES
+    corpus: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_BROADCAST_QUERIES, cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """query_id, chunk_key, distance, rank: the k nearest vectors of each query, exactly.
 
     ``corpus``: chunk_key, embedding. ``queries``: query_id, embedding. Rows
-    without a vector take no part. Queries are sent to the tasks in batches of
-    ``max_queries``, read one partition at a time; each batch is one scan of the
-    corpus, which is never shuffled. All distances are computed in doubles.
+    without a vector take no part. Up to ``max_queries`` queries are sent to the
+    tasks, and the corpus is scanned once and never shuffled. More queries meet
+    the vectors in the cells of a grid: ``max_queries`` of them with about
+    ``cell_bytes`` of vectors each. All distances are computed in doubles.
     """
     corpus = _usable(corpus.select("chunk_key", "embedding"))
-    scans, batch = [], []
-    for row in _usable(queries.select("query_id", "embedding")).toLocalIterator():
-        batch.append(row)
-        if len(batch) == max_queries:
-            scans.append(_merged(_scan(corpus, queries, batch, k), k))
-            batch = []
-    if batch or not scans:
-        scans.append(_merged(_scan(corpus, queries, batch, k), k))
-    return reduce(DataFrame.unionByName, scans)
+    queries = _usable(queries.select("query_id", "embedding"))
+    batch = queries.limit(max_queries + 1).collect()
+    if len(batch) > max_queries:
+        return _merged(_grid(corpus, queries, k, max_queries, cell_bytes), k)
+    return _merged(_scan(corpus, queries, batch, k), k)
 
 
 def within(ranked: DataFrame, max_distance: float) -> DataFrame:

@@ -275,20 +275,27 @@ def unique_values(df: DataFrame, column: str) -> DataFrame:
 def boxplot_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, q1, median, q3, whisker_low, whisker_high, n_outliers (fences at 1.5 interquartile ranges)."""
     columns = column_types(df)[0] if columns is None else columns
-    boxes = _wide(quantiles(df, columns, [0.25, 0.5, 0.75]), {0.25: "q1", 0.5: "median", 0.75: "q3"})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    # One row per column: the boxes are as small as the schema.
-    return (
-        long_numbers(df, columns)
-        .join(F.broadcast(boxes), "column")
-        .groupBy("column", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+    rows = _wide(quantiles(df, columns, [0.25, 0.5, 0.75]), {0.25: "q1", 0.5: "median", 0.75: "q3"}).collect()
+    # One row per column; a column without values has no box.
+    boxes = {row["column"]: row for row in rows if row["q1"] is not None}
+    held = [c for c in columns if c in boxes]
+
+    def figures(c: str):
+        value, box = F.col(c).cast("double"), boxes[c]
+        reach = 1.5 * (box["q3"] - box["q1"])
+        inside = value.between(box["q1"] - reach, box["q3"] + reach)
+        return F.struct(
+            *[F.lit(box[name]).alias(name) for name in ("q1", "median", "q3")],
+            F.min(F.when(inside, value)).alias("whisker_low"),
+            F.max(F.when(inside, value)).alias("whisker_high"),
             F.count_if(~inside).alias("n_outliers"),
-        )
-    )
+        ).alias(c)
+
+    if not held:
+        kinds = "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, n_outliers long"
+        return df.sparkSession.createDataFrame([], kinds)
+    # The fences are known here, so one wide aggregate in one pass serves all columns.
+    return df.agg(*[figures(c) for c in held]).unpivot([], held, "column", "s").select("column", "s.*")
 
 
 def cleaning_summary(raw: DataFrame, cleaned: DataFrame, threshold: int = DEFAULTS.cat_threshold) -> DataFrame:

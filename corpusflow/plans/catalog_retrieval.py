@@ -207,16 +207,24 @@ def index_frequencies(spark, folder):
     return index.terms.groupBy("term").agg(F.sum("df").alias("df"))
 
 
-@query(
-    f"""WITH {VECTOR_SQL}, r AS (SELECT query_id, vec_id, distance,
+VECTOR_TOPK_SQL = f"""WITH {VECTOR_SQL}, r AS (SELECT query_id, vec_id, distance,
       row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM vd)
     SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 20"""
-)
+
+
+@query(VECTOR_TOPK_SQL)
 def vector_topk(spark, folder):
     near = dense.nearest(vectors(spark, folder), vector_queries(spark, folder), 20)
     return near.select("query_id", F.col("chunk_key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(VECTOR_TOPK_SQL)
+def vector_topk_grid(spark, folder):
+    """The same in the cells of a grid, as for more queries than the tasks hold."""
+    near = dense.nearest(vectors(spark, folder), vector_queries(spark, folder), 20, max_queries=16, cell_bytes=256 * 1024)
+    return near.select("query_id", F.col("chunk_key").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(
     f"""WITH {VECTOR_SQL}, r AS (SELECT query_id, vec_id, distance,
       row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM vd)

@@ -165,3 +165,15 @@ def test_fusion_key(spark):
     df = spark.createDataFrame([("s", "c", "t"), ("", "c", "t"), ("s", None, "t"), (None, "", "t")], "s string, c string, t string")
     got = [r[0] for r in df.select(scoring.fusion_key(F.col("s"), F.col("c"), F.col("t"))).collect()]
     assert got[:3] == ["s::c", "c", "s"] and got[3] == hashlib.sha256(b"t").hexdigest()
+
+
+def test_boxplots_in_one_pass(spark):
+    """Columns without values have no box; NULLs count nowhere; a constant column has no outliers."""
+    from corpusflow.operators.profile import boxplot_stats
+
+    rows = [(float(v), 5, None) for v in [1, 2, 3, 4, 5, 100]] + [(None, 5, None)]
+    df = spark.createDataFrame(rows, "x double, same int, gone double")
+    got = {r["column"]: tuple(r)[1:] for r in boxplot_stats(df, ["x", "same", "gone"]).collect()}
+    assert got == {"x": (2.25, 3.5, 4.75, 1.0, 5.0, 1), "same": (5.0, 5.0, 5.0, 5.0, 5.0, 0)}
+    assert boxplot_stats(df, ["gone"]).columns == ["column", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
+    assert boxplot_stats(df.limit(0), ["x"]).collect() == []

@@ -114,13 +114,13 @@ def brute_nearest(data, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [4096, 5])
-def test_nearest_equals_brute_force(spark, vectors, limit):
-    """With a limit of 5 the queries take two passes."""
+@pytest.mark.parametrize(("limit", "cell_bytes"), [(4096, dense.CELL_BYTES), (5, dense.CELL_BYTES), (2, 4096)])
+def test_nearest_equals_brute_force(spark, vectors, limit, cell_bytes):
+    """With a low limit queries and vectors meet in a grid: two cells, then four by several."""
     data, corpus = vectors
     ids = [0, 7, 99, 120, 300, 301, 399]
     queries = corpus.filter(F.col("chunk_key").isin(ids)).withColumnRenamed("chunk_key", "query_id")
-    near = dense.nearest(corpus, queries, 6, max_queries=limit)
+    near = dense.nearest(corpus, queries, 6, limit, cell_bytes)
     assert sorted((r.query_id, r["rank"], r.chunk_key) for r in near.collect()) == brute_nearest(data, ids, 6)
 
 
@@ -136,6 +136,18 @@ def test_nearest_in_doubles_without_nulls(spark, limit):
     assert dense.nearest(frame, frame.limit(0).withColumnRenamed("chunk_key", "query_id"), 2).collect() == []
 
 
+def test_grid_deals_repeated_rows(spark):
+    """One key and vector in most rows, queries without a corpus, and no driver loop over queries."""
+    rows = [(7, [1.0, 0.0])] * 60 + [(i, [float(i), 1.0]) for i in range(20, 40)]
+    frame = spark.createDataFrame(rows, "chunk_key long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(9)], "query_id long, embedding array<double>")
+    grid = dense.nearest(frame, asked, 3, 2, 160)
+    plain = dense.nearest(frame, asked, 3)
+    order = lambda df: sorted((r.query_id, r["rank"], r.chunk_key, r.distance) for r in df.collect())
+    assert order(grid) == order(plain) and len(order(grid)) == 27
+    assert dense.nearest(frame.limit(0), asked, 3, 2, 160).collect() == []
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id long, chunk_key string, rank int, score double")
 
