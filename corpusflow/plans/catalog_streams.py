@@ -13,7 +13,7 @@ from corpusflow.plans.ingest import Corpus
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.tables import table
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, keyed
 
 
 def stream_of(spark, folder: str, name: str) -> DataFrame:
@@ -44,11 +44,12 @@ def stream_route(spark, folder):
     return collected(spark, jobs.routed(messages).select("conv_id", "turn", "route"), "stream-route")
 
 
-@query(
-    """WITH r AS (SELECT conv_id, turn, role, sum((role = 'user')::INT) OVER w AS user_turns, count(*) OVER w AS n_messages
+TRIGGERS_SQL = """WITH r AS (SELECT conv_id, turn, role, sum((role = 'user')::INT) OVER w AS user_turns, count(*) OVER w AS n_messages
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
     SELECT conv_id, turn, user_turns::BIGINT AS user_turns, n_messages FROM r WHERE role = 'user' AND user_turns % 2 = 0 AND n_messages >= 4"""
-)
+
+
+@query(TRIGGERS_SQL)
 def stream_triggers(spark, folder):
     root = scratch_path(spark, "stream-triggers")
     counter = jobs.TriggerCounter(spark, root, every=2, min_messages=4)
@@ -56,6 +57,13 @@ def stream_triggers(spark, folder):
     return counter.triggers()
 
 
+@query(TRIGGERS_SQL)
+def stream_triggers_keyed(spark, folder):
+    """The same triggers from keyed state."""
+    with keyed.keyed_state(spark):
+        return collected(spark, keyed.keyed_triggers(stream_of(spark, folder, "conversations"), 2, 4), "stream-keyed")
+
+
 @query(
     """SELECT date_trunc('minute', ts) AS window_start, count(*) AS n, round(count(*) / 60, 6) AS qps, round(avg(value), 6) AS avg_duration,
       quantile_disc(value, 0.95) AS p95_duration, round(count(*) FILTER (event_type = 'error') / count(*) * 100, 6) AS error_rate

@@ -11,7 +11,7 @@ from corpusflow.functions.text import clean_text
 from corpusflow.operators import chunking, dedup, memory, sparse
 from corpusflow.plans.ingest import Corpus, ingest
 from corpusflow.sources.tables import table
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, keyed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,6 +71,43 @@ def test_trigger_stream_equals_batch(spark, tmp_path, snapshot_every):
     assert got == want and want
 
 
+def test_keyed_triggers_across_a_restart(spark, tmp_path):
+    """The second run finds the counters of the first in the checkpoint."""
+    turns = table(spark, FOLDER, "conversations").select("turn", "conv_id", "role")
+    cut = turns.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY turn)")).first()[0]
+    path, setting = str(tmp_path / "in"), spark.conf.get(keyed.STORE_SETTING, None)
+    for part in (turns.filter(F.col("turn") <= cut), turns.filter(F.col("turn") > cut)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        with keyed.keyed_state(spark):
+            found = keyed.keyed_triggers(jobs.read_stream(spark, path, "*.parquet", turns.schema), 2, 4)
+            jobs.run_available(found, str(tmp_path / "cp"), jobs.write_batch(str(tmp_path / "out")))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert sum(name.startswith("batch=") for name in os.listdir(tmp_path / "out")) == 2
+    got = {(r.conv_id, r.turn, r.user_turns) for r in rows.collect()}
+    assert got == {(r.conv_id, r.turn, r.user_turns) for r in memory.summary_triggers(turns, 2, 4).collect()} and got
+    assert spark.conf.get(keyed.STORE_SETTING, None) == setting
+
+
+def test_keyed_state_ends(spark, tmp_path):
+    """A silent conversation is forgotten once the watermark has passed its end; one that goes on before that is not."""
+    path, hour = str(tmp_path / "in"), 3600
+    batches = [
+        [(1, 1, "user", 0), (1, 2, "user", 10), (1, 3, "user", 20), (2, 1, "user", 0), (None, 1, "user", 5)],
+        [(2, 2, "user", 20 * hour), (2, None, "assistant", 20 * hour), (3, 1, None, 20 * hour), (3, 2, "user", None)],
+        [(1, 4, "user", 21 * hour), (2, 3, "user", 21 * hour)],
+    ]
+    schema = "conv_id long, turn long, role string, seconds long"
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("seconds") + 1_600_000_000))
+        df.coalesce(1).write.mode("append").parquet(path)
+        with keyed.keyed_state(spark):
+            stream = jobs.read_stream(spark, path, "*.parquet", df.schema)
+            found = keyed.keyed_triggers(stream, 1, 1, ts="ts", idle_ms=10 * hour * 1000, delay="1 hour")
+            jobs.run_available(found, str(tmp_path / "cp"), jobs.write_batch(str(tmp_path / "out")))
+    got = sorted((r.conv_id or 0, r.turn or 0, r.user_turns, r.n_messages) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 1, 1, 1), (1, 1, 1, 1), (1, 2, 2, 2), (1, 3, 3, 3), (1, 4, 1, 1), (2, 1, 1, 1), (2, 2, 2, 3), (2, 3, 3, 4)]
+
+
 def test_metrics_stream_in_batches(spark, tmp_path):
     events = table(spark, FOLDER, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("is_error")
