@@ -36,10 +36,11 @@ def word_costs(frequencies: DataFrame) -> tuple[DataFrame, int]:
     """(word, length, cost) of a table word, freq, and the cost of a character that it does not hold.
 
     Only words of Han characters with a positive frequency count; frequencies of
-    a repeated word are added. An empty table gives no words and a cost of 0.
+    a repeated word are added. An empty table gives no words and a cost of 0. The
+    sums are written out, so the table of frequencies is computed once.
     """
     han = frequencies.filter(F.col("word").rlike(rf"^{HAN}+$") & (F.col("freq") > 0))
-    merged = han.groupBy("word").agg(F.sum(F.col("freq").cast("long")).alias("freq"))
+    merged = cut_lineage(han.groupBy("word").agg(F.sum(F.col("freq").cast("long")).alias("freq")), "dictionary")
     total = merged.agg(F.sum("freq")).first()[0]
     if total is None:
         return merged.select("word", F.lit(1).alias("length"), F.lit(0).cast("long").alias("cost")), 0
@@ -99,6 +100,11 @@ def dictionary_tokens(spark: SparkSession, frequencies: DataFrame, max_words: in
     words, unknown = word_costs(frequencies)
     if not is_small(words, max_words):
         raise ValueError("the dictionary is too large for the tasks: use segmented_runs")
+    return _graph_tokens(spark, words, unknown)
+
+
+def _graph_tokens(spark: SparkSession, words: DataFrame, unknown: int) -> Callable[[Column], Column]:
+    """``dictionary_tokens`` of words that are known to be few."""
     shared = spark.sparkContext.broadcast([(row["word"], row["cost"]) for row in words.collect()])
     graphs: list[WordGraph] = []
 
@@ -134,7 +140,7 @@ def segmented_runs(runs: DataFrame, frequencies: DataFrame, max_words: int = MAX
     words, unknown = word_costs(frequencies)
     distinct = runs.select("run").filter(F.length("run") > 0).distinct()
     if is_small(words, max_words):
-        return distinct.select("run", dictionary_tokens(runs.sparkSession, frequencies, max_words)(F.col("run")).alias("tokens"))
+        return distinct.select("run", _graph_tokens(runs.sparkSession, words, unknown)(F.col("run")).alias("tokens"))
     return _joined(distinct, words, unknown)
 
 

@@ -15,7 +15,7 @@ from corpusflow.operators import cells, context, dense, fusion, inverted, rerank
 from corpusflow.operators.sparse import top_ranked
 from corpusflow.plans import retrieval
 from corpusflow.plans.registry import query
-from corpusflow.session import scratch_path, spread
+from corpusflow.session import cut_lineage, scratch_path, spread
 from corpusflow.sources import stores
 from corpusflow.sources.tables import table
 
@@ -158,24 +158,28 @@ def bm25_min_score(spark, folder):
 )
 def index_append(spark, folder):
     """Documents with labels form the first index, the others are appended."""
-    docs = documents(spark, folder)
-    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_key"))
-    first = sparse.build_index(docs.join(labelled, "chunk_key", "left_semi"))
-    grown = sparse.append(first, docs.join(labelled, "chunk_key", "left_anti"), "chunk_key", "text")
+    first, others = _halves(spark, folder)
+    grown = sparse.append(sparse.build_index(first), others, "chunk_key", "text")
     found = sparse.search(grown, text_queries(spark, folder), 20)
     return found.select("query_id", F.col("chunk_key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def _halves(spark, folder) -> list[DataFrame]:
+    """Documents with labels, and the others; the texts meet the labels once."""
+    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_key")).distinct()
+    marked = documents(spark, folder).join(labelled.withColumn("labelled", F.lit(True)), "chunk_key", "left")
+    marked = cut_lineage(marked, "halves")
+    return [marked.filter(f"labelled is {kind}").drop("labelled") for kind in ("not null", "null")]
+
+
 def _stored_index(spark, folder, label: str, halves: bool) -> inverted.TermIndex:
     """The documents in a stored inverted index, at once or the labelled ones first."""
     store = stores.TermIndexStore(spark, scratch_path(spark, label))
-    docs = documents(spark, folder)
     if not halves:
-        store.save("documents", sparse.build_documents(docs, "chunk_key", "text"))
+        store.save("documents", sparse.build_documents(documents(spark, folder), "chunk_key", "text"))
         return store.load("documents")
-    labelled = table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_key"))
-    for kind in ("left_semi", "left_anti"):
-        store.append("documents", sparse.build_documents(docs.join(labelled, "chunk_key", kind), "chunk_key", "text"))
+    for half in _halves(spark, folder):
+        store.append("documents", sparse.build_documents(half, "chunk_key", "text"))
     return store.load("documents")
 
 
@@ -532,8 +536,10 @@ def han_runs(spark, folder) -> DataFrame:
 def han_frequencies(spark, folder) -> DataFrame:
     """word, freq: the words of all documents."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    words = spread(table(spark, folder, "documents").select("text")).select(F.explode(found).alias("w"))
-    return words.groupBy(han_text(F.col("w")).alias("word")).agg(F.count("*").alias("freq"))
+    # The plain generator would make the optimizer find the words once more, as a filter.
+    words = spread(table(spark, folder, "documents").select("text")).select(F.explode_outer(found).alias("w")).filter("w is not null")
+    counts = words.groupBy("w").agg(F.count("*").alias("freq"))
+    return counts.select(han_text(F.col("w")).alias("word"), "freq")
 
 
 @query(HAN_SEGMENTS_SQL)

@@ -108,3 +108,21 @@ def test_index_with_dictionary(spark, frequencies):
 def test_too_large_a_dictionary_is_refused(spark, frequencies):
     with pytest.raises(ValueError):
         segment.dictionary_tokens(spark, frequencies, max_words=2)
+
+
+def test_frequencies_are_computed_once(spark):
+    """The table of frequencies may be a scan of a whole corpus: later steps read the written sums."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frequencies = spark.createDataFrame([("天地", 3), ("人", 2)], "word string, freq long").coalesce(1)
+    frequencies = frequencies.mapInArrow(counted, "word string, freq long")
+    runs = spark.createDataFrame([("天地人",)], "run string")
+    for limit in (segment.MAX_WORDS, 0):
+        before = seen.value
+        assert [r.tokens for r in segment.segmented_runs(runs, frequencies, limit).collect()] == [["天地", "人"]]
+        assert seen.value - before == 2
