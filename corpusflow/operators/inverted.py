@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import index_tokens, term_counts
-from corpusflow.operators.sparse import as_postings, top_ranked
+from corpusflow.operators.sparse import top_ranked
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.session import broadcast_if_small, cut_lineage
 
@@ -29,8 +29,11 @@ SHARD_DOCS = 4096
 BATCH_QUERIES = 512
 # Directories by term hash.
 BUCKETS = 16
-# Rows of postings per file of a directory.
-FILE_DOCS = 1_000_000
+# Tokens of a shard's documents, which bounds a shard of long documents.
+SHARD_TERMS = 4_000_000
+# Documents whose postings are in one file of a directory, and whose frequencies are.
+FILE_DOCS = 65_536
+TERM_FILE_DOCS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -58,39 +61,63 @@ def contribution(tf: Column, length: Column, avg_len: Column | float, options: O
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
+def shard_count(n_docs: int, total_len: int, shard_docs: int = SHARD_DOCS) -> int:
+    """Shards of a batch: each of about ``shard_docs`` documents, fewer where these are long."""
+    return max(1, -(-n_docs // shard_docs), -(-total_len // SHARD_TERMS))
+
+
 def posting_blocks(
-    documents: DataFrame, n_docs: int, avg_len: float, first_shard: int = 0, buckets: int = BUCKETS,
-    shard_docs: int = SHARD_DOCS, options: Options = DEFAULTS,
-) -> DataFrame:
+    documents: DataFrame, shards: int, avg_len: float, first_shard: int = 0, buckets: int = BUCKETS, options: Options = DEFAULTS
+) -> DataFrame:
     """Rows of ``sparse.build_documents`` as blocks: the postings of one term in one shard.
 
     A block holds at most the documents of its shard. ``top`` is its largest
-    contribution at ``avg_len``, which is stored with it.
+    contribution at ``avg_len``, which is stored with it. Whole documents are
+    dealt over the shards; their postings are taken apart in the shard's task.
     """
-    shards = max(1, -(-n_docs // shard_docs))
-    shard = (F.pmod(F.xxhash64("chunk_key"), F.lit(shards)) + first_shard).alias("shard")
-    rows = as_postings(documents).filter(F.col("term").isNotNull()).select(
-        "term", shard, "chunk_key", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len")
-    )
-    held = rows.groupBy("term", "shard").agg(
-        F.max(contribution(F.col("tf"), F.col("len"), avg_len, options)).alias("top"),
-        F.collect_list(F.struct("chunk_key", "tf", "len")).alias("p"),
+    shard = F.pmod(F.xxhash64("chunk_key"), F.lit(shards)) + first_shard
+
+    def blocks(table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        runs = table["runs"].chunk(0)
+        owner = np.repeat(np.arange(table.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))
+        held = runs.flatten()
+        tokens = held.field("term").dictionary_encode()
+        codes = tokens.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        order = order[np.searchsorted(codes[order], 0) :]
+        codes, owner = codes[order], owner[order]
+        tf = held.field("tf").to_numpy(zero_copy_only=False)[order].astype(np.int32)
+        length = table["len"].to_numpy()[owner].astype(np.int32)
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        ends = pa.array(np.append(starts, len(codes)), pa.int32())
+        top = np.maximum.reduceat(contribution(tf, length, avg_len, options), starts) if len(starts) else np.zeros(0)
+        lists = table["chunk_key"].chunk(0).take(pa.array(owner)), pa.array(tf), pa.array(length)
+        return pa.table({
+            "term": tokens.dictionary.take(pa.array(codes[starts])), "shard": pa.array(np.full(len(starts), table["shard"][0].as_py()), pa.int64()),
+            "top": pa.array(top), **{name: pa.ListArray.from_arrays(ends, x) for name, x in zip(("keys", "tfs", "lens"), lists)},
+        })
+
+    key = documents.schema["chunk_key"].dataType.simpleString()
+    held = documents.select("chunk_key", "len", "runs", shard.cast("long").alias("shard")).groupBy("shard").applyInArrow(
+        blocks, f"term string, shard long, top double, keys array<{key}>, tfs array<int>, lens array<int>"
     )
     return held.select(
-        bucket_of(F.col("term"), buckets).alias("bucket"), "term", "shard", "top", F.lit(avg_len).alias("avg_len"),
-        F.col("p.chunk_key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"),
+        bucket_of(F.col("term"), buckets).alias("bucket"), "term", "shard", "top", F.lit(avg_len).alias("avg_len"), "keys", "tfs", "lens"
     )
 
 
-def document_frequencies(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, term, df of a batch of documents."""
-    rows = as_postings(documents).filter(F.col("term").isNotNull())
-    return rows.groupBy("term").agg(F.count("*").alias("df")).select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "df")
+def document_frequencies(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, term, df of a batch, from its blocks."""
+    merged = blocks.groupBy("term").agg(F.sum(F.size("tfs")).alias("df"))
+    return merged.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "df")
 
 
-def file_layout(rows: DataFrame, n_docs: int, salt: str) -> DataFrame:
-    """Rows dealt and sorted for a write by bucket: about one file per bucket and FILE_DOCS documents."""
-    files = max(1, -(-n_docs // FILE_DOCS))
+def file_layout(rows: DataFrame, n_docs: int, salt: str, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Rows dealt and sorted for a write by bucket: about one file per bucket and ``file_docs`` documents."""
+    files = max(1, -(-n_docs // file_docs))
     return rows.repartition("bucket", F.pmod(F.xxhash64(salt), F.lit(files))).sortWithinPartitions("bucket", "term")
 
 

@@ -20,6 +20,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpusflow.functions.text import index_tokens, term_counts
 from corpusflow.options import DEFAULTS, Options
@@ -29,6 +30,10 @@ from corpusflow.session import cut_lineage, is_small, stable
 BATCH_QUERIES = 512
 # Documents scored at once in a task.
 BLOCK_DOCS = 512
+# Documents whose tokens are counted at once in a task.
+COUNT_DOCS = 256
+# Products of a term in a document with a query that are held at once; denser blocks are multiplied as matrices.
+MAX_PRODUCTS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,37 @@ def build_documents(
         chunks.filter(F.col(text).rlike(r"[^\s\p{Z}]"))
         .select(F.col(key).alias("chunk_key"), tokenizer(F.col(text)).alias("tokens"))
     )
-    runs = F.coalesce(term_counts(F.col("tokens")), F.array().cast("array<struct<term:string,tf:int>>"))
-    return tokens.select("chunk_key", F.size("tokens").alias("len"), runs.alias("runs"))
+    run = StructType([StructField("term", StringType()), StructField("tf", IntegerType())])
+    shape = [tokens.schema["chunk_key"], StructField("len", IntegerType()), StructField("runs", ArrayType(run))]
+    return tokens.mapInArrow(_counted, StructType(shape))
+
+
+def _counted(batches):
+    """Task function: chunk_key and tokens in, chunk_key, len and runs (in order of the term) out.
+
+    The tokens of some rows are numbered in the order of their text, so that one
+    sort of (row, number) counts them all.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, COUNT_DOCS):
+            part = batch.slice(start, COUNT_DOCS)
+            lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            held = part.column(1).flatten().dictionary_encode(null_encoding="encode")
+            order = pc.array_sort_indices(held.dictionary, null_placement="at_start").to_numpy().astype(np.int64)
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            codes = np.repeat(np.arange(len(lengths)), lengths) * len(order) + number[held.indices.to_numpy()]
+            found, tf = np.unique(codes, return_counts=True)
+            owner, term = np.divmod(found, max(len(order), 1))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lengths)))])
+            runs = pa.StructArray.from_arrays([held.dictionary.take(pa.array(order[term])), pa.array(tf, pa.int32())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)],
+                ["chunk_key", "len", "runs"],
+            )
 
 
 def as_postings(documents: DataFrame) -> DataFrame:
@@ -143,6 +177,23 @@ def _weight_batches(weights: DataFrame, size: int) -> Iterator[tuple[list, list[
 def _scores_of(queries: list, terms: list[str], weights: np.ndarray, k: int, avg_len: float, options: Options):
     """Task function: documents in, (query_id, chunk_key, score) of possible top-k rows out."""
     k1, b = options.bm25_k1, options.bm25_b
+    # The queries of each term, one run after the other.
+    of_term, asking = np.nonzero(weights)
+    weight, many = weights[of_term, asking], np.bincount(of_term, minlength=len(terms))
+    firsts = np.cumsum(many) - many
+
+    def block_scores(n: int, owner: np.ndarray, place: np.ndarray, impact: np.ndarray) -> np.ndarray:
+        """Scores (documents by queries): term by term where few products are not zero, by matrices elsewhere."""
+        each = many[place]
+        products = int(each.sum())
+        if products > min(MAX_PRODUCTS, n * weights.size // 32):
+            found = np.zeros((n, len(terms)))
+            found[owner, place] = impact
+            return found @ weights
+        at = np.repeat(firsts[place] - (np.cumsum(each) - each), each) + np.arange(products)
+        cells = np.repeat(owner * len(queries), each) + asking[at]
+        sums = np.bincount(cells, np.repeat(impact, each) * weight[at], n * len(queries))
+        return sums.astype(np.float64, copy=False).reshape(n, len(queries))  # sums of nothing are integers
 
     def score(batches):
         import pyarrow as pa
@@ -160,12 +211,12 @@ def _scores_of(queries: list, terms: list[str], weights: np.ndarray, k: int, avg
                 hit = np.flatnonzero(place >= 0)
                 owner = np.repeat(np.arange(part.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))[hit]
                 tf = flat.field(1).to_numpy(zero_copy_only=False)[hit]
-                found = np.zeros((part.num_rows, len(terms)))
-                found[owner, place[hit]] = tf * (k1 + 1) / (tf + k1 * length[owner])
-                scores = found @ weights
-                best = -np.partition(-np.concatenate([best, scores]), k - 1, axis=0)[:k]
+                scores = block_scores(part.num_rows, owner, place[hit], tf * (k1 + 1) / (tf + k1 * length[owner]))
                 # Equal scores stay in; the margin covers the rounding of the final order.
-                doc, query = np.nonzero((scores > 0) & (scores >= best.min(axis=0) - 1e-8))
+                good = (scores > 0) & (scores >= best.min(axis=0) - 1e-8)
+                rising = np.flatnonzero(good.any(axis=0))
+                best[:, rising] = -np.partition(-np.concatenate([best[:, rising], scores[:, rising]]), k - 1, axis=0)[:k]
+                doc, query = np.nonzero(good & (scores >= best.min(axis=0) - 1e-8))
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(query)), part.column(0).take(pa.array(doc)), pa.array(scores[doc, query])],
                     ["query_id", "chunk_key", "score"],

@@ -173,15 +173,19 @@ class TermIndexStore:
         total_n, total_len = n + (before.n_docs if before else 0), length + (before.total_len if before else 0)
         first_shard = before.shards if before else 0
         mean_len = total_len / total_n if total_len else 1.0
-        blocks = inverted.posting_blocks(documents, n, mean_len, first_shard, buckets, self.shard_docs, options)
-        frequencies = inverted.document_frequencies(documents, buckets)
-        for table, rows, salt in (("postings", blocks, "shard"), ("terms", frequencies, "term")):
-            inverted.file_layout(rows, n, salt).write.mode("overwrite").partitionBy("bucket").parquet(self._path(name, version, table, batch))
+        shards = inverted.shard_count(n, length, self.shard_docs)
         key = documents.schema["chunk_key"].dataType.simpleString()
+
+        def write(table: str, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(self._path(name, version, table, batch))
+
+        blocks = inverted.posting_blocks(documents, shards, mean_len, first_shard, buckets, options)
+        write("postings", inverted.file_layout(blocks, n, "shard"))
+        written = self._tables(name, version, batch, key)[0].filter(F.col("batch") == batch)
+        write("terms", inverted.file_layout(inverted.document_frequencies(written, buckets), n, "term", inverted.TERM_FILE_DOCS))
         stored = self._tables(name, version, batch, key)
         mean = inverted.mean_idf(stored[1], total_n)
-        shards = first_shard + max(1, -(-n // self.shard_docs))
-        self._enter(name, version, batch, total_n, total_len, shards, buckets, mean, key)
+        self._enter(name, version, batch, total_n, total_len, first_shard + shards, buckets, mean, key)
 
     def _tables(self, name: str, version: str, last: int, key: str) -> tuple[DataFrame, DataFrame]:
         """Postings and frequencies of the batches up to ``last``; a batch that failed is not among them."""

@@ -139,3 +139,23 @@ def test_text_keys(spark, store):
     store.save("names", built(rows))
     asked = spark.createDataFrame([("q1", "x"), ("q2", "z y")], "query_id string, text string")
     assert rows_of(inverted.search(store.load("names"), asked, 5)) == rows_of(sparse.search(sparse.build_index(rows), asked, 5))
+
+
+def test_shards_of_long_documents_are_smaller():
+    assert inverted.shard_count(0, 0) == 1
+    assert inverted.shard_count(10_000, 300 * 10_000) == 3
+    assert inverted.shard_count(4_096, 100_000 * 4_096) > 100
+
+
+def test_postings_of_many_documents_lie_in_many_files(spark):
+    """What one task writes stays the same while the documents grow."""
+    rows = spark.range(0, 2_000).select(F.lit(0).alias("bucket"), F.lit("w").alias("term"), F.col("id").alias("shard"))
+    places = inverted.file_layout(rows, 1_000_000, "shard").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert places > 1
+
+
+def test_counted_terms_with_nulls(spark):
+    """Terms come in their order, a null one first, as the column function gives them."""
+    rows = spark.createDataFrame([(1, ["b", None, "a", "b"]), (2, [])], "id long, tokens array<string>")
+    got = sparse.build_documents(rows.withColumn("text", F.lit("x")), "id", "text", lambda _: F.col("tokens")).collect()
+    assert [(r.chunk_key, r.len, [tuple(x) for x in r.runs]) for r in got] == [(1, 4, [(None, 1), ("a", 1), ("b", 2)]), (2, 0, [])]
