@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructField, StructType
 
 from corpusflow.functions.hashing import BITS, hamming
 from corpusflow.functions.text import words
@@ -31,9 +32,11 @@ HOT_ROWS = 1_000_000
 # Directories per mask of a stored band index.
 BAND_SHARES = 4
 # Words hashed together in a task; words remembered by a worker, and the longest of them.
-STEP_WORDS = 100_000
+STEP_WORDS = 50_000
 KNOWN_WORDS = 200_000
 WORD_CHARS = 64
+# Rows whose words a task holds together.
+STEP_ROWS = 512
 
 
 def first_per_hash(files: DataFrame, key: str, file_hash: str = "file_hash") -> DataFrame:
@@ -61,30 +64,51 @@ class _Digests(dict):
 _DIGESTS = _Digests()
 
 
-def _bit_counts(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the number of words whose hash has bit i set (rows by 64), and the number of words."""
-    lengths = np.array([len(t) if t is not None else 0 for t in tokens], np.int64)
+def _bit_counts(tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of an Arrow list array, the number of words whose hash has bit i set (rows by 64), and the number of words."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten()
     counts = np.zeros((len(lengths), BITS), np.int64)
     ends = np.cumsum(lengths)
     row = 0
     while row < len(lengths):
         # Rows of about STEP_WORDS words together; a longer one by itself, in pieces.
-        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + STEP_WORDS, side="right")))
-        held = [w for t in tokens.iloc[row:stop] if t is not None for w in t]
+        begin = int(ends[row - 1]) if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, begin + STEP_WORDS, side="right")))
         sizes = lengths[row:stop]
         full = np.flatnonzero(sizes)
-        for start in range(0, len(held), STEP_WORDS):
-            part = b"".join(map(_DIGESTS.__getitem__, held[start : start + STEP_WORDS]))
-            bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)[:, ::-1]
+        for start in range(begin, int(ends[stop - 1]), STEP_WORDS):
+            part = words.slice(start, min(STEP_WORDS, int(ends[stop - 1]) - start)).dictionary_encode()
+            known = b"".join(map(_DIGESTS.__getitem__, part.dictionary.to_numpy(zero_copy_only=False)))
+            bits = np.unpackbits(np.frombuffer(known, np.uint8).reshape(-1, 8), axis=1)[:, ::-1]
+            # Four counts of 16 bits share a number; STEP_WORDS words fit in them.
+            lanes = np.ascontiguousarray(bits, np.uint16).view(np.uint64)[part.indices.to_numpy()]
             if stop == row + 1:
-                counts[row] += bits.sum(axis=0, dtype=np.int64)
+                counts[row] += lanes.sum(axis=0, dtype=np.uint64).view(np.uint16)
             else:
                 first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                counts[row + full] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+                counts[row + full] = np.add.reduceat(lanes, first, axis=0).view(np.uint16)
         row = stop
     return counts, lengths
 
 
+def _from_words(rows: DataFrame, key: str, text: str, name: str, kind: DataType, make: Callable) -> DataFrame:
+    """key and the column ``name`` that ``make`` (bit counts, numbers of words) gives; a task holds the words of a few rows."""
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(start, STEP_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), make(*_bit_counts(part.column(1)))], [key, name])
+
+    tokens = rows.select(key, words(F.col(text)).alias("__words"))
+    return tokens.mapInArrow(made, StructType([tokens.schema[0], StructField(name, kind)]))
+
+
 def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, signature from word counts: a text embedder that needs no model.
 
@@ -94,14 +118,14 @@ def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFr
     words has signature 0. Each text is one row of a batch; no word is shuffled.
     """
 
-    @F.pandas_udf("long")
-    def signature(tokens: pd.Series) -> pd.Series:
-        counts, _ = _bit_counts(tokens)
+    def signature(counts: np.ndarray, lengths: np.ndarray):
+        import pyarrow as pa
+
         # Bits whose component exceeds the mean of all.
         bits = (counts * BITS > counts.sum(axis=1, keepdims=True)).astype(np.uint8)
-        return pd.Series(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel(), dtype="int64")
+        return pa.array(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel(), pa.int64())
 
-    return docs.select(key, signature(words(F.col(text))).alias("signature"))
+    return _from_words(docs, key, text, "signature", LongType(), signature)
 
 
 def projected_vector(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -111,14 +135,14 @@ def projected_vector(chunks: DataFrame, key: str, text: str = "text") -> DataFra
     without. A text without words is the zero vector.
     """
 
-    @F.pandas_udf("array<double>")
-    def vector(tokens: pd.Series) -> pd.Series:
-        counts, lengths = _bit_counts(tokens)
+    def vector(counts: np.ndarray, lengths: np.ndarray):
+        import pyarrow as pa
+
         shares = 2.0 * counts / np.maximum(lengths, 1)[:, None] - 1.0
         shares[lengths == 0] = 0.0
-        return pd.Series(list(shares))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, shares.size + 1, BITS), pa.int32()), pa.array(shares.ravel()))
 
-    return chunks.select(key, vector(words(F.col(text))).alias("embedding"))
+    return _from_words(chunks, key, text, "embedding", ArrayType(DoubleType()), vector)
 
 
 def _signed(mask: int) -> int:

@@ -17,6 +17,8 @@ MAX_BROADCAST_QUERIES = 4096
 CELL_BYTES = 64 * 1024 * 1024
 # Vectors of a cell that are compared at once, which bounds the distance matrix.
 BLOCK_VECTORS = 8192
+# The same of a scan, whose tasks hold the rows of a batch besides.
+SCAN_VECTORS = 2048
 # Queries compared with a block of vectors at a time, which bounds the distance matrix.
 STRIPE = 256
 # Results of the tasks are merged in two steps, by groups of tasks first.
@@ -77,8 +79,9 @@ def _scan(corpus: DataFrame, queries: DataFrame, batch: list, k: int) -> DataFra
         best: dict = {}
         ids, held = shared.value
         for frame in frames:
-            if len(frame):
-                _merge_block(best, ids, held, frame["chunk_key"].to_numpy(), _matrix(frame["embedding"]), k)
+            for start in range(0, len(frame), SCAN_VECTORS):
+                block = frame.iloc[start : start + SCAN_VECTORS]
+                _merge_block(best, ids, held, block["chunk_key"].to_numpy(), _matrix(block["embedding"]), k)
         yield _best_frame(best)
 
     return corpus.select("chunk_key", "embedding").mapInPandas(partial, _schema(corpus, queries))

@@ -395,7 +395,9 @@ def memories(spark, folder) -> DataFrame:
     said = turns(spark, folder).filter(F.col("role") == "assistant")
     held = said.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("memory_id"), F.col("conv_id").alias("session_id"), F.col("text").alias("content"))
     held = cut_lineage(held, "messages")
-    return held.join(dedup.projected_vector(held, "memory_id", "content"), "memory_id")
+    # Written, since a recall reads them twice.
+    vectors = cut_lineage(dedup.projected_vector(held, "memory_id", "content"), "vectors")
+    return held.join(vectors, "memory_id")
 
 
 def asked_texts(spark, folder) -> DataFrame:

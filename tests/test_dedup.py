@@ -112,3 +112,18 @@ def test_near_duplicates_in_order_of_chunks(spark):
     df = df.select(dedup.chunk_ordinal(F.col("d"), F.col("c")).alias("ord"), "signature")
     got = {tuple(r.ord): r.duplicate_of and tuple(r.duplicate_of) for r in dedup.near_duplicates(df, 3).collect()}
     assert got == {(-1, 0): None, (3, 0): (-1, 0), (2, 9): None, (3, 1): (2, 9)}
+
+
+def test_bit_counts_equal_a_count_by_hand(monkeypatch):
+    """Rows of any length, longer ones in pieces; a slice of an array counts its own rows only."""
+    import hashlib
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(dedup, "STEP_WORDS", 7)
+    rows = [["a", "b", "a"], None, [], ["w"] * 40, ["x", "y"], [f"v{i}" for i in range(23)], ["z"]]
+    counts, lengths = dedup._bit_counts(pa.array([["skipped"], *rows]).slice(1))
+    assert lengths.tolist() == [len(r or []) for r in rows]
+    for row, got in zip(rows, counts.tolist()):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in row or []]
+        assert got == [sum(h >> i & 1 for h in hashes) for i in range(64)]
