@@ -5,10 +5,13 @@ Messages are rows (conv_id, turn, role, text); ``turn`` orders a conversation.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import ordered_join, term_counts
+from corpusflow.functions.batches import exploded
+from corpusflow.functions.text import ordered_join
 from corpusflow.operators import dense
 from corpusflow.operators.windows import running_sums
 from corpusflow.options import DEFAULTS
@@ -79,20 +82,17 @@ def summary_triggers(
 def top_characters(texts: DataFrame, key: str, text: str = "text", n: int = 5) -> DataFrame:
     """key, rank, ch, n: most frequent characters without stop words; the first seen wins a tie.
 
-    Counted inside the row: equal characters are neighbours after sorting, so
-    nothing is shuffled.
+    Counted inside the row in one pass over its characters; nothing is shuffled.
     """
-    single = [w for w in STOP_WORDS if len(w) == 1]
-    kept = F.filter(F.split(text, ""), lambda c: ~c.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*$") & ~c.isin(single))
-    rows = texts.select(key, kept.alias("__chars")).withColumn("__counts", term_counts(F.col("__chars")))
-    ranked = F.transform(
-        "__counts",
-        lambda x: F.struct((-x["tf"]).alias("less"), F.array_position("__chars", x["term"]).alias("first"), x["term"].alias("ch")),
-    )
-    best = rows.select(key, F.posexplode_outer(F.slice(F.array_sort(ranked), 1, n)).alias("pos", "best"))
-    return best.filter(F.col("best").isNotNull()).select(
-        key, (F.col("pos") + 1).alias("rank"), F.col("best.ch").alias("ch"), (-F.col("best.less")).cast("long").alias("n")
-    )
+    single = {w for w in STOP_WORDS if len(w) == 1}
+
+    def best(body: str) -> list[tuple[int, str, int]]:
+        # Counted in order of first sight, which the sort keeps among equals.
+        counts = [(c, k) for c, k in Counter(body).items() if not c.isspace() and c not in single]
+        counts.sort(key=lambda x: -x[1])
+        return [(rank, c, k) for rank, (c, k) in enumerate(counts[:n], 1)]
+
+    return exploded(texts, [key], text, best, [("rank", "int"), ("ch", "string"), ("n", "long")])
 
 
 def recall(

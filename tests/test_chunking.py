@@ -87,3 +87,14 @@ def test_short_section_leaves_a_gap(spark):
     text = "# A\nlong enough section text\n# B\nshort\n# C\nanother long enough section"
     docs = spark.createDataFrame([(1, "a.md", text)], "doc_id long, source string, text string")
     assert sorted(c.chunk_id for c in chunking.markdown_chunks(docs).collect()) == ["a.md_0", "a.md_2"]
+
+
+def test_results_of_a_batch_leave_in_parts(spark, monkeypatch):
+    """A task holds the results of a few texts, whatever the number of rows in a batch."""
+    from corpusflow.functions import batches
+
+    monkeypatch.setattr(batches, "BATCH_ROWS", 4)
+    rows = [(i, f"s{i}", None if i == 3 else "a b c " * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    got = batches.exploded(df, ["doc_id"], "text", lambda t: enumerate(t.split()), [("n", "int"), ("word", "string")]).collect()
+    assert [tuple(r) for r in got] == [(i, n, w) for i, _, t in rows if t for n, w in enumerate(t.split())]

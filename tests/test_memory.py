@@ -96,3 +96,9 @@ def test_metrics_window(spark):
 
 def test_metrics_of_an_empty_log(spark):
     assert tuple(metrics.query_metrics(log(spark, [])).first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_top_characters_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n\u3000\x1c"), (4, "的的b a𝄞𝄞a"), (None, "zz")]
+    got = memory.top_characters(spark.createDataFrame(rows, "k long, text string"), "k", n=2).collect()
+    assert [tuple(r) for r in got] == [(4, 1, "a", 2), (4, 2, "𝄞", 2), (None, 1, "z", 2)]
