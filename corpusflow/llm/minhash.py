@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import graph
+from corpusflow.llm.remembered import use
 from corpusflow.session import broadcast_if_small, cut_lineage
 
 #: 120 permutations give 240 values; 40 bands of 3 permutations (6 values) miss a pair at
@@ -57,16 +60,42 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     A-Z become lower case; words are runs between ASCII white space. Fewer words
     than ``size`` make one shingle of all of them, no words make an empty set.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    used = min(n, size)
-    out = np.full(n - used + 1, used, np.uint64)
-    for i in range(used):
-        out = _mix(out + h[i : n - used + 1 + i] * _ODD[0] + _ODD[1])
-    return np.unique(out)
+    return np.unique(_shingles(np.fromiter(map(use(_WORDS).__getitem__, words), np.uint64, n), min(n, size)))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, of which there is at least one."""
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = _mix(out + h[i : len(out) + i] * _ODD[0] + _ODD[1])
+    return out
+
+
+def shingle_sets(texts: Iterable[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_set`` of many texts at once: all hashes, set after set, and the size of each set."""
+    words = [_words(text) for text in texts]
+    lengths = [len(w) for w in words]
+    h = np.fromiter(map(use(_WORDS).__getitem__, chain.from_iterable(words)), np.uint64, sum(lengths))
+    runs = _shingles(h, size) if len(h) >= size else h[:0]
+    sets, end = [], 0
+    for n in lengths:
+        start, end = end, end + n
+        found = np.sort(runs[start : end - size + 1] if n >= size else _shingles(h[start:end], n) if n else h[:0])
+        if len(found) > 1:
+            first = np.empty(len(found), bool)
+            first[0] = True
+            np.not_equal(found[1:], found[:-1], out=first[1:])
+            found = found[first]
+        sets.append(found)
+    return np.concatenate([h[:0], *sets]), np.array([len(s) for s in sets], np.int64)
 
 
 @lru_cache

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.remembered import use
 from corpusflow.session import cut_lineage
 
 #: Hashed n-gram indicators.
@@ -82,7 +83,7 @@ def features(text: str | None) -> list[np.ndarray]:
             out.append(_hashed((pairs[:-1] << np.uint64(8)) | data[2:], 2))
     words = text.split()
     if words:
-        shapes = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
+        shapes = np.fromiter(map(use(_SHAPES).__getitem__, words), np.uint64, len(words))
         numbers = np.fromiter(map(_Numbers().__getitem__, words), np.int64, len(words))
         shapes[1:][numbers[1:] == numbers[:-1]] += np.uint64(1 << 33)
         h = shapes

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.minhash import _WORDS, _mix
+from corpusflow.llm.remembered import use
 from corpusflow.session import broadcast_if_small, cut_lineage
 
 #: Words of a window, and of the parts whose smallest hash is a window's minimiser.
@@ -47,7 +48,7 @@ def super_kmers(words: list[bytes], window: int = WINDOW, part: int = PART) -> l
         return []
     size = 1 << len(words).bit_length()
     up, down = _powers(size)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(use(_WORDS).__getitem__, words), np.uint64, len(words))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
     low = _mix((sums[part:] - sums[:-part]) * down[: len(h) - part + 1])
     # Sliding minimum over window - part + 1 parts by doubling.

@@ -20,6 +20,8 @@ import re
 import sys
 from collections.abc import Callable, Iterable
 
+from corpusflow.llm.remembered import use
+
 #: Bytes of pieces and values remembered by one Python worker; the memory is emptied when it is full.
 REMEMBERED_BYTES = 96 << 20
 #: Longer pieces (texts without spaces) hardly ever come back and are not remembered.
@@ -180,11 +182,14 @@ class Pieces(dict):
             size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY
             if self.held + size > REMEMBERED_BYTES:
                 self.clear()
-                self.held = 0
             self[key] = value
             self.held += size
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def of(self, text: str) -> Iterable:
         """Values of the pieces of a whole text, in order."""
         if not text:
@@ -206,8 +211,9 @@ _LOADED: dict[tuple[str, Callable], Pieces] = {}
 
 def _loaded(name: str, make: Callable[[list[int]], object]) -> Pieces:
     if (name, make) not in _LOADED:
+        use({})  # room for the vocabulary
         _LOADED[name, make] = Pieces(name, make)
-    return _LOADED[name, make]
+    return use(_LOADED[name, make])
 
 
 def _packed(ids: list[int]) -> bytes:

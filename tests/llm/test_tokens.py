@@ -195,3 +195,18 @@ def test_many_files(spark, tmp_path):
 
 def test_files_of_nothing(nothing):
     assert binary.token_files(nothing).collect() == []
+
+
+def test_one_table_is_remembered_at_a_time():
+    """A worker that serves several stages holds the table of the last one only."""
+    from corpusflow.llm import minhash, quality
+
+    quality.features("Some words here")
+    assert quality._SHAPES
+    minhash.shingle_set("some words here")
+    assert minhash._WORDS and not quality._SHAPES
+    assert vocab.encode_bytes("byte_bpe_50k.json", "some words here")
+    pieces = vocab.piece_ids("byte_bpe_50k.json")
+    assert pieces and not minhash._WORDS
+    minhash.shingle_set("other words")
+    assert not pieces and pieces.held == 0
