@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import graph
-from corpusflow.llm.minhash import shingle_set
+from corpusflow.llm.minhash import shingle_set, shingle_sets
 from corpusflow.operators.dedup import join_hot
-from corpusflow.session import broadcast_if_small, cut_lineage
+from corpusflow.session import broadcast_if_small, cut_lineage, is_small
 
 SIZE = 3
 PERCENT = 90
@@ -28,17 +28,33 @@ ROUNDS = 3
 BLOCK = 256
 #: Shingles with a hash below this are counted and come first in the order, the rarest in front.
 POOL = 1 << 63
+#: Texts whose sets a task makes together.
+SLICE = 512
+#: Copies (numbers of 8 bytes) that are left out of the sets by a broadcast; more are left out by a shuffle.
+MAX_COPIES = 2_000_000
 _SALT = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, the same whatever its order."""
     with np.errstate(over="ignore"):
-        a = (s ^ _SALT[0]) * _SALT[1]
-        a ^= a >> np.uint64(29)
-        b = (s + _SALT[1]) * _SALT[0]
-        b ^= b >> np.uint64(31)
-        return tuple(int((x * x * _SALT[0] + x).sum(dtype=np.uint64).astype(np.int64)) for x in (a, b))
+        return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in _marks(s))
+
+
+def _marks(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for every shingle, whose sums are the fingerprint."""
+    a = (s ^ _SALT[0]) * _SALT[1]
+    a ^= a >> np.uint64(29)
+    b = (s + _SALT[1]) * _SALT[0]
+    b ^= b >> np.uint64(31)
+    return a * a * _SALT[0] + a, b * b * _SALT[0] + b
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring runs of ``values``, modulo 2^64."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return total[ends] - total[ends - sizes]
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -46,42 +62,42 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signed(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, n_shingles and the fingerprint f1, f2 of every document's set."""
+def signed(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, the fingerprint f1, f2 of every document's set, its pool and its tail.
+
+    The pool is the shingles below POOL; the tail is those of the others that the
+    prefix needs when the pool is too small. The sets of a text are made here and
+    not again.
+    """
 
     def sign(batches):
         import pyarrow as pa
 
+        def lists(values, kept, sizes):
+            ends = np.concatenate([[0], np.cumsum(_sums(kept.astype(np.uint64), sizes).astype(np.int64))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[kept].view(np.int64)))
+
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            marks = [_fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[i] for m in marks], pa.int64()) for i in range(2)]],
-                ["doc_id", "n_shingles", "f1", "f2"],
-            )
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                values, sizes = shingle_sets(part.column(1).to_pylist(), size)
+                f1, f2 = (_sums(x, sizes).view(np.int64) for x in _marks(values))
+                pool = values < np.uint64(POOL)
+                place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                tail = ~pool & (place < np.repeat(_prefix(sizes, percent), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *map(pa.array, (sizes, f1, f2)), lists(values, pool, sizes), lists(values, tail, sizes)],
+                    ["doc_id", "n_shingles", "f1", "f2", "pool", "tail"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, pool array<long>, tail array<long>")
 
 
 def _pools(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """cid, n, the shingles below POOL, and of the others those that the prefix needs when the pool is too small."""
-
-    def split(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            pools, tails = [], []
-            for t, n in zip(batch.column(2), batch.column(1).to_pylist()):
-                s = shingle_set(t.as_py(), size)
-                cut = int(np.searchsorted(s, np.uint64(POOL)))
-                pools.append(s[:cut].view(np.int64))
-                tails.append(s[cut : max(cut, _prefix(n, percent))].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in (pools, tails)]], ["cid", "n", "pool", "tail"]
-            )
-
-    return texts.select("cid", "n", "text").mapInArrow(split, "cid long, n long, pool array<long>, tail array<long>")
+    """cid, n, pool and tail of a table cid, text."""
+    sets = signed(texts.select(F.col("cid").alias("doc_id"), "text"), "text", size, percent)
+    return sets.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "pool", "tail")
 
 
 def entries(sets: DataFrame, percent: int) -> DataFrame:
@@ -301,11 +317,23 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "text", si
     same text count as copies; a doc_id with several texts has several rows, each
     with the component of its text. An empty table gives no rows.
     """
-    base = cut_lineage(signed(docs, text, size), "signed")
+    base = cut_lineage(signed(docs, text, size, percent).withColumn("cid", F.monotonically_increasing_id()), "signed")
     real = base.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    classes = cut_lineage(cut_lineage(classes, "sets").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(classes.select("rep", "cid", "n", "f1", "f2"), "rep")
+    # The number of any of its rows stands for a set.
+    classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(
+        F.min("doc_id").alias("rep"), F.min("cid").alias("cid"), F.count("*").alias("weight")
+    )
+    classes = cut_lineage(classes, "classes")
+    sets = real.select("cid", F.col("n_shingles").alias("n"), "pool", "tail")
+    copies = cut_lineage(real.select("cid").join(classes.select("cid"), "cid", "left_anti"), "copies")
+    if is_small(copies, MAX_COPIES):
+        sets = sets.join(F.broadcast(copies), "cid", "left_anti")
+    else:
+        sets = cut_lineage(sets.join(classes.select("cid"), "cid", "left_semi"), "pools")
+    listed = entries(sets, percent)
+    # Only sets with an entry in some list can have a link, and only their texts are read again.
+    named = cut_lineage(classes.join(listed.select("cid").distinct(), "cid", "left_semi").select("rep", "cid", "n", "f1", "f2"), "listed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(broadcast_if_small(named), "rep")
     twice = real.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("rep"))
     twice = cut_lineage(twice, "twice")
     if not twice.isEmpty():
@@ -322,11 +350,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "text", si
         many = many.select("cid", "n", "text", "f1", "f2").mapInArrow(own, "cid long, n long, text string, f1 long, f2 long")
         many = many.groupBy("cid", "n").agg(F.min("text").alias("text"))
         texts = texts.join(broadcast_if_small(twice), "rep", "left_anti").select("cid", "n", "text").unionByName(many)
-    texts = texts.select("cid", "n", "text")
-    listed = entries(cut_lineage(_pools(texts, size, percent), "pools"), percent)
-    # Only sets with an entry in some list can have a link.
-    texts = texts.join(broadcast_if_small(cut_lineage(listed.select("cid").distinct(), "listed")), "cid", "left_semi")
-    texts = cut_lineage(texts, "texts")
+    texts = cut_lineage(texts.select("cid", "n", "text"), "texts")
     members = groups(listed, texts, size, percent)
     weights = classes.select("cid", "weight")
     inside = cut_lineage(derived(members, weights, percent), "derived")

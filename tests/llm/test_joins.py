@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import jaccard, negatives, repair
+from corpusflow.llm import jaccard, minhash, negatives, repair
 
 
 def words_of(text):
@@ -315,3 +315,18 @@ def test_large_components_stay_exact(spark):
 def test_hard_negatives_of_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert negatives.hard_negatives(negatives.prepared(empty), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_shingle_sets_equal_single_ones():
+    texts = [None, "", "one", "a b", "A b c", "a b c d a b c", " ".join(f"w{i % 50}" for i in range(400)), "x"]
+    for size in (1, 2, 3, 5):
+        values, sizes = minhash.shingle_sets(texts, size)
+        assert np.split(values, np.cumsum(sizes)[:-1])[3].tolist() == minhash.shingle_set("a b", size).tolist()
+        assert [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])] == [minhash.shingle_set(t, size).tolist() for t in texts]
+
+
+def test_jaccard_copies_left_out_by_a_shuffle(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_COPIES", 1)
+    rows = near_copies(11, 60)
+    got = jaccard.jaccard_join(documents(rows), 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_join(rows, 90)
