@@ -30,6 +30,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """Text whose words can be told apart by single bytes (``batches.words_of``).
+
+    ASCII stays as it is; in other texts each run of characters outside of words becomes a space.
+    """
+    is_ascii = F.octet_length(text) == F.length(text)
+    return F.when(is_ascii, text).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "))
+
+
 def _bigrams(token: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, F.lit(2))
@@ -39,13 +48,22 @@ def _bigrams(token: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Index tokens: case kept; runs of Han characters become overlapping bigrams."""
     plain = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    mixed = F.flatten(
+    return F.when(text.rlike(HAN), _mixed_tokens(text)).otherwise(plain)
+
+
+def spaced_index_tokens(text: Column) -> Column:
+    """``index_tokens`` as one text for ``batches.words_of``."""
+    is_han = (F.octet_length(text) > F.length(text)) & text.rlike(HAN)
+    return F.when(is_han, F.array_join(_mixed_tokens(text), " ")).otherwise(spaced(text))
+
+
+def _mixed_tokens(text: Column) -> Column:
+    return F.flatten(
         F.transform(
             F.regexp_extract_all(text, F.lit(HAN_OR_WORD), F.lit(0)),
             lambda t: F.when(t.rlike(HAN) & (F.length(t) > 1), _bigrams(t)).otherwise(F.array(t)),
         )
     )
-    return F.when(text.rlike(HAN), mixed).otherwise(plain)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -15,15 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, LongType, StructField, StructType
 
+from corpusflow.functions.batches import steps_of, words_of
 from corpusflow.functions.hashing import BITS, hamming
-from corpusflow.functions.text import words
+from corpusflow.functions.text import spaced
 from corpusflow.operators.components import TASK_EDGES, components
 from corpusflow.session import cut_lineage, is_small
 
 # A bucket of candidate signatures larger than this is divided by further bits.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 1000
 # More masks than this copy each signature too often; blocks of signatures are compared instead.
 MAX_MASKS = 128
 BLOCK_ROWS = 4096
@@ -31,12 +32,13 @@ BLOCK_ROWS = 4096
 HOT_ROWS = 1_000_000
 # Directories per mask of a stored band index.
 BAND_SHARES = 4
-# Words hashed together in a task; words remembered by a worker, and the longest of them.
+# Words counted, and words told apart, together in a task; words remembered by a worker, and the longest of them.
 STEP_WORDS = 50_000
+DICTIONARY_WORDS = 200_000
 KNOWN_WORDS = 200_000
 WORD_CHARS = 64
 # Rows whose words a task holds together.
-STEP_ROWS = 512
+STEP_ROWS = 4096
 
 
 def first_per_hash(files: DataFrame, key: str, file_hash: str = "file_hash") -> DataFrame:
@@ -69,44 +71,63 @@ def _bit_counts(tokens) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = tokens.flatten()
+    return _counts_of(tokens.flatten(), lengths), lengths
+
+
+def _counts_of(words, lengths: np.ndarray) -> np.ndarray:
+    """``_bit_counts`` of rows whose words follow each other in an Arrow array."""
     counts = np.zeros((len(lengths), BITS), np.int64)
     ends = np.cumsum(lengths)
-    row = 0
-    while row < len(lengths):
-        # Rows of about STEP_WORDS words together; a longer one by itself, in pieces.
-        begin = int(ends[row - 1]) if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, begin + STEP_WORDS, side="right")))
-        sizes = lengths[row:stop]
-        full = np.flatnonzero(sizes)
-        for start in range(begin, int(ends[stop - 1]), STEP_WORDS):
-            part = words.slice(start, min(STEP_WORDS, int(ends[stop - 1]) - start)).dictionary_encode()
-            known = b"".join(map(_DIGESTS.__getitem__, part.dictionary.to_numpy(zero_copy_only=False)))
-            bits = np.unpackbits(np.frombuffer(known, np.uint8).reshape(-1, 8), axis=1)[:, ::-1]
-            # Four counts of 16 bits share a number; STEP_WORDS words fit in them.
-            lanes = np.ascontiguousarray(bits, np.uint16).view(np.uint64)[part.indices.to_numpy()]
-            if stop == row + 1:
-                counts[row] += lanes.sum(axis=0, dtype=np.uint64).view(np.uint16)
-            else:
-                first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                counts[row + full] = np.add.reduceat(lanes, first, axis=0).view(np.uint16)
-        row = stop
-    return counts, lengths
-
-
-def _from_words(rows: DataFrame, key: str, text: str, name: str, kind: DataType, make: Callable) -> DataFrame:
-    """key and the column ``name`` that ``make`` (bit counts, numbers of words) gives; a task holds the words of a few rows."""
+    for begin in range(0, len(words), DICTIONARY_WORDS):
+        part = words.slice(begin, DICTIONARY_WORDS).dictionary_encode()
+        known = b"".join(map(_DIGESTS.__getitem__, part.dictionary.to_numpy(zero_copy_only=False)))
+        bits = np.unpackbits(np.frombuffer(known, np.uint8).reshape(-1, 8), axis=1)[:, ::-1]
+        # Four counts of 16 bits share a number; STEP_WORDS words fit in them.
+        lanes = np.ascontiguousarray(bits, np.uint16).view(np.uint64)
+        places = part.indices.to_numpy()
+        for at in range(0, len(places), STEP_WORDS):
+            step = lanes[places[at : at + STEP_WORDS]]
+            lo = begin + at
+            # Rows with words in the step; the first and the last may have more outside.
+            rows = np.arange(np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, lo + len(step)) + 1)
+            rows = rows[lengths[rows] > 0]
+            counts[rows] += np.add.reduceat(step, np.maximum(ends[rows] - lengths[rows] - lo, 0), axis=0).view(np.uint16)
+    return counts
+
+
+def _signatures(counts: np.ndarray):
+    """Signatures as an Arrow array: the bits whose component exceeds the mean of all."""
+    import pyarrow as pa
+
+    bits = (counts * BITS > counts.sum(axis=1, keepdims=True)).astype(np.uint8)
+    return pa.array(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel(), pa.int64())
+
+
+def _vectors(counts: np.ndarray, lengths: np.ndarray):
+    """Per row and bit, the share of words with the bit set less the share without, as an Arrow array of lists."""
+    import pyarrow as pa
+
+    shares = 2.0 * counts / np.maximum(lengths, 1)[:, None] - 1.0
+    shares[lengths == 0] = 0.0
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, shares.size + 1, BITS), pa.int32()), pa.array(shares.ravel()))
+
+
+def _from_words(rows: DataFrame, keep: list[str], text: str, fields: list[tuple[str, DataType]], make: Callable) -> DataFrame:
+    """The columns ``keep`` and the ``fields`` that ``make`` (bit counts, numbers of words) gives; a task holds the words of a few rows."""
+    n = len(keep)
 
     def made(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(start, STEP_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), make(*_bit_counts(part.column(1)))], [key, name])
+            for start, size in steps_of(batch.column(n), STEP_ROWS):
+                part = batch.slice(start, size)
+                words, lengths = words_of(part.column(n))
+                columns = make(_counts_of(words, lengths), lengths)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns], [*keep, *(name for name, _ in fields)])
 
-    tokens = rows.select(key, words(F.col(text)).alias("__words"))
-    return tokens.mapInArrow(made, StructType([tokens.schema[0], StructField(name, kind)]))
+    used = rows.select(*keep, spaced(F.lower(F.col(text))).alias("__words"))
+    return used.mapInArrow(made, StructType([*used.schema.fields[:n], *(StructField(*field) for field in fields)]))
 
 
 def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -117,32 +138,48 @@ def projected_signature(docs: DataFrame, key: str, text: str = "text") -> DataFr
     the signature is set when its component exceeds the mean. A text without
     words has signature 0. Each text is one row of a batch; no word is shuffled.
     """
+    return _from_words(docs, [key], text, [("signature", LongType())], lambda counts, _: [_signatures(counts)])
+
+
+def with_signature(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs``, ``signature`` as ``projected_signature`` gives it and ``word_bits``.
+
+    ``word_bits`` holds the word counts behind it for ``projected_vector``: the
+    number of words, then the number with each bit set, as unsigned 32-bit integers.
+    """
 
-    def signature(counts: np.ndarray, lengths: np.ndarray):
+    def columns(counts: np.ndarray, lengths: np.ndarray) -> list:
         import pyarrow as pa
 
-        # Bits whose component exceeds the mean of all.
-        bits = (counts * BITS > counts.sum(axis=1, keepdims=True)).astype(np.uint8)
-        return pa.array(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel(), pa.int64())
+        held = np.concatenate([lengths[:, None], counts], axis=1).astype("<u4")
+        ends = np.arange(len(lengths) + 1, dtype=np.int32) * np.int32(4 * (BITS + 1))
+        return [_signatures(counts), pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(held)])]
 
-    return _from_words(docs, key, text, "signature", LongType(), signature)
+    return _from_words(docs, docs.columns, text, [("signature", LongType()), ("word_bits", BinaryType())], columns)
 
 
 def projected_vector(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, embedding: the vector behind ``projected_signature``, per word, as an embedder that needs no model.
 
     Component i is the share of words whose hash has bit i set, less the share
-    without. A text without words is the zero vector.
+    without. A text without words is the zero vector. Rows from ``with_signature``
+    have their words counted already.
     """
+    kind = ArrayType(DoubleType())
+    if "word_bits" not in chunks.columns:
+        return _from_words(chunks, [key], text, [("embedding", kind)], lambda counts, lengths: [_vectors(counts, lengths)])
 
-    def vector(counts: np.ndarray, lengths: np.ndarray):
+    def counted(batches):
         import pyarrow as pa
 
-        shares = 2.0 * counts / np.maximum(lengths, 1)[:, None] - 1.0
-        shares[lengths == 0] = 0.0
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, shares.size + 1, BITS), pa.int32()), pa.array(shares.ravel()))
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(start, STEP_ROWS)
+                held = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(-1, BITS + 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), _vectors(held[:, 1:], held[:, 0])], [key, "embedding"])
 
-    return _from_words(chunks, key, text, "embedding", ArrayType(DoubleType()), vector)
+    used = chunks.select(key, "word_bits")
+    return used.mapInArrow(counted, StructType([used.schema[0], StructField("embedding", kind)]))
 
 
 def _signed(mask: int) -> int:
@@ -160,10 +197,12 @@ def start_masks(n_rows: int, d: int) -> list[int]:
 
     With the bits in m blocks, d differing bits leave m - d blocks untouched, so
     every choice of m - d blocks is one mask. More blocks give wider masks; the
-    smallest m is taken whose masks tell that many rows apart.
+    smallest m is taken whose masks have a part for each of that many rows.
+    Signatures of texts are far from evenly spread, so fewer parts would leave
+    many rows, and the square of them in pairs, to a part.
     """
     for m in range(d + 1, d + 5):
-        if (m - d) * BITS / m >= min(n_rows, 1 << 40).bit_length() - 4:
+        if (m - d) * BITS / m >= min(n_rows, 1 << 40).bit_length():
             break
     blocks = _groups(list(range(BITS)), m)
     return [sum(chosen) for chosen in combinations(blocks, m - d)]
@@ -256,21 +295,17 @@ def close_pairs(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS, max_mas
     """
     if comb(d + 4, d) > max_masks:
         pairs = _block_pairs(signatures, d)
-        a, b = (signatures.select(F.col("ord").alias(f"ord_{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-        rows = pairs.join(a, "sig_a").join(b, "sig_b")
-        distance = hamming(F.col("sig_a"), F.col("sig_b"))
-        return rows.select(
-            F.least("ord_a", "ord_b").alias("first"), F.greatest("ord_a", "ord_b").alias("second"), distance.alias("distance")
-        )
-    buckets = candidate_buckets(signatures, d, limit)
-    a = buckets.select("mask", "part", F.col("ord").alias("first"), F.col("signature").alias("sig_a"))
-    b = buckets.select("mask", "part", F.col("ord").alias("second"), F.col("signature").alias("sig_b"))
+    else:
+        # Only signatures are copied into buckets; the few pairs found get their rows afterwards.
+        buckets = candidate_buckets(signatures.select("signature"), d, limit)
+        a, b = (buckets.select("mask", "part", F.col("signature").alias(f"sig_{x}")) for x in "ab")
+        close = (F.col("sig_a") < F.col("sig_b")) & (hamming(F.col("sig_a"), F.col("sig_b")) <= d)
+        pairs = cut_lineage(a.join(b, ["mask", "part"]).filter(close).select("sig_a", "sig_b").distinct(), "pairs")
+    a, b = (signatures.select(F.col("ord").alias(f"ord_{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    rows = pairs.join(a, "sig_a").join(b, "sig_b")
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
-    return (
-        a.join(b, ["mask", "part"])
-        .filter((F.col("first") < F.col("second")) & (distance <= d))
-        .select("first", "second", distance.alias("distance"))
-        .dropDuplicates(["first", "second"])
+    return rows.select(
+        F.least("ord_a", "ord_b").alias("first"), F.greatest("ord_a", "ord_b").alias("second"), distance.alias("distance")
     )
 
 

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from corpusflow.functions.text import index_tokens, term_counts
+from corpusflow.functions.batches import steps_of, words_of
+from corpusflow.functions.text import index_tokens, spaced_index_tokens, term_counts
 from corpusflow.options import DEFAULTS, Options
 from corpusflow.session import cut_lineage, is_small, stable
 
@@ -49,6 +50,8 @@ def build_documents(
     chunks: DataFrame, key: str, text: str, tokenizer: Callable[[Column], Column] = index_tokens
 ) -> DataFrame:
     """chunk_key, len, runs (array of term and tf) for every chunk that is not blank."""
+    # The usual tokens travel as one text a row, others as an array.
+    tokenizer = spaced_index_tokens if tokenizer is index_tokens else tokenizer
     tokens = (
         chunks.filter(F.col(text).rlike(r"[^\s\p{Z}]"))
         .select(F.col(key).alias("chunk_key"), tokenizer(F.col(text)).alias("tokens"))
@@ -68,10 +71,16 @@ def _counted(batches):
     import pyarrow.compute as pc
 
     for batch in batches:
-        for start in range(0, batch.num_rows, COUNT_DOCS):
-            part = batch.slice(start, COUNT_DOCS)
-            lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            held = part.column(1).flatten().dictionary_encode(null_encoding="encode")
+        listed = pa.types.is_list(batch.schema.types[1])
+        ranges = ((at, COUNT_DOCS) for at in range(0, batch.num_rows, COUNT_DOCS)) if listed else steps_of(batch.column(1), COUNT_DOCS)
+        for start, n in ranges:
+            part = batch.slice(start, n)
+            if listed:
+                lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens = part.column(1).flatten()
+            else:
+                tokens, lengths = words_of(part.column(1))
+            held = tokens.dictionary_encode(null_encoding="encode")
             order = pc.array_sort_indices(held.dictionary, null_placement="at_start").to_numpy().astype(np.int64)
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))

@@ -143,17 +143,19 @@ def ingest(corpus: Corpus, docs: DataFrame, batch: int, options: Options = DEFAU
     """
     corpus.begin(batch)
     d = max_hamming(options.similarity_threshold)
-    files = docs.select("doc_id", "source", clean_text(F.col("text")).alias("text")).withColumn(
-        "file_hash", file_hash(F.col("text"))
-    )
+    # Texts are cleaned and hashed once, and their words counted once for signatures and vectors.
+    files = docs.select("doc_id", "source", clean_text(F.col("text")).alias("text")).withColumn("file_hash", file_hash(F.col("text")))
+    files = cut_lineage(files, "files")
     # Cheap test first: only files that are new reach the chunker.
     fresh = cut_lineage(dedup.new_files(files, corpus.before("registry", batch), "doc_id"), "fresh")
     kept = files.join(broadcast_if_small(fresh.select("doc_id")), "doc_id", "left_semi")
-    chunks = chunking.chunk_documents(kept, options, keep=["file_hash"])
+    chunks = dedup.with_signature(chunking.chunk_documents(kept, options, keep=["file_hash"]))
     number = F.col("doc_id"), F.col("chunk_idx")
     chunks = cut_lineage(chunks.withColumns({"chunk_key": corpus.number(*number), "ord": dedup.chunk_ordinal(*number)}), "chunks")
-    signatures = cut_lineage(dedup.projected_signature(chunks, "ord"), "signatures")
-    if dedup.band_masks(d):
+    signatures, chunks = chunks.select("ord", "signature"), chunks.drop("signature")
+    if not [b for b in corpus.visible() if b != batch]:
+        seen = None
+    elif dedup.band_masks(d):
         seen = lambda rows: dedup.close_to_bands(rows, corpus.before("bands", batch), d)
     else:
         seen = corpus.before("signatures", batch)

@@ -98,3 +98,22 @@ def test_results_of_a_batch_leave_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
     got = batches.exploded(df, ["doc_id"], "text", lambda t: enumerate(t.split()), [("n", "int"), ("word", "string")]).collect()
     assert [tuple(r) for r in got] == [(i, n, w) for i, _, t in rows if t for n, w in enumerate(t.split())]
+
+
+def test_windows_by_search_equal_windows_piece_by_piece():
+    def by_piece(cuts, size, overlap):
+        pieces, out, first = list(zip(cuts, cuts[1:])), [], 0
+        for i, (a, b) in enumerate(pieces):
+            if i > first and b - pieces[first][0] > size:
+                out.append((pieces[first][0], a))
+                while first < i and (a - pieces[first][0] > overlap or b - pieces[first][0] > size):
+                    first += 1
+        return [*out, (pieces[first][0], pieces[-1][1])] if pieces else out
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        size, overlap = rng.randrange(2, 30), rng.randrange(0, 30)
+        cuts = [0]
+        for _ in range(rng.randrange(0, 40)):
+            cuts.append(cuts[-1] + rng.randrange(1, size))
+        assert chunking._windows(cuts, size, overlap) == by_piece(cuts, size, overlap)

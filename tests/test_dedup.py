@@ -127,3 +127,40 @@ def test_bit_counts_equal_a_count_by_hand(monkeypatch):
     for row, got in zip(rows, counts.tolist()):
         hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in row or []]
         assert got == [sum(h >> i & 1 for h in hashes) for i in range(64)]
+
+
+def test_words_cut_out_by_bytes_are_the_words_of_the_pattern(spark):
+    """Texts of any script, blank ones, neighbours that end and begin with words, and slices of an array."""
+    from corpusflow.functions import batches, text
+
+    rows = [None, "", "a", "b c", "_x-9 y", " Straße ÉTÉ—Ünïcode x", "漢字kanji 漢", "KK İx", "٣ ½ áb", "!?", "tail", "\U0001f600z\U00020000"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "k long, text string").coalesce(1)
+    lowered = F.lower(F.col("text"))
+    pairs = [(text.words(F.col("text")), text.spaced(lowered)), (text.index_tokens(F.col("text")), text.spaced_index_tokens(F.col("text")))]
+    for listed, joined in pairs:
+        got = frame.select(listed.alias("a"), joined.alias("b")).toArrow()
+        want = [x or [] for x in got.column(0).to_pylist()]
+        whole = got.column(1).combine_chunks()
+        for part, rest in ((whole, want), (whole.slice(2, 7), want[2:9]), (whole.slice(0, 0), [])):
+            words, lengths = batches.words_of(part)
+            assert lengths.tolist() == [len(x) for x in rest]
+            assert words.to_pylist() == [w for x in rest for w in x]
+
+
+def test_vectors_from_counts_made_with_the_signatures(spark):
+    rows = [(1, "a b c a", 7), (2, "", 8), (3, "x " * 300, 9), (4, None, 1)]
+    frame = spark.createDataFrame(rows, "k long, text string, more long")
+    once = dedup.with_signature(frame)
+    assert once.columns == ["k", "text", "more", "signature", "word_bits"]
+    assert {(r.k, r.more, r.signature) for r in once.collect()} == {
+        (r.k, r.more, r.signature) for r in dedup.projected_signature(frame, "k").join(frame, "k").collect()
+    }
+    # Without the text nothing can be counted again.
+    got = {r.k: r.embedding for r in dedup.projected_vector(once.drop("text"), "k").collect()}
+    assert got == {r.k: r.embedding for r in dedup.projected_vector(frame, "k").collect()}
+
+
+@pytest.mark.parametrize("n", [400_000, 24_000_000])
+def test_masks_tell_all_rows_apart(n):
+    """Fewer parts than rows leave a number of pairs a row that grows with the table."""
+    assert all(bin(m).count("1") >= n.bit_length() for m in dedup.start_masks(n, 3))

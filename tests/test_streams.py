@@ -151,3 +151,15 @@ def test_a_window_of_several_batches_is_one_row(spark, tmp_path):
     rows = catalog_streams.collected(spark, jobs.service_metrics(stream, delay="100 days"), "metrics", "update", "window_start").collect()
     want = {r.w: r.n for r in events.groupBy(F.window("ts", "1 minute").start.alias("w")).agg(F.count("*").alias("n")).collect()}
     assert len(rows) == len(want) and {r.window_start: r.n for r in rows} == want
+
+
+def test_first_batch_of_a_corpus_looks_up_no_stored_signatures(spark, tmp_path, monkeypatch):
+    asked = []
+    find = dedup.close_to_bands
+    monkeypatch.setattr(dedup, "close_to_bands", lambda *args: asked.append(args) or find(*args))
+    docs = spark.createDataFrame([(i, "s", f"words of text {i}") for i in range(4)], "doc_id long, source string, text string")
+    corpus = Corpus(spark, str(tmp_path / "corpus"))
+    ingest(corpus, docs.filter("doc_id < 2"), 0)
+    assert not asked
+    ingest(corpus, docs, 1)
+    assert asked and corpus.read("registry").count() == 4
