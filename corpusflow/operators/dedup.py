@@ -300,7 +300,9 @@ def close_pairs(signatures: DataFrame, d: int, limit: int = BUCKET_ROWS, max_mas
         buckets = candidate_buckets(signatures.select("signature"), d, limit)
         a, b = (buckets.select("mask", "part", F.col("signature").alias(f"sig_{x}")) for x in "ab")
         close = (F.col("sig_a") < F.col("sig_b")) & (hamming(F.col("sig_a"), F.col("sig_b")) <= d)
-        pairs = cut_lineage(a.join(b, ["mask", "part"]).filter(close).select("sig_a", "sig_b").distinct(), "pairs")
+        # The planner sees the size before the copies; a side is never small enough to broadcast because of that.
+        met = a.join(b.hint("merge"), ["mask", "part"])
+        pairs = cut_lineage(met.filter(close).select("sig_a", "sig_b").distinct(), "pairs")
     a, b = (signatures.select(F.col("ord").alias(f"ord_{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     rows = pairs.join(a, "sig_a").join(b, "sig_b")
     distance = hamming(F.col("sig_a"), F.col("sig_b"))
