@@ -10,13 +10,13 @@ inside the leader's group follow from the differences alone.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import graph
 from corpusflow.llm.minhash import shingle_set, shingle_sets
 from corpusflow.operators.dedup import join_hot
-from corpusflow.session import broadcast_if_small, cut_lineage, is_small
+from corpusflow.session import broadcast_if_small, cut_lineage, empty_copy, is_small, scratch_path
 
 SIZE = 3
 PERCENT = 90
@@ -28,6 +28,11 @@ ROUNDS = 3
 BLOCK = 256
 #: Shingles with a hash below this are counted and come first in the order, the rarest in front.
 POOL = 1 << 63
+#: Low bits of their hashes that do not travel: shingles that then look alike share a list, which adds entries and loses none.
+UNUSED_BITS = 16
+#: One set of so many is looked at for shingles that very many sets hold, and from so many sets on a shingle is counted apart.
+SAMPLE = 64
+HOT_SETS = 100_000
 #: Texts whose sets a task makes together.
 SLICE = 512
 #: Copies (numbers of 8 bytes) that are left out of the sets by a broadcast; more are left out by a shuffle.
@@ -67,7 +72,7 @@ def signed(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
 
     The pool is the shingles below POOL; the tail is those of the others that the
     prefix needs when the pool is too small. The sets of a text are made here and
-    not again.
+    not again. Pooled hashes are without their UNUSED_BITS.
     """
 
     def sign(batches):
@@ -86,7 +91,7 @@ def signed(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 tail = ~pool & (place < np.repeat(_prefix(sizes, percent), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *map(pa.array, (sizes, f1, f2)), lists(values, pool, sizes), lists(values, tail, sizes)],
+                    [part.column(0), *map(pa.array, (sizes, f1, f2)), lists(values >> np.uint64(UNUSED_BITS), pool, sizes), lists(values, tail, sizes)],
                     ["doc_id", "n_shingles", "f1", "f2", "pool", "tail"],
                 )
 
@@ -100,6 +105,24 @@ def _pools(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return sets.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), "pool", "tail")
 
 
+def _shared(pooled: DataFrame) -> DataFrame:
+    """cid, e, df: the rows of ``pooled`` (cid, e) whose shingle has other rows, with their number.
+
+    Rows are shuffled once, by shingle, and counted where they meet. Shingles
+    that a sample shows in very many sets are counted apart, by partial sums, so
+    their rows stay where they are.
+    """
+    sample = pooled.filter(F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0)
+    hot = cut_lineage(sample.groupBy("e").count().filter(F.col("count") * SAMPLE >= HOT_SETS).select("e"), "hot")
+    by_shingle = Window.partitionBy("e")
+    if hot.isEmpty() or not is_small(hot):
+        return pooled.withColumn("df", F.count("*").over(by_shingle)).filter("df > 1")
+    counts = pooled.join(F.broadcast(hot), "e").groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    counts = F.broadcast(cut_lineage(counts, "counts"))
+    cold = pooled.join(F.broadcast(hot), "e", "left_anti").withColumn("df", F.count("*").over(by_shingle)).filter("df > 1")
+    return pooled.join(counts, "e").select("cid", "e", "df").unionByName(cold)
+
+
 def entries(sets: DataFrame, percent: int) -> DataFrame:
     """cid, n, e, pos: the prefix of every set in the common order, where a list has another entry.
 
@@ -107,9 +130,7 @@ def entries(sets: DataFrame, percent: int) -> DataFrame:
     others. Shingles that one set alone holds come first and are only counted
     there, so a set with enough of its own has no entry at all.
     """
-    pooled = sets.select("cid", F.explode("pool").alias("e"))
-    counts = pooled.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
-    common = join_hot(pooled, cut_lineage(counts, "counts"), "e", "df")
+    common = _shared(sets.select("cid", F.explode("pool").alias("e")))
     held = common.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("common"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rows = sets.select("cid", "n", F.size("pool").cast("long").alias("pool"), "tail").join(held, "cid", "left")
@@ -317,20 +338,27 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "text", si
     same text count as copies; a doc_id with several texts has several rows, each
     with the component of its text. An empty table gives no rows.
     """
-    base = cut_lineage(signed(docs, text, size, percent).withColumn("cid", F.monotonically_increasing_id()), "signed")
-    real = base.filter("n_shingles > 0 and doc_id is not null")
+    path = scratch_path(docs.sparkSession, "signed")
+    whole = cut_lineage(signed(docs, text, size, percent).withColumn("cid", F.monotonically_increasing_id()), path=path)
+    base = cut_lineage(whole.drop("pool", "tail"), "signatures")
+    held = "n_shingles > 0 and doc_id is not null"
+    real = base.filter(held)
     # The number of any of its rows stands for a set.
     classes = real.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("rep"), F.min("cid").alias("cid"), F.count("*").alias("weight")
     )
     classes = cut_lineage(classes, "classes")
-    sets = real.select("cid", F.col("n_shingles").alias("n"), "pool", "tail")
+    sets = whole.filter(held).select("cid", F.col("n_shingles").alias("n"), "pool", "tail")
     copies = cut_lineage(real.select("cid").join(classes.select("cid"), "cid", "left_anti"), "copies")
+    pools = None
     if is_small(copies, MAX_COPIES):
         sets = sets.join(F.broadcast(copies), "cid", "left_anti")
     else:
-        sets = cut_lineage(sets.join(classes.select("cid"), "cid", "left_semi"), "pools")
+        pools = scratch_path(docs.sparkSession, "pools")
+        sets = cut_lineage(sets.join(classes.select("cid"), "cid", "left_semi"), path=pools)
+        empty_copy(whole, path)
     listed = entries(sets, percent)
+    empty_copy(sets, pools) if pools else empty_copy(whole, path)
     # Only sets with an entry in some list can have a link, and only their texts are read again.
     named = cut_lineage(classes.join(listed.select("cid").distinct(), "cid", "left_semi").select("rep", "cid", "n", "f1", "f2"), "listed")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(broadcast_if_small(named), "rep")

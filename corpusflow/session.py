@@ -49,17 +49,25 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_folder(os.path.join(shared_dir(spark), f"corpusflow-{spark.sparkContext.applicationId}"))
 
 
-def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path`` there, and read it back.
 
     The copy survives the loss of executors, is computed once, and gives the
     planner real sizes for the joins that follow.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty_copy(copy: DataFrame, path: str) -> None:
+    """Give back the space of a large copy of ``cut_lineage`` that nothing reads any more.
+
+    Spark overwrites it with no rows, so this works wherever Spark can write.
+    """
+    copy.sparkSession.createDataFrame([], copy.schema).write.mode("overwrite").parquet(path)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Rough in-memory size of one row."""
     size = F.lit(0).cast("long")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow import session
 from corpusflow.llm import jaccard, minhash, negatives, repair
 
 
@@ -330,3 +331,45 @@ def test_jaccard_copies_left_out_by_a_shuffle(spark, documents, monkeypatch):
     rows = near_copies(11, 60)
     got = jaccard.jaccard_join(documents(rows), 90).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_join(rows, 90)
+
+
+def test_jaccard_shuffles_pooled_shingles_once(spark, documents, monkeypatch):
+    """Shingles are counted where they meet; there is no shuffle for counts and another for rows."""
+    plans, cut = [], jaccard.cut_lineage
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *args, **kwargs)
+
+    monkeypatch.setattr(jaccard, "cut_lineage", seen)
+    sets = cut(jaccard._pools(documents(near_copies(3, 60)).select(F.col("doc_id").alias("cid"), "text"), 3, 90), "sets")
+    jaccard.entries(sets, 90)
+    whole = [p for p in plans if "explode(pool" in p and "pmod(xxhash64" not in p]
+    assert sum(p.count("explode(pool") for p in whole) == 1
+
+
+def test_jaccard_hot_shingles_and_short_hashes(spark, documents, monkeypatch):
+    """Shingles counted apart, and hashes so short that most of them look alike, change no result."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "HOT_SETS", 8)
+    monkeypatch.setattr(jaccard, "UNUSED_BITS", 58)
+    rows = near_copies(21, 90)
+    got = jaccard.jaccard_join(documents(rows), 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_join(rows, 90)
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_jaccard_gives_back_the_space_of_its_sets(spark, documents, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_COPIES", copies)
+    written, path_of = [], session.scratch_path
+
+    def named(spark, label):
+        written.append(path_of(spark, label))
+        return written[-1]
+
+    monkeypatch.setattr(session, "scratch_path", named)
+    monkeypatch.setattr(jaccard, "scratch_path", named, raising=False)
+    got = jaccard.jaccard_join(documents(near_copies(4, 60)), 90)
+    pools = [t for t in map(spark.read.parquet, written) if "pool" in t.columns]
+    assert pools and all(t.isEmpty() for t in pools)
+    assert got.count() == 60
