@@ -350,15 +350,15 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "text", si
     classes = cut_lineage(classes, "classes")
     sets = whole.filter(held).select("cid", F.col("n_shingles").alias("n"), "pool", "tail")
     copies = cut_lineage(real.select("cid").join(classes.select("cid"), "cid", "left_anti"), "copies")
-    pools = None
     if is_small(copies, MAX_COPIES):
         sets = sets.join(F.broadcast(copies), "cid", "left_anti")
     else:
         pools = scratch_path(docs.sparkSession, "pools")
         sets = cut_lineage(sets.join(classes.select("cid"), "cid", "left_semi"), path=pools)
         empty_copy(whole, path)
+        whole, path = sets, pools
     listed = entries(sets, percent)
-    empty_copy(sets, pools) if pools else empty_copy(whole, path)
+    empty_copy(whole, path)
     # Only sets with an entry in some list can have a link, and only their texts are read again.
     named = cut_lineage(classes.join(listed.select("cid").distinct(), "cid", "left_semi").select("rep", "cid", "n", "f1", "f2"), "listed")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(broadcast_if_small(named), "rep")
