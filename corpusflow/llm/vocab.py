@@ -2,7 +2,9 @@
 
 A text is cut at single spaces into pieces that the tokenizer treats
 independently, and the ids of a piece are remembered, so that a repeated word
-costs one dictionary look-up. Why the cut is safe:
+costs one dictionary look-up. With a word-end vocabulary the words of a whole
+text are merged in one call instead (see ``Words``), which costs less than the
+look-ups. Why the cut is safe:
 
 * word-end BPE (white space dropped): no pre-token contains white space, so
   every space separates.
@@ -35,6 +37,13 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: Fixed value: the pre-token pattern of the word-end vocabulary.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The pre-tokens of lower-cased ASCII text that are no runs of letters, and its white space: they begin with one
+#: character of a class, so that a search skips letters and spaces without trying anything else there.
+_ASCII_MARKS = re.compile(
+    r"[^a-z ](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<=[^\t-\r0-9])[^\t-\r a-z0-9]*|)", re.ASCII
+)
+#: Stands for a piece beyond ASCII while the pieces around it are taken apart; texts that hold it go another way.
+_PLACE = "\x00"
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 _CLEAR_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -92,44 +101,123 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def merger(tokenizer) -> Callable[[str], list[int]]:
-    """Ids of one normalised pre-token, merged as the tokenizer's file says.
+def rank_table(tokenizer) -> tuple[dict[bytes, int], bytes] | None:
+    """Ranks by the bytes of a token, and the closing byte of a word, if ranks merge as the tokenizer's file says.
 
     Where the merges of the file make tokens in ascending order of their ids
-    (checked here), a rank table says the same as the list of merges, and a
-    byte-pair encoder for rank tables is used: it has less overhead per word. A
-    word-end suffix becomes a closing byte that no UTF-8 text holds. Any other
-    file is left to the tokenizer itself.
+    (checked here), a rank table says the same as the list of merges. A
+    word-end suffix becomes a closing space, which no pre-token of a word-end
+    vocabulary holds; without a suffix nothing closes a word. Any other file has
+    no such table.
     """
     import json
 
-    import tiktoken
-
     model = json.loads(tokenizer.to_str())["model"]
     suffix, vocabulary = model.get("end_of_word_suffix") or "", model["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     # The suffix ends the right side of a pair.
     made = [vocabulary.get(a + b, -1) for a, b in pairs]
     alphabet = byte_alphabet()
+    closing = b" " if suffix else b""
     ranks: dict[bytes, int] = {}
+    spaced = False
     for token, number in vocabulary.items():
         body = token[: len(token) - len(suffix)] if suffix and token.endswith(suffix) else token
         if body and all(c in alphabet for c in body):
-            ranks[bytes(alphabet[c] for c in body) + (b"\xff" if body != token else b"")] = number
-    singles = [bytes([b]) for b in range(256)] + ([bytes([b, 255]) for b in range(256)] if suffix else [])
+            raw = bytes(alphabet[c] for c in body)
+            spaced = spaced or (len(raw) > 1 and b" " in raw)
+            ranks[raw + (closing if body != token else b"")] = number
+    singles = [bytes([b]) for b in range(256)] + ([bytes([b]) + closing for b in range(256)] if suffix else [])
     plain = (
         all(x < y for x, y in zip(made, made[1:]))
         and all(s in ranks and ranks[s] < made[0] for s in singles)
+        and not (suffix and spaced)
         and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
     )
-    if not plain:
+    return (ranks, closing) if plain else None
+
+
+def merger(tokenizer, table: tuple[dict[bytes, int], bytes] | None) -> Callable[[str], list[int]]:
+    """Ids of one normalised pre-token, merged as the tokenizer's file says.
+
+    With its rank table a byte-pair encoder for such tables is used: it has less
+    overhead per word. Any other file is left to the tokenizer itself.
+    """
+    import tiktoken
+
+    if table is None:
         return lambda token: tokenizer.encode(token, add_special_tokens=False).ids
+    ranks, closing = table
     encoder = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    closing = b"\xff" if suffix else b""
     return lambda token: encoder._encode_single_piece(token.encode("utf-8") + closing)
 
 
-class Pieces(dict):
+class Remembered(dict):
+    """Values by piece of text, bounded in bytes: emptied when full."""
+
+    held = 0
+
+    def keep(self, key: str, value) -> None:
+        if len(key) <= REMEMBERED_LENGTH:
+            size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY
+            if self.held + size > REMEMBERED_BYTES:
+                self.clear()
+            self[key] = value
+            self.held += size
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+class Words(Remembered):
+    """Ids of whole texts for word-end vocabularies: a text's pre-tokens, a space after each, are merged in one call.
+
+    White space separates pre-tokens and is dropped, so the texts between two
+    spaces are taken apart on their own: those of ASCII together, the others one
+    by one by the tokenizer's normaliser, which are remembered (piece -> its
+    pre-tokens, joined by spaces).
+    """
+
+    def __init__(self, tokenizer, ranks: dict[bytes, int]):
+        super().__init__()
+        import regex
+        import tiktoken
+
+        self.normalise = tokenizer.normalizer.normalize_str
+        self.split = regex.compile(WORD_END_PATTERN).findall
+        # Words are merged with the space behind them; the special string never comes up, for none is asked for.
+        self.encoder = tiktoken.Encoding(
+            "words", pat_str=r"[^\t-\r ]+ ", mergeable_ranks=ranks, special_tokens={"  ": max(ranks.values()) + 1}
+        )
+
+    def __missing__(self, piece: str) -> str:
+        value = " ".join(self.split(self.normalise(piece)))
+        self.keep(piece, value)
+        return value
+
+    def spaced(self, text: str) -> str:
+        """The pre-tokens of a text with spaces (or other ASCII white space of the text) between them."""
+        if text.isascii():
+            return _ASCII_MARKS.sub(r" \g<0> ", text.lower())
+        pieces = text.split(" ")
+        if _PLACE in text:
+            return " ".join(map(self.__getitem__, pieces))
+        # ASCII pieces are taken apart with a mark in each place of another, which then goes between them.
+        odd = [p for p in pieces if not p.isascii()]
+        marked = " ".join([p if p.isascii() else _PLACE for p in pieces])
+        out = [""] * (2 * len(odd) + 1)
+        out[::2] = self.spaced(marked).split(_PLACE)
+        out[1::2] = map(self.__getitem__, odd)
+        return "".join(out)
+
+    def packed(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        ids = self.encoder.encode_to_numpy(self.spaced(text) + " ", allowed_special=set(), disallowed_special=())
+        return ids.astype("<u4", copy=False).tobytes()
+
+
+class Pieces(Remembered):
     """Piece of text -> value of its ids, filled on demand by ``make(ids)``.
 
     Pre-tokens that are whole tokens are answered from the proven table; only
@@ -142,11 +230,12 @@ class Pieces(dict):
 
         self.tokenizer, self.make = load(name), make
         self.spaced = keeps_spaces(self.tokenizer)
-        self.merge = merger(self.tokenizer)
+        table = rank_table(self.tokenizer)
+        self.merge = merger(self.tokenizer, table)
         self.whole = whole_tokens(self.tokenizer) if self.spaced else {}
         self.split = regex.compile(BYTE_LEVEL_PATTERN if self.spaced else WORD_END_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.held = 0
+        self.words = Words(self.tokenizer, table[0]) if table and table[1] and not self.spaced else None
 
     def ids(self, piece: str) -> list[int]:
         for special in self.special:
@@ -178,17 +267,13 @@ class Pieces(dict):
         else:
             piece = key[1:] if key[:1] == " " else " " + key
         value = self.make(self.ids(piece))
-        if len(key) <= REMEMBERED_LENGTH:
-            size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY
-            if self.held + size > REMEMBERED_BYTES:
-                self.clear()
-            self[key] = value
-            self.held += size
+        self.keep(key, value)
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.held = 0
+        if self.words is not None:
+            self.words.clear()
 
     def of(self, text: str) -> Iterable:
         """Values of the pieces of a whole text, in order."""
@@ -235,5 +320,9 @@ def piece_ids(name: str) -> Pieces:
 
 def encode_bytes(name: str, text: str | None, end_id: int | None = None) -> bytes:
     """Ids of one text as little-endian unsigned 32-bit integers, ``end_id`` last."""
-    body = b"".join(piece_ids(name).of(text or ""))
+    pieces = piece_ids(name)
+    if text and pieces.words is not None and not any(special in text for special in pieces.special):
+        body = pieces.words.packed(text)
+    else:
+        body = b"".join(pieces.of(text or ""))
     return body if end_id is None else body + _packed([end_id])

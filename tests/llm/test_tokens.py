@@ -29,6 +29,37 @@ def test_ids_of_odd_texts(name):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_a_text_are_merged_in_one_call(monkeypatch):
+    """New words of whole texts cost no call each; ids stay those of the library."""
+    name = "word_bpe_49k.json"
+    tokenizer, pieces = vocab.load(name), vocab.piece_ids(name)
+    monkeypatch.setattr(pieces, "merge", None)
+    calls = []
+    merged = pieces.words.packed
+    monkeypatch.setattr(pieces.words, "packed", lambda text: calls.append(text) or merged(text))
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZéß日"
+    marks = [
+        "", ".", ",", "'s", "'ll", "'", "1's", "12", ".'s", "…'s", "\n", "\x00", "\u3000", "\x85", "\x1c", "_", "J\u030c", "I\u0307",
+        " \u0301", "Σ", "½", "\r\n'", "\t", " ", "  ", "\u212a", "🙂",
+    ]
+    for _ in range(1500):
+        text = " ".join("".join(rng.choices(letters, k=rng.randrange(9))) + "".join(rng.choices(marks, k=2)) for _ in range(12))
+        got = np.frombuffer(vocab.encode_bytes(name, text), "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert calls.pop() == text and not calls
+
+
+def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
+    name, rng = "word_bpe_49k.json", random.Random(8)
+    tokenizer, words = vocab.load(name), vocab.Pieces(name, vocab._packed).words
+    monkeypatch.setattr(vocab, "REMEMBERED_BYTES", 20_000)
+    for n in range(50):
+        text = " ".join(f"wörd{rng.randrange(5_000)} plain{n} " + "é" * rng.choice([1, 3_000]) for _ in range(40))
+        assert words.packed(text) == vocab._packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.items()) <= words.held <= 20_000
+
+
 def test_whole_tokens_are_proven():
     tokenizer = vocab.load("byte_bpe_50k.json")
     table = vocab.whole_tokens(tokenizer)
