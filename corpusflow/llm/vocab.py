@@ -2,9 +2,9 @@
 
 A text is cut at single spaces into pieces that the tokenizer treats
 independently, and the ids of a piece are remembered, so that a repeated word
-costs one dictionary look-up. With a word-end vocabulary the words of a whole
-text are merged in one call instead (see ``Words``), which costs less than the
-look-ups. Why the cut is safe:
+costs one dictionary look-up. Where ids and not only their number are wanted, the
+words of a whole text are merged in one call instead (see ``Words`` and
+``Spans``), which costs less than the look-ups. Why the cut is safe:
 
 * word-end BPE (white space dropped): no pre-token contains white space, so
   every space separates.
@@ -44,6 +44,10 @@ _ASCII_MARKS = re.compile(
 )
 #: Stands for a piece beyond ASCII while the pieces around it are taken apart; texts that hold it go another way.
 _PLACE = "\x00"
+#: A call costs more than the look-ups of a text with fewer characters.
+_SHORT_TEXT = 32
+#: So much white space in a row is left to the way by pieces: the pattern of pre-tokens tries it again and again.
+_LONG_SPACE = re.compile(r"\s{500}")
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 _CLEAR_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -170,6 +174,27 @@ class Remembered(dict):
         self.held = 0
 
 
+class Spans:
+    """Ids of whole texts for byte-level vocabularies: a text's pre-tokens are found and merged in one call."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        # The special string is never found: none is asked for.
+        special = {"<|none|>": max(ranks.values()) + 1}
+        self.encoder = tiktoken.Encoding("spans", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def takes(self, text: str) -> bool:
+        return len(text) >= _SHORT_TEXT and not _LONG_SPACE.search(text)
+
+    def packed(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        return self.encoder.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def clear(self) -> None:
+        """Nothing is remembered."""
+
+
 class Words(Remembered):
     """Ids of whole texts for word-end vocabularies: a text's pre-tokens, a space after each, are merged in one call.
 
@@ -196,6 +221,9 @@ class Words(Remembered):
         self.keep(piece, value)
         return value
 
+    def takes(self, text: str) -> bool:
+        return True
+
     def spaced(self, text: str) -> str:
         """The pre-tokens of a text with spaces (or other ASCII white space of the text) between them."""
         if text.isascii():
@@ -235,7 +263,11 @@ class Pieces(Remembered):
         self.whole = whole_tokens(self.tokenizer) if self.spaced else {}
         self.split = regex.compile(BYTE_LEVEL_PATTERN if self.spaced else WORD_END_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Words(self.tokenizer, table[0]) if table and table[1] and not self.spaced else None
+        self.words: Words | Spans | None = None
+        if table and self.spaced and not table[1]:
+            self.words = Spans(table[0])
+        elif table and table[1] and not self.spaced:
+            self.words = Words(self.tokenizer, table[0])
 
     def ids(self, piece: str) -> list[int]:
         for special in self.special:
@@ -321,8 +353,9 @@ def piece_ids(name: str) -> Pieces:
 def encode_bytes(name: str, text: str | None, end_id: int | None = None) -> bytes:
     """Ids of one text as little-endian unsigned 32-bit integers, ``end_id`` last."""
     pieces = piece_ids(name)
-    if text and pieces.words is not None and not any(special in text for special in pieces.special):
-        body = pieces.words.packed(text)
+    words = pieces.words
+    if text and words is not None and words.takes(text) and not any(special in text for special in pieces.special):
+        body = words.packed(text)
     else:
         body = b"".join(pieces.of(text or ""))
     return body if end_id is None else body + _packed([end_id])

@@ -29,9 +29,9 @@ def test_ids_of_odd_texts(name):
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_words_of_a_text_are_merged_in_one_call(monkeypatch):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_a_text_are_merged_in_one_call(name, monkeypatch):
     """New words of whole texts cost no call each; ids stay those of the library."""
-    name = "word_bpe_49k.json"
     tokenizer, pieces = vocab.load(name), vocab.piece_ids(name)
     monkeypatch.setattr(pieces, "merge", None)
     calls = []
@@ -44,12 +44,20 @@ def test_words_of_a_text_are_merged_in_one_call(monkeypatch):
         " \u0301", "Σ", "½", "\r\n'", "\t", " ", "  ", "\u212a", "🙂",
     ]
     for _ in range(1500):
-        text = " ".join("".join(rng.choices(letters, k=rng.randrange(9))) + "".join(rng.choices(marks, k=2)) for _ in range(12))
+        text = " ".join("".join(rng.choices(letters, k=rng.randrange(9))) + "".join(rng.choices(marks, k=2)) for _ in range(32))
         got = np.frombuffer(vocab.encode_bytes(name, text), "<u4").tolist()
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
         assert calls.pop() == text and not calls
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_long_runs(name):
+    tokenizer = vocab.load(name)
+    for text in (f"a{' ' * 3000}b", "\n" * 100_000 + "é", "a" + "\u3000\t" * 2000, " " * 499 + "x  y", "'" * 5000 + "s", "1" * 5000):
+        got = np.frombuffer(vocab.encode_bytes(name, text), "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_memory_of_words_is_bounded_in_bytes(monkeypatch):
     name, rng = "word_bpe_49k.json", random.Random(8)
     tokenizer, words = vocab.load(name), vocab.Pieces(name, vocab._packed).words
